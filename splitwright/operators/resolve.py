@@ -104,7 +104,7 @@ def priority_lookup(
 
     1. the name as it is; 2. the name without suffix tokens, when that differs; 3. the name among
     the suffix-free reference names. A hit counts even when its value is null, so the steps are
-    decided by hit marks. ``reference`` holds ``name, <value_col>, src_row``; the first row per key
+    decided by hit marks; ``lookup_step`` says which one hit (0: none). ``reference`` holds ``name, <value_col>, src_row``; the first row per key
     wins. Steps 1 and 3 probe the same key and share one table, so the items shuffle twice at most.
     """
     require_columns(reference, [name_col, value_col, "src_row"], "reference")
@@ -137,6 +137,7 @@ def priority_lookup(
         F.when(F.col("_a").isNotNull(), F.lit(1))
         .when(F.col("_b").isNotNull(), F.lit(2))
         .when(F.col("_c").isNotNull(), F.lit(3))
+        .otherwise(F.lit(0))
     )
     return work.select(*[F.col(c) for c in items.columns], value.alias(out_col), step.alias("lookup_step"))
 

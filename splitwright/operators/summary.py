@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from splitwright.session import stored
+
 
 # Expected size, tolerance and ratio band of a profile table.
 EXPECTED_ROWS, SIZE_TOLERANCE = 6000, 0.05
@@ -37,14 +39,13 @@ def registry_summary(registry: DataFrame, total: int) -> DataFrame:
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """``value, n, pct`` by descending count, then value.
 
-    The total comes from the counted values, not from a second scan.
+    The counts are written once; their total and the result read them from there, so the source is
+    scanned a single time.
     """
-    counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.groupBy().agg(F.sum("n").alias("total"))
-    joined = counts.withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
-    return joined.select("value", "n", (F.lit(100.0) * F.col("n") / F.col("total")).alias("pct")).orderBy(
-        F.desc("n"), "value"
-    )
+    counts = stored(df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    share = F.lit(100.0) * F.col("n") / F.lit(float(max(total, 1)))
+    return counts.select("value", "n", share.alias("pct")).orderBy(F.desc("n"), "value")
 
 
 def group_with_first(df: DataFrame, key: str, value: str, order_by: str = "src_row") -> DataFrame:
