@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from splitwright.operators.scan import HOT_GROUP_ROWS, running_sums
 
 _POISSON_TERMS = 16
+_DRAWS_PER_HASH = 4  # one MD5 holds four 32-bit draws
 
 
 def ranked_scores(
@@ -95,16 +96,23 @@ def bootstrap_means(
     approximates drawing with replacement and needs no shared state: rows are weighted where they
     lie, and the shuffle carries one partial sum per resample and task.
     """
-    draws = rows.select(
-        F.col(id_col).cast("string").alias("id"),
-        F.col(value_col).cast("double").alias("v"),
-        F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"),
+    spread = rows.select(F.col(id_col).cast("string").alias("id"), F.col(value_col).cast("double").alias("v"))
+    # every row does work for all resamples, so even a small input is worth spreading over all cores
+    spread = spread.repartition(spread.sparkSession.sparkContext.defaultParallelism)
+    draws = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // _DRAWS_PER_HASH))))
+    mark = F.md5(F.concat("id", F.lit(":"), F.col("block").cast("string"), F.lit(f":{seed}")))
+    lanes = F.explode(F.sequence(F.lit(0), F.lit(_DRAWS_PER_HASH - 1)))
+    draws = draws.withColumn("mark", mark).withColumn("lane", lanes)
+    digits = F.substring(F.col("mark"), F.col("lane") * 8 + 1, F.lit(8))
+    uniform = F.conv(digits, 16, 10).cast("double") / F.lit(float(2**32))
+    resample = F.col("block").cast("long") * _DRAWS_PER_HASH + F.col("lane")
+    weighted = draws.select(resample.alias("resample"), "v", _poisson_weight(uniform).alias("w"))
+    sums = (
+        weighted.where((F.col("w") > 0) & (F.col("resample") < resamples))
+        .groupBy("resample")
+        .agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("n"))
     )
-    mark = F.md5(F.concat("id", F.lit(":"), F.col("resample").cast("string"), F.lit(f":{seed}")))
-    uniform = F.conv(F.substring(mark, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
-    weighted = draws.select("resample", "v", _poisson_weight(uniform).alias("w"))
-    sums = weighted.groupBy("resample").agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("n"))
-    return sums.select(F.col("resample").cast("long").alias("resample"), F.try_divide("s", "n").alias("mean"))
+    return sums.select("resample", (F.col("s") / F.col("n")).alias("mean"))
 
 
 def bootstrap_interval(means: DataFrame, confidence: float = 0.95) -> DataFrame:

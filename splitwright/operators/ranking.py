@@ -181,8 +181,11 @@ def approximate_ndcg(rows: DataFrame, steepness: float = RANK_STEEPNESS, block:
     return approximate_ndcg_per_list(rows, steepness, block).agg((-F.avg("ndcg")).alias("value"))
 
 
-def negative_pearson(rows: DataFrame) -> DataFrame:
-    return pearson_per_list(rows).agg((-F.sum("r")).alias("value"))
+def negative_pearson(rows: DataFrame, skip_undefined: bool = False) -> DataFrame:
+    """Minus the sum over lists; a constant list makes it NaN unless undefined lists are skipped."""
+    per_list = pearson_per_list(rows)
+    per_list = per_list.where(~F.isnan("r")) if skip_undefined else per_list
+    return per_list.agg((-F.sum("r")).alias("value"))
 
 
 def squared_error_and_cosine(rows: DataFrame) -> DataFrame:

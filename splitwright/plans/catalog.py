@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("names", "registry", "splits", "similarity", "leakage", "profiles", "metrics")
+AREAS = ("names", "registry", "splits", "similarity", "leakage", "profiles", "metrics", "files")
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _area in AREAS:

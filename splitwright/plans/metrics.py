@@ -168,7 +168,7 @@ QUERIES = {
     "approximate_ndcg_per_list": _per_list(ranking.approximate_ndcg_per_list),
     "squared_error_and_cosine": _scalar(ranking.squared_error_and_cosine),
     "pearson_per_list": _per_list(lambda rows: ranking.pearson_per_list(rows).where(~F.isnan("r"))),
-    "negative_pearson": _scalar(ranking.negative_pearson),
+    "negative_pearson": _scalar(lambda rows: ranking.negative_pearson(rows, skip_undefined=True)),
     "homophily": homophily,
     "squared_error_and_homophily": squared_error_and_homophily,
     "gate_routing": gate_routing,
@@ -251,7 +251,7 @@ def _sql_weight() -> str:
 
 _BOOT = f"""
 with rows_ as (select vec_id, cast(embedding[1] as double) - cast(embedding[2] as double) as v from embeddings),
-u as (select b as resample, v, cast('0x' || substr(md5(cast(vec_id as varchar) || ':' || cast(b as varchar) || ':42'), 1, 8) as bigint) / 4294967296.0 as u
+u as (select b as resample, v, cast('0x' || substr(md5(cast(vec_id as varchar) || ':' || cast(b // 4 as varchar) || ':42'), (b % 4) * 8 + 1, 8) as bigint) / 4294967296.0 as u
   from rows_, range(10000) t(b)),
 w as (select resample, v, {_sql_weight()} as w from u),
 means as (select resample, round(sum(w * v) / sum(w), 6) as mean from w group by 1)
@@ -285,7 +285,7 @@ select round(avg(ln(list_sum(list_transform(l, lambda x: exp(x)))) - l[label + 1
     "squared_error_and_cosine": _L + _COSINE
     + "select round((select avg(pow(pred - label, 2)) from lists) + (select sum(loss) from loss), 4) as value",
     "pearson_per_list": _L + _PEARSON + "select list_id, round(r, 6) as r from per where not isnan(r)",
-    "negative_pearson": _L + _PEARSON + "select round(-sum(r), 4) as value from per",
+    "negative_pearson": _L + _PEARSON + "select round(-sum(r), 4) as value from per where not isnan(r)",
     "homophily": _HOMOPHILY + " select round(value, 4) as value from penalty",
     "squared_error_and_homophily": _HOMOPHILY
     + f" select round((select avg(pow(pred - label, 2)) from {sql_input(I.SCORE_LISTS)}) + 0.5 * value, 4) as value from penalty",

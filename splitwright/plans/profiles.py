@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from splitwright.functions.ids import PROFILE_ID_SNIFF_PATTERN
 from splitwright.functions.vectors import vector_sum
 from splitwright.operators import checks, dedupe, gates, profiles, resolve, scan, summary
 from splitwright.plans import inputs as I
@@ -156,8 +157,6 @@ def record_profiles(spark, sf_dir):
 
 
 def sniffed_ids(spark, sf_dir):
-    from splitwright.functions.ids import PROFILE_ID_SNIFF_PATTERN
-
     rows = derived(spark, sf_dir, I.PROFILE_IDS).where(F.col("profile_id").contains("H:"))
     padded = rows.select(F.lit("note").alias("comment"), F.concat(F.lit(" "), "profile_id", F.lit("  ")).alias("column_7"))
     return checks.load_profile_ids(padded, PROFILE_ID_SNIFF_PATTERN, expected_rows=None)
@@ -261,7 +260,7 @@ SQL = {
 select 'id_' || cast(p_partkey as varchar) as profile_id from part where p_partkey not in (select vec_id from embeddings)""",
     "aligned_rows": """
 with a as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as row_idx from orders),
-b as (select p_partkey, cast(p_size as bigint) as p_size, row_number() over (order by p_partkey) - 1 as row_idx from part)
+b as (select p_partkey, p_size, row_number() over (order by p_partkey) - 1 as row_idx from part)
 select row_idx, o_orderkey, p_partkey, p_size from a join b using (row_idx)""",
     "row_numbers": "select o_custkey, o_orderkey, row_number() over (order by o_custkey, o_orderkey) - 1 as row_idx from orders",
     "dimension_correlation": _corr() + "select pos, round(r, 6) as r, n from r",
@@ -292,8 +291,8 @@ select cast(vec_id as varchar) as compound_name, cast(label % 2 as double) as la
   len(list_filter(embedding[1:50], lambda x: x > 0)) as n_flags from embeddings""",
     "record_profiles": """
 select count(*) as n_rows, count(*) filter (where label % 3 = 2) as bad_label, count(*) filter (where len(embedding) <> 64) as bad_expression_width,
-  0 as bad_flag_width from embeddings""",
+  cast(0 as bigint) as bad_flag_width from embeddings""",
     "sniffed_ids": f"select profile_id from {sql_input(I.PROFILE_IDS)} where contains(profile_id, 'H:')",
-    "store_check": "select min(len(embedding)) as min_width, max(len(embedding)) as max_width, 64 as n_dimensions, min(len(embedding)) = 64 and max(len(embedding)) = 64 as ok from embeddings",
+    "store_check": "select min(len(embedding)) as min_width, max(len(embedding)) as max_width, cast(64 as bigint) as n_dimensions, min(len(embedding)) = 64 and max(len(embedding)) = 64 as ok from embeddings",
     "flag_columns": "select vec_id, " + ", ".join(f"embedding[{k + 1}] > 0 as split_{k:02d}" for k in range(50)) + " from embeddings",
 }
