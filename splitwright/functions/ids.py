@@ -30,18 +30,23 @@ def is_profile_id(text: Column) -> Column:
 
 
 def parse_profile_id(text: Column) -> Column:
-    """Struct ``plate, cell_id, time_h, brd_id, dose_str``; null when the layout does not match."""
-    part = lambda k: F.regexp_extract(text, PROFILE_ID_PATTERN, k)
-    return F.when(
-        is_profile_id(text),
-        F.struct(
-            part(1).alias("plate"),
-            part(2).alias("cell_id"),
-            part(3).cast("int").alias("time_h"),
-            part(4).alias("brd_id"),
-            part(5).alias("dose_str"),
-        ),
-    )
+    """Struct ``plate, cell_id, time_h, brd_id, dose_str, id_ok``; parts are null for another layout.
+
+    One pattern check and one split: the first four parts cannot hold a separator.
+    """
+
+    def parts(p: Column) -> Column:
+        return F.struct(
+            p[0].alias("plate"),
+            p[1].alias("cell_id"),
+            F.regexp_replace(p[2], "H$", "").cast("int").alias("time_h"),
+            p[3].alias("brd_id"),
+            p[4].alias("dose_str"),
+            F.isnotnull(p).alias("id_ok"),
+        )
+
+    # the one-element array binds the split result once
+    return F.transform(F.array(F.when(is_profile_id(text), F.split(text, "[_:]", 5))), parts)[0]
 
 
 def content_key(*parts: Column) -> Column:

@@ -27,4 +27,4 @@ def vector_difference(a: Column, b: Column) -> Column:
 def top_positions(scores: Column, k: int) -> Column:
     """Positions (0-based) of the ``k`` largest scores, best first, smaller position on ties."""
     keyed = F.transform(scores, lambda x, i: F.struct((-x).alias("key"), i.alias("pos")))
-    return F.transform(F.slice(F.array_sort(keyed), 1, k), lambda s: s["pos"])
+    return F.transform(F.slice(F.sort_array(keyed), 1, k), lambda s: s["pos"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitwright.functions.names import name_key, spread_key
+from splitwright.functions.names import name_key, spread_key, with_computed
 from splitwright.operators.checks import find_column, require_columns
 from splitwright.operators.dedupe import distinct_keys, keep_last
 
@@ -32,7 +32,7 @@ def _mark(rows: DataFrame, key: Column, salt: Column, keys: DataFrame, out_col:
     """Boolean column: is ``key`` among ``keys``? Null and empty keys never are."""
     probe = spread_key(F.nullif(key, F.lit("")), salt)
     marks = keys.select(F.col("key").alias("_k"), F.lit(True).alias("_m"))
-    joined = rows.withColumn("_k", probe).join(marks, "_k", "left")
+    joined = with_computed(rows, "_k", probe).join(marks, "_k", "left")
     return joined.select(*[F.col(c) for c in rows.columns], F.coalesce("_m", F.lit(False)).alias(out_col))
 
 

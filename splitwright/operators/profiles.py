@@ -96,10 +96,8 @@ def correlation_summary(correlations: DataFrame, threshold: float = 0.99) -> Dat
 
 def parse_profile_ids(rows: DataFrame, id_col: str = "profile_id") -> DataFrame:
     """Rows with the parts of their composite id; ``id_ok`` marks the rows that follow the layout."""
-    parts = rows.withColumn("_p", parse_profile_id(F.col(id_col)))
-    return parts.select(
-        *rows.columns, "_p.plate", "_p.cell_id", "_p.time_h", "_p.brd_id", "_p.dose_str", F.col("_p").isNotNull().alias("id_ok")
-    )
+    # inline turns the struct into columns once, instead of once per use
+    return rows.select("*", F.inline(F.array(parse_profile_id(F.col(id_col)))))
 
 
 def profile_table(resolved: DataFrame) -> DataFrame:

@@ -93,7 +93,7 @@ def _item_blocks(rows: DataFrame, block: int) -> DataFrame:
     """``list_id, block, items, last_block``: items of at most ``block`` positions in order."""
     cut = rows.withColumn("block", F.floor(F.col("pos") / block).cast("long"))
     items = cut.groupBy("list_id", "block").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "label", "pred"))).alias("items")
+        F.sort_array(F.collect_list(F.struct("pos", "label", "pred"))).alias("items")
     )
     last = cut.groupBy("list_id").agg(F.max("block").alias("last_block"))
     return items.join(last, "list_id")

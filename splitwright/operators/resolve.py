@@ -13,6 +13,7 @@ from splitwright.functions.names import (
     strip_all_suffixes,
     strip_one_suffix,
     strip_two_suffixes,
+    with_computed,
 )
 from splitwright.operators.checks import require_columns
 from splitwright.operators.dedupe import distinct_keys, keep_first
@@ -51,14 +52,12 @@ def resolve_names(
     # an index without src_row must already be unique per key, which build_alias_index guarantees
     index = index.where(F.col("name_key").isNotNull()).select("name_key", "structure")
 
-    keyed = items.withColumn("_key", name_key(F.col(name_col))).withColumn(
+    keyed = with_computed(items, "_key", name_key(F.col(name_col))).withColumn(
         "_probe", spread_key(F.col("_key"), F.col(id_col))
     )
     direct = index.select(F.col("name_key").alias("_probe"), F.col("structure").alias("_direct"))
-    once = keyed.join(direct, "_probe", "left").withColumn(
-        "_retry",
-        F.when(F.coalesce(F.col("_direct") == "", F.lit(True)), strip_one_suffix(F.col("_key"))),
-    )
+    missed = F.coalesce(F.col("_direct") == "", F.lit(True))
+    once = with_computed(keyed.join(direct, "_probe", "left"), "_retry", F.when(missed, strip_one_suffix(F.col("_key"))))
     second = index.select(
         F.col("name_key").alias("_again"), F.col("structure").alias("_second"), F.lit(True).alias("_hit")
     )
@@ -122,10 +121,10 @@ def priority_lookup(
         .groupBy("_k")
         .agg(F.first("_a", ignorenulls=True).alias("_a"), F.first("_c", ignorenulls=True).alias("_c"))
     )
-    work = items.withColumn("_name", name_key(F.col(name_col)))
+    work = with_computed(items, "_name", name_key(F.col(name_col)))
     work = work.withColumn("_k", spread_key(F.col("_name"), F.col(id_col))).join(by_name, "_k", "left").drop("_k")
-    stripped = strip_two_suffixes(F.col("_name"))
-    retry = F.when(F.col("_a").isNull() & (stripped != F.col("_name")), stripped)
+    work = with_computed(work, "_bare", F.when(F.col("_a").isNull(), strip_two_suffixes(F.col("_name"))))
+    retry = F.when(F.col("_bare") != F.col("_name"), F.col("_bare"))
     by_bare = exact.select("_k", F.struct("_value").alias("_b"))
     work = work.withColumn("_k", spread_key(retry, F.col(id_col))).join(by_bare, "_k", "left").drop("_k")
     value = (
@@ -160,7 +159,7 @@ def resolve_suffix_free(
     ).where(F.col("_k") != "")
     lookup = keep_first(keyed, "_k").select("_k", "canonical", "severity", F.lit(True).alias("_hit"))
     probe = spread_key(strip_all_suffixes(F.col(name_col)), F.col(id_col))
-    joined = queries.withColumn("_k", probe).join(lookup, "_k", "left")
+    joined = with_computed(queries, "_k", probe).join(lookup, "_k", "left")
     return joined.select(
         *[F.col(c) for c in queries.columns],
         "canonical",
@@ -182,7 +181,7 @@ def member_flag(
     """Boolean column: is the normalised name in the member list?"""
     keys = distinct_keys(members, name_key(F.col("name")), "_k").withColumn("_in", F.lit(True))
     probe = spread_key(name_key(F.col(name_col)), F.col(id_col))
-    joined = items.withColumn("_k", probe).join(keys, "_k", "left")
+    joined = with_computed(items, "_k", probe).join(keys, "_k", "left")
     return joined.select(*[F.col(c) for c in items.columns], F.coalesce("_in", F.lit(False)).alias(out_col))
 
 

@@ -30,7 +30,7 @@ def replicate_mean(profiles: DataFrame, by: Sequence[str], vector_col: str = "ve
     """Mean vector over the replicates of a key; positions are averaged before the shuffle."""
     long = profiles.select(*by, position_values(F.col(vector_col)))
     means = long.groupBy(*by, "pos").agg(F.avg(F.col("value").cast("double")).alias("m"))
-    packed = means.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("_v"))
+    packed = means.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("_v"))
     return packed.select(*by, F.transform("_v", lambda s: s["m"]).alias(vector_col))
 
 

@@ -14,7 +14,7 @@ from splitwright.functions.names import (
     strip_two_suffixes,
 )
 from splitwright.functions.numbers import nearest_grid_value, to_number
-from splitwright.functions.sets import folded_set, hashed_set, word_shingles
+from splitwright.functions.sets import folded_set, hashed_shingles, word_shingles
 from splitwright.functions.vectors import softmax, top_positions
 
 
@@ -70,8 +70,8 @@ def test_ids(spark):
 
 def test_profile_id(spark):
     good, bad, none = column(spark, ["CPC020_HEPG2_6H:BRD-K01234567:3.33333", "CPC020_HEPG2:BRD", None], parse_profile_id)
-    assert tuple(good) == ("CPC020", "HEPG2", 6, "BRD-K01234567", "3.33333")
-    assert bad is None and none is None
+    assert tuple(good) == ("CPC020", "HEPG2", 6, "BRD-K01234567", "3.33333", True)
+    assert tuple(bad) == tuple(none) == (None,) * 5 + (False,)
 
 
 def test_content_key(spark):
@@ -93,7 +93,7 @@ def test_shingles(spark):
     assert got[1] == ["one two"]
     assert sorted(got[2]) == ["a b c", "b c a", "c a b"]
     assert got[3] == [] and got[4] == []
-    hashed = column(spark, values, lambda c: hashed_set(word_shingles(c)))
+    hashed = column(spark, values, hashed_shingles)
     assert [len(h) for h in hashed] == [4, 1, 3, 0, 0] and hashed[0] == sorted(hashed[0])
     folded = column(spark, values[:2], lambda c: folded_set(word_shingles(c), 16))
     assert all(0 <= b < 16 for f in folded for b in f)

@@ -78,7 +78,9 @@ def test_clusters_equal_brute_force(spark, monkeypatch, threshold, block):
         assert got == brute_components(sets, threshold)
 
 
-def test_max_similarity_equals_brute_force(spark):
+@pytest.mark.parametrize("hot", [10_000, 20, 0])
+def test_max_similarity_equals_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(similarity, "HOT_TOKEN_SETS", hot)
     sets = make_sets(5)
     sets[9999], sets[9998] = {123456}, {7}
     test = {i: s for i, s in sets.items() if i % 3 == 0}
