@@ -102,6 +102,19 @@ def mark_measurements(
     return joined.select(*[F.col(c) for c in rows.columns], never("by_name"), never("by_key"), never("resolved"))
 
 
+def filter_measurements(
+    rows: DataFrame, index: DataFrame, protected_names: DataFrame, protected_keys: DataFrame, id_col: str
+) -> tuple[DataFrame, DataFrame | None]:
+    """Safe rows and the breakdown of the filter.
+
+    A table without a known name column passes through unchanged and has no breakdown.
+    """
+    if not set(MEASUREMENT_NAME_COLUMNS) & {c.strip() for c in rows.columns}:
+        return rows, None
+    marked = mark_measurements(rows, index, protected_names, protected_keys, id_col)
+    return safe_rows(marked), filter_breakdown(marked)
+
+
 def safe_rows(marked: DataFrame) -> DataFrame:
     return marked.where(~F.col("by_name") & ~F.col("by_key")).drop("by_name", "by_key", "resolved")
 

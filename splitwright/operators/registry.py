@@ -38,6 +38,15 @@ def join_resolved(items: DataFrame, resolved: DataFrame, id_col: str = "id") ->
     return items.join(resolved.select(id_col, "structure", "canonical", "group_key"), id_col, "inner")
 
 
+def join_drop_count(items: DataFrame, resolved: DataFrame, id_col: str = "id") -> DataFrame:
+    """How many items have a resolved structure, as one row."""
+    known = resolved.select(id_col, F.lit(True).alias("_r")).distinct()
+    joined = items.select(id_col).join(known, id_col, "left")
+    return joined.agg(
+        F.count(F.lit(1)).alias("n_in"), F.count("_r").alias("n_joined"), F.count_if(F.col("_r").isNull()).alias("n_dropped")
+    )
+
+
 def build_registry(
     labels: DataFrame,
     severities: DataFrame,

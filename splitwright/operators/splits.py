@@ -162,11 +162,11 @@ def _range_start_states(groups: DataFrame, targets: Targets, first: Fill) -> dic
     totals = groups.groupBy(F.spark_partition_id().alias("r")).agg(F.sum("size"), F.sum("positives"))
     sums = {r: (int(n), int(p)) for r, n, p in totals.collect()}  # one row per range
 
-    starts, at, state, likely = {0: first}, 0, first, None
+    starts, at, state, likely, width = {0: first}, 0, first, None, 1
     while at < ranges:
         guess = {at: state}
         if likely is not None:
-            for r in range(at, ranges - 1):
+            for r in range(at, min(at + width, ranges) - 1):
                 guess[r + 1] = guess[r].add(likely, *sums.get(r, (0, 0)))
 
         def fold(batches, guess=guess):
@@ -180,11 +180,16 @@ def _range_start_states(groups: DataFrame, targets: Targets, first: Fill) -> dic
 
         folded = groups.mapInPandas(fold, "r int, last int, state binary").collect()  # one row per range
         ends = {row["r"]: (row["last"], pickle.loads(row["state"])) for row in folded}
+        begun = at
         while at < ranges and guess.get(at) == state:
-            last, state = ends.get(at, (-1, state))  # an empty range changes nothing
+            last, end = ends.get(at, (-1, state))  # an empty range changes nothing
+            # equal generator states share one object, which keeps the task closures small
+            state = replace(end, ties=state.ties) if end.ties == state.ties else end
             likely = last if last >= 0 else likely
             at += 1
             starts[at] = state
+        # look further ahead after a full hit, as far as it was right after a miss
+        width = 8 * len(guess) if at - begun == len(guess) else max(1, at - begun)
     return starts
 
 

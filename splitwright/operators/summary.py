@@ -75,6 +75,16 @@ def tidy_metrics(one_row: DataFrame, section: str) -> DataFrame:
     return one_row.select(F.lit(section).alias("section"), F.inline(F.array(*pairs)))
 
 
+def tidy_table(rows: DataFrame, section: str, label_col: str) -> DataFrame:
+    """Turn a small table into ``section, metric, value`` rows named ``<column>_<label>``."""
+    numbers = [f.name for f in rows.schema.fields if f.name != label_col and f.dataType.simpleString() != "string"]
+    label = F.col(label_col).cast("string")
+    pairs = [
+        F.struct(F.concat(F.lit(f"{c}_"), label).alias("metric"), F.col(c).cast("double").alias("value")) for c in numbers
+    ]
+    return rows.select(F.lit(section).alias("section"), F.inline(F.array(*pairs)))
+
+
 def diagnostics(sections: dict[str, DataFrame]) -> DataFrame:
     """All counts of a run as one tidy table."""
     parts = [tidy_metrics(df, name) for name, df in sections.items()]

@@ -24,6 +24,11 @@ def label_drops(spark, sf_dir):
     return registry.label_drop_count(derived(spark, sf_dir, I.LABEL_LIST))
 
 
+def join_drops(spark, sf_dir):
+    labelled = registry.keep_binary_labels(derived(spark, sf_dir, I.LABEL_LIST))
+    return registry.join_drop_count(labelled, derived(spark, sf_dir, I.RESOLVED_LIST))
+
+
 def registry_summary(spark, sf_dir):
     total = derived(spark, sf_dir, I.LABEL_LIST).count()
     return rounded(summary.registry_summary(registry_rows(spark, sf_dir), total))
@@ -63,6 +68,7 @@ def document_registry(spark, sf_dir):
 
 QUERIES = {
     "label_drops": label_drops,
+    "join_drops": join_drops,
     "registry_rows": registry_rows,
     "registry_summary": registry_summary,
     "registry_invariants": registry_invariants,
@@ -95,6 +101,9 @@ SQL = {
     "label_drops": f"""
 select count(*) as n_in, count(*) filter (where ok) as n_kept, count(*) filter (where not ok) as n_dropped
 from (select coalesce({_NUM} in (0, 1), false) as ok from {sql_input(I.LABEL_LIST)})""",
+    "join_drops": f"""
+select count(*) as n_in, count(r.id) as n_joined, count(*) - count(r.id) as n_dropped
+from (select id from {sql_input(I.LABEL_LIST)} where {_NUM} in (0, 1)) l left join {sql_input(I.RESOLVED_LIST)} r on l.id = r.id""",
     "registry_rows": SQL_REGISTRY + "select * from rows_",
     "registry_summary": SQL_REGISTRY
     + """select count(*) as n_registry, (select count(*) from part) as n_listed, count(*) filter (where label = 1) as n_pos,
