@@ -18,7 +18,7 @@ from splitwright.operators.similarity import (
     verify,
 )
 from splitwright.operators.splits import DEFAULT_FRACTIONS, cluster_assignment
-from splitwright.session import checkpointed, stored
+from splitwright.session import checkpointed, lookup_side, stored
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -34,11 +34,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     seen = None
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        lowest = both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m"))
+        lowest = lookup_side(both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m")))
         large = both.join(lowest, "v").where(F.col("u") > F.col("v")).select(F.col("u").alias("v"), F.col("m").alias("u"))
         large = large.where(F.col("u") != F.col("v")).distinct()
 
-        smaller = large.groupBy("v").agg(F.min("u").alias("m"))
+        large = stored(large, "links")
+        smaller = lookup_side(large.groupBy("v").agg(F.min("u").alias("m")))
         moved = large.join(smaller, "v").select(F.col("u").alias("v"), F.col("m").alias("u"))
         small = moved.unionByName(smaller.select("v", F.col("m").alias("u")))
         links = checkpointed(small.where(F.col("u") != F.col("v")).distinct())
@@ -79,7 +80,7 @@ def link_clusters(sets: DataFrame, threshold: float = 0.4) -> DataFrame:
         F.min_by(F.struct("id", "n", "pos"), F.struct("n", "id")).alias("p"), F.count(F.lit(1)).alias("k")
     )
     to_pivot = (
-        postings.join(pivots.where(F.col("k") > 1), "token")
+        postings.join(lookup_side(pivots.where(F.col("k") > 1)), "token")
         .where(F.col("id") != F.col("p.id"))
         .select(F.col("p.id").alias("id_a"), F.col("id").alias("id_b"))
         .distinct()
@@ -92,7 +93,7 @@ def link_clusters(sets: DataFrame, threshold: float = 0.4) -> DataFrame:
     majority = shares.groupBy("token").agg(
         F.max_by("component", F.struct("k", "component")).alias("major"), F.count(F.lit(1)).alias("parts")
     )
-    open_lists = labelled.join(majority.where(F.col("parts") > 1), "token")
+    open_lists = labelled.join(lookup_side(majority.where(F.col("parts") > 1)), "token")
     minor = open_lists.where(F.col("component") != F.col("major"))
     once = (F.col("r.component") == F.col("r.major")) | (F.col("l.id") < F.col("r.id"))
     apart = F.col("l.component") != F.col("r.component")

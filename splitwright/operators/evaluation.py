@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from splitwright.operators.scan import HOT_GROUP_ROWS, running_sums
+from splitwright.session import lookup_side
 
 _POISSON_TERMS = 16
 _DRAWS_PER_HASH = 4  # one MD5 holds four 32-bit draws
@@ -39,7 +40,7 @@ def classifier_metrics(
     by = list(by)
     ranked = ranked_scores(rows, by, score_col, label_col, hot_rows)
     totals = ranked.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    wide = ranked.join(totals, by)
+    wide = ranked.join(lookup_side(totals), by)
     tp = F.col("P") - F.col("pos_to") + F.col("pos")
     fp = F.col("N") - F.col("neg_to") + F.col("neg")
     wins = F.col("pos") * (F.col("neg_to") - F.col("neg") + F.col("neg") / 2.0)

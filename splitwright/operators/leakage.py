@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from splitwright.functions.names import name_key, spread_key, with_computed
 from splitwright.operators.checks import find_column, require_columns
 from splitwright.operators.dedupe import distinct_keys, keep_last
+from splitwright.session import lookup_side
 
 # Accepted name columns of a measurement table, in this order.
 MEASUREMENT_NAME_COLUMNS = ("pert_iname", "drug_name", "pert_id", "compound_name")
@@ -31,7 +32,7 @@ def unresolved_ids(test_ids: DataFrame, registry: DataFrame, id_col: str = "id")
 def _mark(rows: DataFrame, key: Column, salt: Column, keys: DataFrame, out_col: str) -> DataFrame:
     """Boolean column: is ``key`` among ``keys``? Null and empty keys never are."""
     probe = spread_key(F.nullif(key, F.lit("")), salt)
-    marks = keys.select(F.col("key").alias("_k"), F.lit(True).alias("_m"))
+    marks = lookup_side(keys.select(F.col("key").alias("_k"), F.lit(True).alias("_m")))
     joined = with_computed(rows, "_k", probe).join(marks, "_k", "left")
     return joined.select(*[F.col(c) for c in rows.columns], F.coalesce("_m", F.lit(False)).alias(out_col))
 
@@ -97,7 +98,7 @@ def mark_measurements(
     verdict = marked.select(
         F.col("name_key").alias("_k"), "by_name", "by_key", F.col("structure").isNotNull().alias("resolved")
     )
-    joined = rows.withColumn("_k", spread_key(lowered, F.col(id_col))).join(verdict, "_k", "left")
+    joined = rows.withColumn("_k", spread_key(lowered, F.col(id_col))).join(lookup_side(verdict), "_k", "left")
     never = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
     return joined.select(*[F.col(c) for c in rows.columns], never("by_name"), never("by_key"), never("resolved"))
 

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitwright.functions.ids import content_key, parse_profile_id
-from splitwright.functions.names import name_key, spread_key
+from splitwright.functions.names import name_key, with_computed
 from splitwright.functions.numbers import to_number
 from splitwright.operators.checks import SchemaError, require_columns
 from splitwright.operators.dedupe import first_rows, keep_last
+from splitwright.session import lookup_side
 
 # Columns of the profile table, in this order.
 PROFILE_TABLE_COLUMNS = [
@@ -26,7 +27,7 @@ def lookup_profiles(queries: DataFrame, store: DataFrame, id_col: str = "profile
     """
     require_columns(store, ["colid", "data"], "store")
     if "src_row" in store.columns:
-        store = keep_last(store.select("colid", "data", "src_row"), "colid")
+        store = lookup_side(keep_last(store.select("colid", "data", "src_row"), "colid"))
     found = store.select(F.col("colid").alias("_c"), "data", F.lit(True).alias("_hit"))
     # only the probed part of the store has to travel with its vectors
     joined = queries.join(found, F.col(id_col) == F.col("_c"), "left")
@@ -127,8 +128,8 @@ def profile_table(resolved: DataFrame) -> DataFrame:
 def label_disagreements(rows: DataFrame, registry: DataFrame, name_col: str = "name", label_col: str = "label") -> DataFrame:
     """Rows whose label differs from the registry label of the same name (last registry row wins)."""
     keyed = registry.select(name_key(F.col(name_col)).alias("_k"), F.col(label_col).alias("registry_label"), "src_row")
-    last = keep_last(keyed.where(F.col("_k").isNotNull()), "_k").select("_k", "registry_label")
-    probe = rows.withColumn("_k", name_key(F.col(name_col)))
+    last = lookup_side(keep_last(keyed.where(F.col("_k").isNotNull()), "_k").select("_k", "registry_label"))
+    probe = with_computed(rows, "_k", name_key(F.col(name_col)))
     return probe.join(last, "_k").where(F.col(label_col) != F.col("registry_label")).select(*rows.columns, "registry_label")
 
 

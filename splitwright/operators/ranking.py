@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from splitwright.functions.vectors import log_sum_exp, softmax, top_positions
 from splitwright.operators.scan import HOT_GROUP_ROWS, running_sums
+from splitwright.session import lookup_side
 
 PAIR_BLOCK = 256
 # Steepness of the approximate rank, weights of the homophily penalty, and small terms.
@@ -43,7 +44,7 @@ def cross_entropy(rows: DataFrame, logits_col: str = "logits", class_col: str =
 def _with_tops(rows: DataFrame, *columns: str) -> DataFrame:
     """Join the per-list maximum of each column, for stable exponentials."""
     tops = rows.groupBy("list_id").agg(*[F.max(c).alias(f"top_{c}") for c in columns])
-    return rows.join(tops, "list_id")
+    return rows.join(lookup_side(tops), "list_id")
 
 
 def listnet_per_list(rows: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def _item_blocks(rows: DataFrame, block: int) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("pos", "label", "pred"))).alias("items")
     )
     last = cut.groupBy("list_id").agg(F.max("block").alias("last_block"))
-    return items.join(last, "list_id")
+    return items.join(lookup_side(last), "list_id")
 
 
 def _block_pairs(blocks: DataFrame, both_ways: bool) -> DataFrame:

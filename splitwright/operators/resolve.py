@@ -17,6 +17,7 @@ from splitwright.functions.names import (
 )
 from splitwright.operators.checks import require_columns
 from splitwright.operators.dedupe import distinct_keys, keep_first
+from splitwright.session import lookup_side
 
 # Reject reasons and the source mark of a resolved row.
 REASON_NOT_IN_INDEX = "name_not_in_index"
@@ -49,6 +50,7 @@ def resolve_names(
     require_columns(index, ["name_key", "structure"], "index")
     if "src_row" in index.columns:
         index = keep_first(index.select("name_key", "structure", "src_row"), "name_key").drop("src_row")
+        index = lookup_side(index)
     # an index without src_row must already be unique per key, which build_alias_index guarantees
     index = index.where(F.col("name_key").isNotNull()).select("name_key", "structure")
 
@@ -111,7 +113,7 @@ def priority_lookup(
     keyed = reference.select(
         name_key(F.col(name_col)).alias("_exact"), F.col(value_col).alias("_value"), "src_row"
     ).where(F.col("_exact").isNotNull())
-    exact = keep_first(keyed.withColumnRenamed("_exact", "_k"), "_k").select("_k", "_value")
+    exact = lookup_side(keep_first(keyed.withColumnRenamed("_exact", "_k"), "_k").select("_k", "_value"))
     bare = keep_first(
         keyed.select(strip_two_suffixes(F.col("_exact")).alias("_k"), "_value", "src_row"), "_k"
     ).select("_k", "_value")
@@ -121,6 +123,7 @@ def priority_lookup(
         .groupBy("_k")
         .agg(F.first("_a", ignorenulls=True).alias("_a"), F.first("_c", ignorenulls=True).alias("_c"))
     )
+    by_name = lookup_side(by_name)
     work = with_computed(items, "_name", name_key(F.col(name_col)))
     work = work.withColumn("_k", spread_key(F.col("_name"), F.col(id_col))).join(by_name, "_k", "left").drop("_k")
     work = with_computed(work, "_bare", F.when(F.col("_a").isNull(), strip_two_suffixes(F.col("_name"))))
@@ -157,7 +160,7 @@ def resolve_suffix_free(
         F.nullif(F.col("severity"), F.lit("")).alias("severity"),
         "src_row",
     ).where(F.col("_k") != "")
-    lookup = keep_first(keyed, "_k").select("_k", "canonical", "severity", F.lit(True).alias("_hit"))
+    lookup = lookup_side(keep_first(keyed, "_k").select("_k", "canonical", "severity", F.lit(True).alias("_hit")))
     probe = spread_key(strip_all_suffixes(F.col(name_col)), F.col(id_col))
     joined = with_computed(queries, "_k", probe).join(lookup, "_k", "left")
     return joined.select(
@@ -179,7 +182,7 @@ def member_flag(
     items: DataFrame, members: DataFrame, out_col: str, id_col: str = "id", name_col: str = "name"
 ) -> DataFrame:
     """Boolean column: is the normalised name in the member list?"""
-    keys = distinct_keys(members, name_key(F.col("name")), "_k").withColumn("_in", F.lit(True))
+    keys = lookup_side(distinct_keys(members, name_key(F.col("name")), "_k").withColumn("_in", F.lit(True)))
     probe = spread_key(name_key(F.col(name_col)), F.col(id_col))
     joined = with_computed(items, "_k", probe).join(keys, "_k", "left")
     return joined.select(*[F.col(c) for c in items.columns], F.coalesce("_in", F.lit(False)).alias(out_col))
@@ -193,7 +196,7 @@ def derive_once_per_key(rows: DataFrame, key: Column, derive: Callable[[DataFram
     keyed = rows.withColumn("key", key)
     derived = derive(keyed.select("key").where(F.col("key").isNotNull()).distinct())
     new = [c for c in derived.columns if c != "key"]
-    probe = derived.select(F.col("key").alias("_k"), *new)
+    probe = lookup_side(derived.select(F.col("key").alias("_k"), *new))
     return (
         keyed.withColumn("_k", spread_key(F.col("key"), F.col(id_col)))
         .join(probe, "_k", "left")

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from splitwright.functions.vectors import top_positions, vector_difference
 from splitwright.operators.gates import at_least
 from splitwright.operators.profiles import dimension_correlation, position_values
+from splitwright.session import lookup_side
 
 
 def differential(treated: DataFrame, baseline: DataFrame, by: str = "cell") -> DataFrame:
     """Treated minus baseline vector; ``baseline`` has one ``vector`` per cell."""
-    base = baseline.select(by, F.col("vector").alias("_base"))
+    base = lookup_side(baseline.select(by, F.col("vector").alias("_base")))
     return treated.join(base, by).select(
         *[c for c in treated.columns if c != "vector"], vector_difference(F.col("vector"), F.col("_base")).alias("vector")
     )

@@ -178,7 +178,8 @@ def _range_start_states(groups: DataFrame, targets: Targets, first: Fill) -> dic
                 last = int(picks[-1]) if len(picks) else last
             yield pd.DataFrame({"r": [r], "last": [last], "state": [pickle.dumps(end)]})
 
-        folded = groups.mapInPandas(fold, "r int, last int, state binary").collect()  # one row per range
+        ahead = groups.where(F.spark_partition_id().between(at, at + len(guess) - 1)).select("size", "positives")
+        folded = ahead.mapInPandas(fold, "r int, last int, state binary").collect()  # one row per range
         ends = {row["r"]: (row["last"], pickle.loads(row["state"])) for row in folded}
         begun = at
         while at < ranges and guess.get(at) == state:

@@ -64,6 +64,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lookup_side(df: DataFrame) -> DataFrame:
+    """Materialise the unique side of a join.
+
+    Adaptive execution splits a hot key of the other side only when this side is read on its own. An
+    aggregate that already is partitioned by the join key is not, and would leave a key that holds a
+    third of all rows to one task. The written table also has a size, so small ones are broadcast.
+    """
+    return stored(df, "lookup")
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """Give a scan of few files to all cores when every row means much work; larger scans stay."""
     cores = df.sparkSession.sparkContext.defaultParallelism
