@@ -10,6 +10,7 @@ from splitwright.operators import checks, dedupe, gates, profiles, resolve, scan
 from splitwright.plans import inputs as I
 from splitwright.plans.inputs import derived, rounded, sql_input, table
 from splitwright.plans.names import SQL_NUMBER, sql_all_suffixes
+from splitwright.session import spread_small
 
 
 def _store(spark, sf_dir):
@@ -80,14 +81,19 @@ def correlation_gate(spark, sf_dir):
     return gates.correlation_gate(value)
 
 
+def _profile_ids(spark, sf_dir):
+    """Every row costs several text patterns, so a scan of one small file is spread over the cores."""
+    return spread_small(derived(spark, sf_dir, I.PROFILE_IDS))
+
+
 def parsed_ids(spark, sf_dir):
-    return profiles.parse_profile_ids(derived(spark, sf_dir, I.PROFILE_IDS).select("src_row", "profile_id")).withColumn(
+    return profiles.parse_profile_ids(_profile_ids(spark, sf_dir).select("src_row", "profile_id")).withColumn(
         "time_h", F.coalesce(F.col("time_h").cast("long"), F.lit(0).cast("long"))
     )
 
 
 def _resolved_profiles(spark, sf_dir):
-    rows = derived(spark, sf_dir, I.PROFILE_IDS)
+    rows = _profile_ids(spark, sf_dir)
     part = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"), F.concat("p_name", F.lit(" "), F.lower(F.regexp_replace("p_brand", "#", "")), F.lit(" sodium")).alias("name")
     )

@@ -62,10 +62,10 @@ def test_label_filter(spark):
 
 
 def test_columns(spark):
-    df = spark.createDataFrame([(1, 2)], ["DILIst Classification ", "compound_name"])
-    assert checks.find_column(df, ["DILIst Classification"]) == "DILIst Classification "
+    df = spark.createDataFrame([(1, 2)], ["List Classification ", "compound_name"])
+    assert checks.find_column(df, ["List Classification"]) == "List Classification "
     assert checks.find_column(df, ["CompoundName", "Compound Name", "compound_name"]) == "compound_name"
-    assert checks.trim_headers(df).columns == ["DILIst Classification", "compound_name"]
+    assert checks.trim_headers(df).columns == ["List Classification", "compound_name"]
     with pytest.raises(SchemaError, match="saw"):
         checks.require_columns(df, ["absent"])
     with pytest.raises(SchemaError, match="searched"):
