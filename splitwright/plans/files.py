@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from splitwright.operators import leakage, resolve, scan, splits, summary
 from splitwright.plans import inputs as I
-from splitwright.plans.inputs import derived, rounded, sql_input, table
+from splitwright.plans.inputs import derived, rounded, table
 from splitwright.plans.leakage import SQL as LEAKAGE_SQL
 from splitwright.plans.leakage import filter_breakdown, novelty_counts
 from splitwright.plans.names import sql_first

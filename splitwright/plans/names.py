@@ -18,7 +18,7 @@ from splitwright.functions.numbers import nearest_grid_value, to_number
 from splitwright.functions.sets import folded_set, word_shingles
 from splitwright.operators import dedupe, resolve
 from splitwright.plans import inputs as I
-from splitwright.plans.inputs import derived, rounded, sql_input, table
+from splitwright.plans.inputs import derived, sql_input, table
 
 
 # ---- SQL fragments ----

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from splitwright.operators import checks, profiles, registry, summary
 from splitwright.plans import inputs as I
 from splitwright.plans.inputs import derived, rounded, sql_input, table
-from splitwright.plans.names import SQL_SEVERITY, sql_first, sql_key, sql_number, sql_two_suffixes
+from splitwright.plans.names import SQL_SEVERITY, sql_key, sql_number, sql_two_suffixes
 
 
 def registry_rows(spark, sf_dir):
