@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from splitwright.llm import decontaminate, disclosure, language, lines, toxicity
+from splitwright.llm import decontaminate, disclosure, language, lines, mixing, recipes, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recipes.exact_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disclosure.pii_digest(table(spark, sf_dir, "documents"))
 
@@ -36,9 +44,13 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_language": op4_language,
     "op5_decontamination": op5_decontamination,
+    "op6_source_mixing": op6_source_mixing,
+    "op8_exact_dedup": op8_exact_dedup,
     "op10_personal_data": op10_personal_data,
 }
 SQL = {
     "op1_line_dedup": lines.SQL,
     "op5_decontamination": decontaminate.SQL,
+    "op6_source_mixing": mixing.SQL,
+    "op8_exact_dedup": recipes.SQL,
 }
