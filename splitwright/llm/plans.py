@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from splitwright.llm import decontaminate, disclosure, language, lines, mixing, near, recipes, toxicity
+from splitwright.llm import decontaminate, disclosure, language, lattice, lines, mixing, near, recipes, repeats, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +35,18 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op7_subword_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.language_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recipes.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disclosure.pii_digest(table(spark, sf_dir, "documents"))
 
@@ -50,7 +58,9 @@ QUERIES = {
     "op4_language": op4_language,
     "op5_decontamination": op5_decontamination,
     "op6_source_mixing": op6_source_mixing,
+    "op7_subword_scores": op7_subword_scores,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_repeated_text": op9_repeated_text,
     "op10_personal_data": op10_personal_data,
 }
 SQL = {
