@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from splitwright.llm import decontaminate, disclosure, language, lattice, lines, mixing, near, recipes, repeats, toxicity
 
 
@@ -62,6 +63,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_repeated_text": op9_repeated_text,
     "op10_personal_data": op10_personal_data,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {
     "op1_line_dedup": lines.SQL,
