@@ -5,9 +5,10 @@ A document is the set of its five-word shingles. Each of ``REGISTERS`` hash func
 candidates; a Jaccard estimate, corrected for the registers that agree by chance, drops hopeless ones; the
 rest is decided on the full sets.
 
-Equal sets are one node from the start. Groups need connectivity, not all pairs: first every node is
-compared with the node that most of its bands point to, which settles groups of copies with one
-comparison a node; afterwards only nodes outside the largest settled group of a bucket meet the bucket.
+Equal sets are one node from the start. Groups need connectivity, not all pairs: first every node meets one
+pivot of its buckets, chosen as the likely origin of the others, which settles groups of copies with one
+comparison a node; afterwards the strays, nodes outside the largest settled group of a bucket, meet that
+group and each other in blocks.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ LINK = (75, 100)
 ROWS, BANDS = 4, 32
 REGISTERS = ROWS * BANDS
 MANTISSA = 10
+#: Bytes of text in one block of a family.
+BLOCK_BYTES = 1_000_000
 #: Estimates below are dropped: five standard deviations under the threshold.
 LEAST_ESTIMATE = 0.75 - 5 * (0.75 * 0.25 / REGISTERS) ** 0.5
 
@@ -200,6 +203,105 @@ def _close_sizes(a, b):
     return (F.lit(LINK[1]) * F.least(a, b)) >= (F.lit(LINK[0]) * F.greatest(a, b))
 
 
+def shared_bands(nodes: DataFrame) -> DataFrame:
+    """``band, id, n, weight`` of bands that several nodes share. The weight of a node is the sum of its
+    buckets' sizes: the text that others are copies of has its own registers in the largest buckets."""
+    bands = stored(band_rows(nodes), "bands")
+    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
+    shared = stored(bands.join(stored(sizes, "band-sizes"), "band"), "shared-bands")
+    weights = stored(shared.groupBy("id").agg(F.sum("k").alias("weight")), "weights")
+    return shared.drop("k").join(weights, "id")
+
+
+def open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several labels, with the label that most members have."""
+    known = buckets.join(labels, "id")
+    parts = known.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"))
+    major = parts.groupBy("band").agg(F.max(F.struct("k", "label")).alias("m"), F.count(F.lit(1)).alias("parts"))
+    major = stored(major.where(F.col("parts") > 1).select("band", F.col("m.label").alias("major")), "open-bands")
+    return stored(known.join(major, "band"), "open-buckets")
+
+
+def star_pairs(buckets: DataFrame) -> DataFrame:
+    """Each node with one other: of the heaviest nodes of its buckets the one that most bands point to."""
+    pivots = buckets.groupBy("band").agg(F.max(F.struct("weight", (-F.col("id")).alias("p"), "n")).alias("top"))
+    pivots = pivots.select("band", (-F.col("top.p")).alias("pivot"), F.col("top.n").alias("m"))
+    met = buckets.join(stored(pivots, "pivots"), "band").where((F.col("id") != F.col("pivot")) & _close_sizes(F.col("n"), F.col("m")))
+    votes = met.groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("k"))
+    best = votes.groupBy("id").agg((-F.max(F.struct("k", (-F.col("pivot")).alias("p")))["p"]).alias("pivot"))
+    return best.select(F.least("id", "pivot").alias("id_a"), F.greatest("id", "pivot").alias("id_b")).distinct()
+
+
+def family_links(buckets: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``id_a, id_b`` that the first comparison has left open.
+
+    A bucket that holds several labels belongs to the family of its most common one; its other members
+    are strays of that family. Strays are compared with all members and all strays of the family, which
+    covers every pair of the bucket. Both sides come in blocks of texts of bounded size, so pairs are
+    never rows, and a pair of blocks returns a spanning forest of its links.
+    """
+    still = open_buckets(buckets, labels)
+    strays = stored(still.where(F.col("label") != F.col("major")).select(F.col("major").alias("family"), "id").distinct(), "strays")
+    families = stored(strays.select("family").distinct(), "families")
+    members = labels.join(families, F.col("label") == F.col("family")).select("family", "id", F.lit(True).alias("member"))
+    every = members.unionByName(strays.withColumn("member", F.lit(False)))
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        found = stored(rows.join(texts, "id"), "family-texts")
+        sizes = found.groupBy("family").agg(F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES).alias("parts"))
+        dealt = found.join(stored(sizes, "family-sizes"), "family").withColumn("part", F.pmod(F.xxhash64("id"), F.greatest("parts", F.lit(1))))
+        return dealt.groupBy("family", "part").agg(F.collect_list(F.struct("id", "member", "text")).alias(name)).drop("part")
+
+    def work():
+        hashes = WordHashes()
+
+        def step(batch: pa.RecordBatch):
+            for i in range(batch.num_rows):
+                edges = sorted(block_links(batch["left"][i].as_py(), batch["right"][i].as_py(), hashes))
+                yield pa.record_batch([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["id_a", "id_b"])
+
+        return step
+
+    met = blocks(strays.withColumn("member", F.lit(False)), "left").join(blocks(every, "right"), "family")
+    return arrow_map(met.select("left", "right"), work, "id_a long, id_b long").where(F.col("id_a") != F.col("id_b"))
+
+
+def block_links(left: list[dict], right: list[dict], hashes: WordHashes) -> set[tuple[int, int]]:
+    """A spanning forest of the links between two blocks; members of the family count as linked.
+
+    Shared shingles are counted through an inverted list of the right block.
+    """
+    sets = [shingles(hashes.of(space_words(r["text"].encode()))) for r in right]
+    sizes = np.array([len(s) for s in sets])
+    values, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], owners[order]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    family = [r["id"] for r in right if r["member"]]
+    for other in family[1:]:
+        parent[root(other)] = root(family[0])
+    forest = set()
+    for row in left:
+        own = shingles(hashes.of(space_words(row["text"].encode())))
+        low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+        counts = high - low
+        at = np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        common = np.bincount(owners[at], minlength=len(sets))
+        for j in np.flatnonzero(LINK[1] * common >= LINK[0] * (len(own) + sizes - common)):
+            a, b = row["id"], right[j]["id"]
+            if a != b and root(a) != root(b):
+                parent[root(a)] = root(b)
+                forest.add((min(a, b), max(a, b)))
+    return forest
+
+
 def near_rows(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept, _key1, _key2`` of every document.
 
@@ -213,39 +315,20 @@ def near_rows(docs: DataFrame) -> DataFrame:
     nodes = full.groupBy("fp").agg(first, F.first("n").alias("n"), F.first("regs").alias("regs"))
     nodes = stored(nodes.select("fp", F.col("_first._row").alias("id"), "_first._key1", "_first._key2", "n", "regs"), "nodes")
 
-    bands = stored(band_rows(nodes), "bands")
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("pivot")).where(F.col("k") > 1)
-    buckets = stored(bands.join(stored(shared.select("band", "pivot"), "pivots"), "band"), "buckets")
-
-    # each node and the pivot that most of its bands point to
-    votes = buckets.where(F.col("id") != F.col("pivot")).groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("k"))
-    stars = votes.groupBy("id").agg(F.max(F.struct("k", (-F.col("pivot")).alias("p"))).alias("best"))
-    stars = stars.select((-F.col("best.p")).alias("id_a"), F.col("id").alias("id_b"))
-    stars = stored(likely(stars, nodes), "likely")
-
+    buckets = stored(shared_bands(nodes), "buckets")
     keyed = documents(docs)
     keyed = keyed.select("text", *row_key(keyed))
     wanted = buckets.select("id").distinct().join(nodes.select("id", "_key1", "_key2"), "id")
-    texts = keyed.join(stored(wanted, "wanted"), ["_key1", "_key2"]).dropDuplicates(["id"]).select("id", "text")
-    texts = stored(texts, "texts")
+    # one plan at every size: the texts move once, to where their keys are
+    found = keyed.join(stored(wanted, "wanted").hint("merge"), ["_key1", "_key2"])
+    texts = stored(found.dropDuplicates(["id"]).select("id", "text"), "texts")
 
-    near = stored(linked(stars, texts), "links")
-    labels = _labels(nodes, near)
-    known = stored(buckets.join(labels, "id"), "buckets")
-    parts = known.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"))
-    major = parts.groupBy("band").agg(F.max(F.struct("k", "label")).alias("m"), F.count(F.lit(1)).alias("parts"))
-    major = stored(major.where(F.col("parts") > 1).select("band", F.col("m.label").alias("major")), "open-buckets")
-    still = known.join(major, "band")
-    minor, every = still.where(F.col("label") != F.col("major")).alias("l"), still.alias("r")
-    once = (F.col("r.label") == F.col("r.major")) | (F.col("l.id") < F.col("r.id"))
-    apart = (F.col("l.label") != F.col("r.label")) & once & _close_sizes(F.col("l.n"), F.col("r.n"))
-    met = minor.join(every, (F.col("l.band") == F.col("r.band")) & apart)
-    pairs = met.select(F.least("l.id", "r.id").alias("id_a"), F.greatest("l.id", "r.id").alias("id_b")).distinct()
-    pairs = stored(likely(pairs, nodes).join(stars, ["id_a", "id_b"], "left_anti"), "likely")
-    far = linked(pairs, texts)
+    stars = stored(likely(star_pairs(buckets), nodes), "likely")
+    labels = _labels(nodes, stored(linked(stars, texts), "links"))
+    rest = stored(family_links(buckets, labels, texts), "links")
     # settled groups take part as stars
     settled = labels.where(F.col("id") != F.col("label")).select(F.col("label").alias("id_a"), F.col("id").alias("id_b"))
-    labels = _labels(nodes, settled.unionByName(far))
+    labels = _labels(nodes, settled.unionByName(rest))
 
     classes = stored(nodes.select("fp", "id").join(labels, "id").select("fp", "label"), "classes")
     placed = rows.select("doc_id", "_row", "_key1", "_key2", "n", "fp").join(classes, "fp", "left")
