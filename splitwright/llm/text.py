@@ -13,6 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from splitwright.operators.checks import require_columns
 
@@ -93,7 +94,7 @@ def text_slices(column: pa.Array) -> Iterator[list[bytes]]:
         yield part
 
 
-def arrow_map(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with per-worker set-up: ``work()`` runs once per task and returns the batch function."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,8 @@
 """Toxicity: logistic regression by FTRL-proximal over hashed word n-grams and skip-grams.
 
-Each shard of the training sample runs its own per-coordinate FTRL; the shards' weights are averaged.
-The L1 term leaves few weights, at most ``2 ** BITS`` by construction, so they may be broadcast, and
-scoring is one pass over the documents without a shuffle.
+Learning is sequential, so a sample of bounded size is learned in one task. The L1 term leaves few weights,
+at most ``2 ** BITS`` by construction, so they may be broadcast, and scoring is one pass over the documents
+without a shuffle.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from splitwright.llm.text import WordHashes, alnum_words, arrow_map, documents, mixed, remainder, texts_of, with_column
 from splitwright.operators.checks import require_columns
@@ -20,9 +21,8 @@ from splitwright.operators.checks import require_columns
 BITS = 20
 #: The sample: at most so many labelled rows, those with the smallest hash of the id.
 TRAIN_ROWS = 20_000
-SHARDS = 4
 EPOCHS = 5
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.0, 1.0
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 1.0
 THRESHOLD = 0.3
 HELD_OUT = (4, 2)
 
@@ -75,7 +75,6 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(TRAIN_ROWS)
     # the limit bounds what is broadcast, so the texts of all other rows stay where they are
     rows = documents(docs).join(F.broadcast(known), "doc_id").withColumn("_order", F.xxhash64("doc_id", "text"))
-    shard = F.pmod(F.shiftright(F.col("_order"), 40), F.lit(SHARDS))
 
     def fit(group: pa.Table) -> pa.Table:
         hashes = WordHashes()
@@ -85,11 +84,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(w)
         return pa.table({"at": pa.array(np.append(at, -1), pa.int64()), "weight": pa.array(np.append(w[at], bias), pa.float64())})
 
-    fits = rows.groupBy(shard.alias("_shard")).applyInArrow(fit, "at long, weight double")
-    sums = fits.groupBy("at").agg(F.sort_array(F.collect_list("weight")).alias("w"), F.count(F.lit(1)).alias("n")).toArrow()
-    at = sums["at"].to_numpy()
-    shards = max([*sums["n"].to_numpy()[at == -1], 1])
-    return at, np.array([sum(w) for w in sums["w"].to_pylist()], np.float64) / shards
+    found = rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(fit, "at long, weight double").toArrow()
+    return found["at"].to_numpy(), found["weight"].to_numpy()
 
 
 def scored(df: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -110,7 +106,7 @@ def scored(df: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
 
         return step
 
-    return arrow_map(df, work, ", ".join(f"`{n}` {t}" for n, t in [*df.dtypes, ("_score", "double")]))
+    return arrow_map(df, work, T.StructType([*df.schema.fields, T.StructField("_score", T.DoubleType())]))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
