@@ -10,20 +10,18 @@ same split, which is nearly all of a large input, are predicted exactly.
 
 from __future__ import annotations
 
-import pickle
-import random
-from collections.abc import Iterator
-from dataclasses import dataclass, replace
+import hashlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splitwright.functions.ids import own_group_key
 from splitwright.operators.checks import SchemaError, reject_nulls, require_columns
-from splitwright.session import checkpointed
+from splitwright.session import checkpointed, stored
 
 SPLITS = ("train", "val", "test")
 # Default fractions and the sum tolerance.
@@ -44,15 +42,14 @@ def split_targets(total: int, fractions: tuple[float, float, float]) -> tuple[in
 
 @dataclass(frozen=True)
 class Fill:
-    """State between two groups: rows and positives per split, and the tie generator."""
+    """State between two groups: rows and positives per split."""
 
     rows: tuple[int, int, int] = (0, 0, 0)
     positives: tuple[int, int, int] = (0, 0, 0)
-    ties: bytes = b""
 
     def add(self, split: int, rows: int, positives: int) -> "Fill":
         bump = lambda t, v: tuple(x + (v if k == split else 0) for k, x in enumerate(t))
-        return replace(self, rows=bump(self.rows, rows), positives=bump(self.positives, positives))
+        return Fill(bump(self.rows, rows), bump(self.positives, positives))
 
 
 @dataclass(frozen=True)
@@ -73,7 +70,12 @@ _BURST, _LONGEST_RUN = 64, 1 << 18
 _EXACT_SQUARES = 1 << 30
 
 
-def _step(state: Fill, targets: Targets, size: int, plus: int, ties: random.Random | None) -> int:
+def drawn(seed: int, key, tied: list[int]) -> int:
+    """The tied split whose name has the smallest MD5 together with the seed and the group's key."""
+    return min(tied, key=lambda k: hashlib.md5(f"{seed}:{key}:{SPLITS[k]}".encode()).hexdigest())
+
+
+def _step(state: Fill, targets: Targets, size: int, plus: int, draw: Callable[[list[int]], int] | None) -> int:
     costs = []
     for k in range(3):
         after = targets.rows[k] - state.rows[k] - size
@@ -81,7 +83,7 @@ def _step(state: Fill, targets: Targets, size: int, plus: int, ties: random.Rand
         costs.append((max(0, -after), max(0, after) ** 2 + gap * gap))
     best = min(costs)
     tied = [k for k in _BY_NAME if costs[k] == best]
-    return ties.choice(tied) if ties is not None and len(tied) > 1 else tied[0]
+    return draw(tied) if draw is not None and len(tied) > 1 else tied[0]
 
 
 def _run_length(state: Fill, targets: Targets, pick: int, size: np.ndarray, plus: np.ndarray) -> int:
@@ -112,23 +114,21 @@ def _run_length(state: Fill, targets: Targets, pick: int, size: np.ndarray, plus
 
 
 def greedy_fill(
-    size: np.ndarray, plus: np.ndarray, state: Fill, targets: Targets
+    size: np.ndarray, plus: np.ndarray, state: Fill, targets: Targets, keys=None, seed: int | None = None
 ) -> tuple[np.ndarray, Fill]:
     """Split number per group, in order, and the state after the last one.
 
-    Short bursts of single steps alternate with whole runs that go to one split.
+    Short bursts of single steps alternate with whole runs that go to one split. With a seed, equal
+    costs are decided by :func:`drawn` from the group's key, so a tie does not depend on earlier ones.
     """
     size, plus = size.astype(np.int64), plus.astype(np.int64)
     picks = np.empty(len(size), dtype=np.int8)
-    ties = None
-    if state.ties:
-        ties = random.Random()
-        ties.setstate(pickle.loads(state.ties))
     at = 0
     while at < len(size):
         start, stop = at, min(len(size), at + _BURST)
         while at < stop:
-            pick = _step(state, targets, int(size[at]), int(plus[at]), ties)
+            draw = None if seed is None else (lambda tied, key=keys[at]: drawn(seed, key, tied))
+            pick = _step(state, targets, int(size[at]), int(plus[at]), draw)
             state = state.add(pick, int(size[at]), int(plus[at]))
             picks[at] = pick
             at += 1
@@ -143,52 +143,54 @@ def greedy_fill(
                 if at < stop:
                     break
                 width = min(2 * width, _LONGEST_RUN)
-    if ties is not None:
-        state = replace(state, ties=pickle.dumps(ties.getstate()))
     return picks, state
 
 
-def _fold_batches(batches: Iterator[pd.DataFrame], state: Fill, targets: Targets):
+def _fold_batches(batches: Iterator[pd.DataFrame], starts: dict[int, Fill], targets: Targets, key: str, seed: int | None):
+    """Fold every range from its start state: ``range, rows, picks, state`` a piece.
+
+    The range is a column of the rows. Task numbers would not do: a later ``coalesce`` or ``union``
+    runs several ranges in one task, under another number.
+    """
+    at, state = None, None
     for batch in batches:
-        picks, state = greedy_fill(batch["size"].to_numpy(), batch["positives"].to_numpy(), state, targets)
-        yield batch, picks, state
+        for r, rows in batch.groupby("_range", sort=False):
+            if r != at:
+                at, state = r, starts[int(r)]
+            picks, state = greedy_fill(
+                rows["size"].to_numpy(), rows["positives"].to_numpy(), state, targets, rows[key].to_numpy(), seed
+            )
+            yield at, rows, picks, state
 
 
-def _range_start_states(groups: DataFrame, targets: Targets, first: Fill) -> dict[int, Fill]:
+def _range_start_states(groups: DataFrame, key: str, targets: Targets, seed: int | None) -> dict[int, Fill]:
     """State at the start of every range of ordered groups, found by predict and verify."""
-    ranges = groups.rdd.getNumPartitions()
-    if ranges == 1:
-        return {0: first}
-    totals = groups.groupBy(F.spark_partition_id().alias("r")).agg(F.sum("size"), F.sum("positives"))
+    totals = groups.groupBy("_range").agg(F.sum("size"), F.sum("positives"))
     sums = {r: (int(n), int(p)) for r, n, p in totals.collect()}  # one row per range
+    order = sorted(sums)  # ranges without rows change nothing
 
-    starts, at, state, likely, width = {0: first}, 0, first, None, 1
-    while at < ranges:
-        guess = {at: state}
+    starts, at, state, likely, width = {}, 0, Fill(), None, 1
+    while at < len(order):
+        guess = {order[at]: state}
         if likely is not None:
-            for r in range(at, min(at + width, ranges) - 1):
-                guess[r + 1] = guess[r].add(likely, *sums.get(r, (0, 0)))
+            for before, r in zip(order[at : at + width - 1], order[at + 1 : at + width]):
+                guess[r] = guess[before].add(likely, *sums[before])
 
         def fold(batches, guess=guess):
-            r = TaskContext.get().partitionId()
-            if r not in guess:
-                return
-            end, last = guess[r], -1
-            for _, picks, end in _fold_batches(batches, guess[r], targets):
-                last = int(picks[-1]) if len(picks) else last
-            yield pd.DataFrame({"r": [r], "last": [last], "state": [pickle.dumps(end)]})
-
-        ahead = groups.where(F.spark_partition_id().between(at, at + len(guess) - 1)).select("size", "positives")
-        folded = ahead.mapInPandas(fold, "r int, last int, state binary").collect()  # one row per range
-        ends = {row["r"]: (row["last"], pickle.loads(row["state"])) for row in folded}
+            ends = {}
+            for r, _, picks, end in _fold_batches(batches, guess, targets, key, seed):
+                ends[r] = (int(picks[-1]), *end.rows, *end.positives)
+            if ends:
+                yield pd.DataFrame([(r, e[0], list(e[1:])) for r, e in ends.items()], columns=["r", "last", "state"])
+
+        ahead = groups.where(F.col("_range").between(order[at], max(guess)))
+        folded = ahead.mapInPandas(fold, "r int, last int, state array<long>").collect()  # one row per range
+        ends = {row["r"]: (row["last"], Fill(tuple(row["state"][:3]), tuple(row["state"][3:]))) for row in folded}
         begun = at
-        while at < ranges and guess.get(at) == state:
-            last, end = ends.get(at, (-1, state))  # an empty range changes nothing
-            # equal generator states share one object, which keeps the task closures small
-            state = replace(end, ties=state.ties) if end.ties == state.ties else end
-            likely = last if last >= 0 else likely
+        while at < len(order) and guess.get(order[at]) == state:
+            starts[order[at]] = state
+            likely, state = ends[order[at]]
             at += 1
-            starts[at] = state
         # look further ahead after a full hit, as far as it was right after a miss
         width = 8 * len(guess) if at - begun == len(guess) else max(1, at - begun)
     return starts
@@ -202,27 +204,27 @@ def assign_groups(
 ) -> DataFrame:
     """``key, split`` for groups ``key, size, positives``, taken by descending size, then key.
 
-    With a seed, equal costs are decided by a seeded draw among the tied splits; without one, the
-    alphabetically first is taken.
+    With a seed, equal costs are decided by a hash of seed and key among the tied splits; without one,
+    the alphabetically first is taken. The assignment is written once, so all that is derived from it
+    agrees.
     """
     check_fractions(fractions)
     require_columns(groups, [key, "size", "positives"], "groups")
     order = [F.desc("size"), F.asc(key)]
     ordered = groups.select(key, F.col("size").cast("long"), F.col("positives").cast("long"))
-    ordered = checkpointed(ordered.repartitionByRange(*order).sortWithinPartitions(*order))
+    ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = checkpointed(ordered.withColumn("_range", F.spark_partition_id()))
     n, p = ordered.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("positives"), F.lit(0))).first()
     targets = Targets(split_targets(int(n), fractions), split_targets(int(p), fractions))
-    ties = b"" if seed is None else pickle.dumps(random.Random(seed).getstate())
-    starts = _range_start_states(ordered, targets, Fill(ties=ties))
+    starts = _range_start_states(ordered, key, targets, seed)
     names = np.array(SPLITS, dtype=object)
 
     def replay(batches):
-        start = starts[TaskContext.get().partitionId()]
-        for batch, picks, _ in _fold_batches(batches, start, targets):
-            yield pd.DataFrame({key: batch[key], "split": names[picks]})
+        for _, rows, picks, _ in _fold_batches(batches, starts, targets, key, seed):
+            yield pd.DataFrame({key: rows[key], "split": names[picks]})
 
     key_type = groups.schema[key].dataType.simpleString()
-    return ordered.mapInPandas(replay, f"`{key}` {key_type}, split string")
+    return stored(ordered.mapInPandas(replay, f"`{key}` {key_type}, split string"), "assignment")
 
 
 def group_table(items: DataFrame, id_col: str, group_col: str, label_col: str | None) -> DataFrame:

@@ -123,8 +123,19 @@ def _cost(split: str) -> str:
     )
 
 
-def sql_greedy(groups: str, key: str, fractions: tuple[float, float, float] = (0.8, 0.1, 0.1)) -> str:
-    """CTEs ``ordered, totals, walk``: one row per group with its ``split``; ties take the first name."""
+def _wins(split: str, other: str, seed: int | None) -> str:
+    """Condition that ``split`` is taken before ``other``."""
+    if seed is None:
+        return f"c_{split} <= c_{other}" if split < other else f"c_{split} < c_{other}"
+    tie = f"md5('{seed}:' || key || ':{split}') < md5('{seed}:' || key || ':{other}')"
+    return f"(c_{split} < c_{other} or c_{split} = c_{other} and {tie})"
+
+
+def sql_greedy(groups: str, key: str, fractions: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int | None = None) -> str:
+    """CTEs ``ordered, totals, walk``: one row per group with its ``split``.
+
+    Ties take the first name or, with a seed, the smallest MD5 of seed, key and name.
+    """
     a, b = fractions[0], fractions[1]
     targets = ", ".join(
         f"cast(round_even({c} * {a}, 0) as bigint) as {x}_train, cast(round_even({c} * {b}, 0) as bigint) as {x}_val, "
@@ -143,21 +154,23 @@ walk(rn, key, split, f_train, f_val, f_test, p_train, p_val, p_test) as (
   select cast(0 as bigint), (select min(key) from ordered), '', cast(0 as bigint), cast(0 as bigint), cast(0 as bigint), cast(0 as bigint), cast(0 as bigint), cast(0 as bigint)
   union all
   select rn, key, pick, {adds} from (
-    select g.rn, g.key, g.size, g.positives, w.f_train, w.f_val, w.f_test, w.p_train, w.p_val, w.p_test,
-      case when {_cost('test')} <= {_cost('train')} and {_cost('test')} <= {_cost('val')} then 'test'
-           when {_cost('train')} <= {_cost('val')} then 'train' else 'val' end as pick
-    from walk w join ordered g on g.rn = w.rn + 1 cross join totals t)),
+    select *, case when {_wins('test', 'train', seed)} and {_wins('test', 'val', seed)} then 'test'
+      when {_wins('train', 'val', seed)} then 'train' else 'val' end as pick
+    from (
+      select g.rn, g.key, g.size, g.positives, w.f_train, w.f_val, w.f_test, w.p_train, w.p_val, w.p_test,
+        {_cost('test')} as c_test, {_cost('train')} as c_train, {_cost('val')} as c_val
+      from walk w join ordered g on g.rn = w.rn + 1 cross join totals t))),
 placed as (select key, split from walk where rn > 0)"""
 
 
 _OWN = "case when coalesce(group_key, '') = '' then '_acyclic_' || cast(id as varchar) else group_key end"
 
 
-def sql_group_split(source: str, fractions: tuple[float, float, float] = (0.8, 0.1, 0.1)) -> str:
+def sql_group_split(source: str, fractions: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int | None = None) -> str:
     return f"""
 with recursive items as (select *, {_OWN} as g from {source}),
 grouped as (select g, count(*) as size, sum(label) as positives from items group by 1),
-{sql_greedy('grouped', 'g', fractions)},
+{sql_greedy('grouped', 'g', fractions, seed)},
 assigned as (select i.*, p.split from items i join placed p on i.g = p.key)
 """
 
@@ -171,6 +184,7 @@ SQL = {
     "group_table": f"select {_OWN} as group_key, count(*) as size, cast(sum(label) as bigint) as positives from {_ORDERS} group by 1",
     "group_split": sql_group_split(_DOCS) + "select id, group_key, split from assigned",
     "group_split_orders": _ORDER_SPLIT + "select id, split from assigned",
+    "group_split_seeded": sql_group_split(_ORDERS, seed=42) + "select id, split from assigned",
     "group_split_wide_test": sql_group_split(_DOCS, (0.75, 0.10, 0.15)) + "select id, split from assigned",
     "group_split_external_ratio": sql_group_split(_DOCS, (0.70, 0.10, 0.20)) + "select id, split from assigned",
     "class_balance": _ORDER_SPLIT + "," + _BALANCE + "select split, round(rate, 6) as rate, cast(n_pos as bigint) as n_pos, n_total from bal",

@@ -1,5 +1,4 @@
-import pickle
-import random
+import hashlib
 
 import numpy as np
 import pytest
@@ -10,19 +9,20 @@ from splitwright.operators.checks import SchemaError
 from splitwright.operators.splits import Fill, Targets, greedy_fill, split_targets
 
 
-def plain_greedy(groups, fractions=(0.8, 0.1, 0.1), seed=None):
+def plain_greedy(groups, fractions=(0.8, 0.1, 0.1), seed=None, keys=None):
     """Straightforward form of the greedy rule on (size, positives) pairs in order."""
     n, p = sum(g for g, _ in groups), sum(q for _, q in groups)
     goal, pgoal = dict(zip(splits.SPLITS, split_targets(n, fractions))), dict(zip(splits.SPLITS, split_targets(p, fractions)))
     fill, pos = dict.fromkeys(splits.SPLITS, 0), dict.fromkeys(splits.SPLITS, 0)
-    draw, out = random.Random(seed), []
-    for g, q in groups:
+    out = []
+    for i, (g, q) in enumerate(groups):
         cost = {}
         for s in splits.SPLITS:
             over = max(0, fill[s] + g - goal[s])
             cost[s] = max(0, goal[s] - fill[s] - g) ** 2 + 10 * n * n * over + (pos[s] + q - pgoal[s]) ** 2
         tied = sorted(s for s in splits.SPLITS if cost[s] == min(cost.values()))
-        pick = tied[0] if seed is None or len(tied) == 1 else draw.choice(tied)
+        mark = lambda s: hashlib.md5(f"{seed}:{keys[i]}:{s}".encode()).hexdigest()  # noqa: B023, E731
+        pick = tied[0] if seed is None else min(tied, key=mark)
         fill[pick] += g
         pos[pick] += q
         out.append(pick)
@@ -42,9 +42,9 @@ def test_runs_equal_single_steps(seed, largest):
         groups = random_groups(rng, n, largest)
         size, plus = np.array([g[0] for g in groups]), np.array([g[1] for g in groups])
         targets = Targets(split_targets(int(size.sum()), (0.8, 0.1, 0.1)), split_targets(int(plus.sum()), (0.8, 0.1, 0.1)))
-        start = Fill(ties=b"" if seed is None else pickle.dumps(random.Random(seed).getstate()))
-        picks, _ = greedy_fill(size, plus, start, targets)
-        assert [splits.SPLITS[k] for k in picks] == plain_greedy(groups, seed=seed)
+        keys = [f"k{i}" for i in range(n)]
+        picks, _ = greedy_fill(size, plus, Fill(), targets, keys, seed)
+        assert [splits.SPLITS[k] for k in picks] == plain_greedy(groups, seed=seed, keys=keys)
 
 
 def test_very_large_counts_stay_exact():
@@ -58,23 +58,39 @@ def test_very_large_counts_stay_exact():
 
 @pytest.mark.parametrize("seed", [None, 42])
 @pytest.mark.parametrize("largest", [1, 12])
-def test_many_ranges_equal_one(spark, seed, largest):
+def test_many_ranges_equal_one(spark, monkeypatch, seed, largest):
     """The assignment does not depend on how many tasks hold the ordered groups."""
     rng = np.random.default_rng(11)
     groups = random_groups(rng, 5000, largest)
     rows = [(f"g{rng.integers(10**9):010d}-{i}", s, p) for i, (s, p) in enumerate(groups)]
     rows.sort(key=lambda r: (-r[1], r[0]))
     df = spark.createDataFrame(rows, "group_key string, size long, positives long").repartition(8)
-    want = dict(zip([r[0] for r in rows], plain_greedy([(r[1], r[2]) for r in rows], seed=seed)))
+    want = dict(zip([r[0] for r in rows], plain_greedy([(r[1], r[2]) for r in rows], seed=seed, keys=[r[0] for r in rows])))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr(splits, "stored", lambda df, label: df)  # without the written copy
     try:
         got = splits.assign_groups(df, "group_key", seed=seed)
         assert got.rdd.getNumPartitions() > 4
-        assert {r[0]: r[1] for r in got.collect()} == want
+        as_dict = lambda d: {r[0]: r[1] for r in d.collect()}
+        assert as_dict(got) == want
+        # other task numbers and several ranges in one task change nothing
+        assert as_dict(got.coalesce(1)) == want and as_dict(got.coalesce(3)) == want
+        other = spark.createDataFrame([("x", "train")], "group_key string, split string").repartition(5)
+        assert as_dict(other.union(got)) == want | {"x": "train"} == as_dict(got.union(other))
+        some = spark.createDataFrame([(k,) for k in list(want)[::7]], "group_key string")
+        assert as_dict(got.join(F.broadcast(some), "group_key").coalesce(1)) == {k: want[k] for k in list(want)[::7]}
+        assert all(want[r[0]] == r[1] for r in got.limit(40).collect())
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+def test_seeds_draw_differently(spark):
+    rows = [(f"g{i:03d}", 1, 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "group_key string, size long, positives long")
+    drawn = {tuple(sorted(map(tuple, splits.assign_groups(df, "group_key", seed=s).collect()))) for s in range(5)}
+    assert len(drawn) > 1
+
+
 # group -> (positive, negative) rows of the fixture; the last one has no key
 FIXTURE = {"Sa": (4, 4), "Sb": (3, 3), "Sc": (3, 2), "Sd": (2, 2), "Se": (2, 2), "Sf": (2, 1), "Sg": (1, 2), "Sh": (2, 1),
            "Si": (1, 2), "Sj": (2, 1), "Sk": (1, 1), "": (2, 4)}
@@ -109,7 +125,7 @@ def test_group_split_properties(spark, items):
 def test_matches_plain_rule(spark, items):
     groups = splits.group_table(items, "id", "group_key", "label").collect()
     groups.sort(key=lambda r: (-r["size"], r["group_key"]))
-    want = dict(zip([r["group_key"] for r in groups], plain_greedy([(r["size"], r["positives"]) for r in groups], seed=42)))
+    want = dict(zip([r["group_key"] for r in groups], plain_greedy([(r["size"], r["positives"]) for r in groups], seed=42, keys=[r["group_key"] for r in groups])))
     got = {r["group_key"] or f"_acyclic_{r['id']}": r["split"] for r in splits.group_split(items).collect()}
     assert got == want
 
