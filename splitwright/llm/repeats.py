@@ -28,10 +28,10 @@ from splitwright.session import stored
 
 LENGTH = 200
 GRAM = 64
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 #: Bytes of one suffix array.
-SHARD_BYTES = 2_000_000
-_CHUNK = 1 << 22
+SHARD_BYTES = 1_000_000
+_CHUNK = 1 << 21
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
 
