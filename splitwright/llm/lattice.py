@@ -21,17 +21,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitwright.llm.text import arrow_map, documents, remainder, space_words, texts_of
+from splitwright.llm.text import arrow_map, bounded_batches, documents, remainder, space_words, texts_of
 from splitwright.session import stored
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 HELD_OUT = (10, 0)
-ROUNDS = 3
-BLOCK_BYTES = 8_000_000
-_MARK = "▁".encode()
+ROUNDS = 2
+BLOCK_BYTES = 4_000_000
+#: Lattices of so many words are worked on together.
+WORDS_AT_ONCE = 60_000
+#: Stands for the mark of a word's begin, as one byte that no text has.
+_MARK = b"\xff"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xC2B2AE3D27D4EB4F)
 DISCOUNT = 0.6
@@ -50,7 +54,7 @@ def load_pieces(path: str = PIECES) -> tuple[list[bytes], np.ndarray]:
     for i in range(model.get_piece_size()):
         if model.is_control(i) or model.is_unknown(i) or model.is_byte(i):
             continue
-        piece = model.id_to_piece(i).encode()
+        piece = model.id_to_piece(i).encode().replace("▁".encode(), _MARK)
         if piece == piece.lower():
             weights[piece] = weights.get(piece, 0.0) + 1.0 / (10.0 - model.get_score(i))
     pieces = sorted(weights)
@@ -61,19 +65,18 @@ class Lattice:
     """Segmentation lattices of many words at once."""
 
     def __init__(self, pieces: list[bytes], log_p: np.ndarray):
-        self.log_p = np.append(log_p, -np.inf)
+        self.log_p = log_p
+        self.powers = np.array([pow(int(_BASE), i, 1 << 64) for i in range(max(map(len, pieces)) + 1)], np.uint64)
         self.longest = max(map(len, pieces))
         keys = np.array([self._hash(p) for p in pieces], np.uint64)
         self.bits = max(4, int(math.log2(len(pieces))) + 4)
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.ids = np.full(1 << self.bits, len(pieces), np.int32)
-        self.depth = 1
         for i, (key, place) in enumerate(zip(keys, self._places(keys))):
             step = 0
             while self.ids[(place + step) % len(self.ids)] != len(pieces):
                 step += 1
             self.keys[(place + step) % len(self.ids)], self.ids[(place + step) % len(self.ids)] = key, i
-            self.depth = max(self.depth, step + 1)
 
     @staticmethod
     def _hash(piece: bytes) -> int:
@@ -86,37 +89,41 @@ class Lattice:
         with np.errstate(over="ignore"):
             return ((keys ^ (keys >> np.uint64(32))) * _SPREAD >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Piece number of each substring hash, or the number of pieces."""
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where substring hashes are pieces, and which."""
         place = self._places(keys)
-        found = np.where(self.keys[place] == keys, self.ids[place], len(self.log_p) - 1)
-        for step in range(1, self.depth):
-            near = (place + step) % len(self.ids)
-            found = np.where(self.keys[near] == keys, self.ids[near], found)
-        return found
-
-    def _edges(self, codes: np.ndarray) -> np.ndarray:
-        """``[end, length - 1, word]``: the piece of that length that ends there."""
+        held = self.keys[place]
+        hit = held == keys
+        found = np.where(hit, self.ids[place], -1)
+        left = np.flatnonzero(~hit & (held != 0))
+        while len(left):
+            place[left] = (place[left] + 1) % len(self.ids)
+            held = self.keys[place[left]]
+            hit = held == keys[left]
+            found[left[hit]] = self.ids[place[left[hit]]]
+            left = left[~hit & (held != 0)]
+        at = np.flatnonzero(found >= 0)
+        return at, found[at]
+
+    def _edges(self, codes: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """``(begin, end, words, pieces)`` of all places of words of one length, ordered by end."""
         words, size = codes.shape
         prefix = np.zeros((size + 1, words), np.uint64)
-        edges = np.full((size + 1, min(size, self.longest), words), len(self.log_p) - 1, np.int32)
-        powers = [np.uint64(1)]
+        edges = []
         with np.errstate(over="ignore"):
-            for _ in range(self.longest):
-                powers.append(np.uint64(int(powers[-1]) * int(_BASE) % (1 << 64)))
-            for i in range(size):
-                prefix[i + 1] = prefix[i] * _BASE + codes[:, i] + np.uint64(1)
-                for m in range(1, min(i + 1, self.longest) + 1):
-                    edges[i + 1, m - 1] = self.find(prefix[i + 1] - prefix[i + 1 - m] * powers[m])
+            for end in range(1, size + 1):
+                prefix[end] = prefix[end - 1] * _BASE + codes[:, end - 1] + np.uint64(1)
+                for begin in range(end - 1, max(0, end - self.longest) - 1, -1):
+                    at, pieces = self.find(prefix[end] - prefix[begin] * self.powers[end - begin])
+                    if len(at):
+                        edges.append((begin, end, at, pieces))
         return edges
 
-    def _forward(self, edges: np.ndarray) -> np.ndarray:
-        size, words = edges.shape[0] - 1, edges.shape[2]
-        alpha = np.full((size + 1, words), -np.inf)
+    def _forward(self, codes: np.ndarray, edges: list) -> np.ndarray:
+        alpha = np.full((codes.shape[1] + 1, codes.shape[0]), -np.inf)
         alpha[0] = 0.0
-        for i in range(1, size + 1):
-            n = min(i, edges.shape[1])
-            alpha[i] = _log_sum(alpha[i - n : i][::-1] + self.log_p[edges[i, :n]])
+        for begin, end, at, pieces in edges:
+            alpha[end, at] = np.logaddexp(alpha[end, at], alpha[begin, at] + self.log_p[pieces])
         return alpha
 
     def batches(self, words: list[bytes]):
@@ -139,39 +146,31 @@ class Lattice:
         """Natural log probability of each word over all its segmentations."""
         out = np.zeros(len(words))
         for at, codes in self.batches(words):
-            out[at] = self._forward(self._edges(codes))[-1]
+            out[at] = self._forward(codes, self._edges(codes))[-1]
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece in the words, each weighted by its count."""
         total = np.zeros(len(self.log_p))
-        for at, codes in self.batches(words):
+        for number, codes in self.batches(words):
             edges = self._edges(codes)
-            alpha = self._forward(edges)
-            size = edges.shape[0] - 1
+            alpha = self._forward(codes, edges)
             beta = np.full(alpha.shape, -np.inf)
-            beta[size] = 0.0
-            for i in range(size - 1, -1, -1):
-                n = min(size - i, edges.shape[1])
-                lengths = np.arange(n)
-                beta[i] = _log_sum(beta[i + 1 : i + 1 + n] + self.log_p[edges[i + 1 + lengths, lengths]])
-            for i in range(1, size + 1):
-                n = min(i, edges.shape[1])
-                share = np.exp(alpha[i - n : i][::-1] + self.log_p[edges[i, :n]] + beta[i] - alpha[size]) * counts[at]
-                total += np.bincount(edges[i, :n].ravel(), weights=share.ravel(), minlength=len(total))
-        return total[:-1]
-
-
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=0)
-    safe = np.where(np.isfinite(top), top, 0.0)
-    with np.errstate(divide="ignore"):
-        return safe + np.log(np.exp(x - safe).sum(axis=0))
+            beta[-1] = 0.0
+            for begin, end, at, pieces in reversed(edges):
+                after = beta[end, at] + self.log_p[pieces]
+                beta[begin, at] = np.logaddexp(beta[begin, at], after)
+                share = np.exp(alpha[begin, at] + after - alpha[-1, at]) * counts[number[at]]
+                total += np.bincount(pieces, weights=share, minlength=len(total))
+        return total
 
 
 def token_blocks(docs: DataFrame, languages: list[str | None]) -> DataFrame:
-    """Blocks of documents: ``doc_id, held, size`` arrays, ``tokens`` numbering ``words``, and ``train``, the
-    counts of each word in the block's training documents, an array with a place for each language."""
+    """Blocks of documents: ``doc_id, held, size`` arrays, and ``tokens`` numbering ``words``.
+
+    ``place, n`` are the language of a word and its count there in training documents; ``more`` has the
+    words' further languages.
+    """
     modulus, out = HELD_OUT
     rows = _with_language(docs)
     rows = rows.withColumn("held", F.coalesce(remainder(F.col("doc_id"), modulus) == out, F.lit(False)))
@@ -189,7 +188,8 @@ def token_blocks(docs: DataFrame, languages: list[str | None]) -> DataFrame:
         if block.ids:
             yield block.row()
 
-    schema = "doc_id array<long>, held array<boolean>, size array<int>, tokens binary, words array<binary>, train array<array<long>>"
+    schema = "doc_id array<long>, held array<boolean>, size array<int>, tokens binary, words array<binary>, place array<int>, n array<long>, more array<struct<words:binary,place:int,n:long>>"
+    bounded_batches(docs.sparkSession)
     found = rows.select("doc_id", "held", "lang", "text").mapInArrow(run, schema)
     return stored(found.withColumn("_block", F.monotonically_increasing_id()), "token-blocks")
 
@@ -220,20 +220,36 @@ class _Block:
         tokens = np.concatenate(self.tokens)
         trained = np.repeat(~np.array(self.held), self.sizes)
         place = np.repeat(np.array(self.places), self.sizes)[trained]
-        train = np.bincount(tokens[trained].astype(np.int64) * self.languages + place, minlength=len(self.numbers) * self.languages)
-        offsets = np.arange(len(self.numbers) + 1, dtype=np.int32) * self.languages
-        counts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(train))
+        pairs, n = np.unique(tokens[trained].astype(np.int64) * self.languages + place, return_counts=True)
+        word, place = pairs // self.languages, pairs % self.languages
+        first = np.concatenate([[True], word[1:] != word[:-1]]) if len(word) else np.empty(0, bool)
+        places, counts = np.zeros(len(self.numbers), np.int32), np.zeros(len(self.numbers), np.int64)
+        places[word[first]], counts[word[first]] = place[first], n[first]
+        words = list(self.numbers)
+        more = [{"words": words[w], "place": int(p), "n": int(c)} for w, p, c in zip(word[~first], place[~first], n[~first])]
         columns = {
             "doc_id": pa.array([self.ids], pa.list_(pa.int64())),
             "held": pa.array([self.held], pa.list_(pa.bool_())),
             "size": pa.array([self.sizes], pa.list_(pa.int32())),
-            "tokens": pa.array([tokens.tobytes()], pa.binary()),
-            "words": pa.array([list(self.numbers)], pa.list_(pa.binary())),
-            "train": pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), counts),
+            "tokens": pa.array([packed(tokens)], pa.binary()),
+            "words": pa.array([words], pa.list_(pa.binary())),
+            "place": pa.ListArray.from_arrays(pa.array([0, len(places)], pa.int32()), pa.array(places)),
+            "n": pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.array(counts)),
+            "more": pa.array([more], pa.list_(pa.struct([("words", pa.binary()), ("place", pa.int32()), ("n", pa.int64())]))),
         }
         return pa.record_batch(list(columns.values()), list(columns))
 
 
+def packed(tokens: np.ndarray) -> bytes:
+    """Token numbers, byte by byte of all of them, compressed: frequent words have small numbers."""
+    return zstandard.ZstdCompressor(level=3).compress(tokens.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
+
+
 def _weights(counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, float]:
     """Log probabilities of pieces that begin a word, of those that go on, and of a word's end."""
     begun = counts[first].sum()
@@ -265,7 +281,7 @@ def fit_pieces(words: DataFrame, pieces: list[bytes], weights: np.ndarray, round
 
         # exact decimal sums do not depend on the order in which tasks end
         uses = F.sum(F.col("uses").cast("decimal(28,6)")).cast("double").alias("uses")
-        table = arrow_map(words.select("word"), work, "piece long, uses double").groupBy("piece").agg(uses).toArrow()
+        table = arrow_map(words.select("word"), work, "piece long, uses double", WORDS_AT_ONCE).groupBy("piece").agg(uses).toArrow()
         counts = np.full(len(pieces), FLOOR)
         counts[table["piece"].to_numpy()] += table["uses"].to_numpy()
         log_p, log_stop = _weights(counts, first)
@@ -287,9 +303,11 @@ def language_scores(docs: DataFrame, pieces_path: str = PIECES, rounds: int = RO
     per_language = {r["lang"]: r["n"] for r in learned.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(per_language, key=lambda x: (x is None, x or "")) or [None]
     blocks = token_blocks(docs, languages)
-    pairs = blocks.select(F.explode(F.arrays_zip("words", "train")).alias("p"))
-    sums = [F.sum(F.get("p.train", i)).alias(f"c{i}") for i in range(len(languages))]
-    words = pairs.groupBy(F.col("p.words").alias("word")).agg(*sums)
+    # a word of a block is one row, with a row more for each further language it is learned in
+    once = blocks.select(F.explode(F.arrays_zip("words", "place", "n")).alias("p"))
+    seen = once.unionByName(blocks.select(F.explode("more").alias("p"))).select(F.col("p.words").alias("word"), "p.place", "p.n")
+    sums = [F.sum(F.when(F.col("place") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(len(languages))]
+    words = seen.repartition("word").groupBy("word").agg(*sums)
     words = stored(words.select("word", F.array(*[f"c{i}" for i in range(len(languages))]).alias("c")), "words")
     total = F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x)
     sums = [f(F.get("c", i)).alias(f"{name}{i}") for i in range(len(languages)) for name, f in (("n", F.sum), ("v", lambda c: F.count_if(c > 0)))]
@@ -315,24 +333,31 @@ def language_scores(docs: DataFrame, pieces_path: str = PIECES, rounds: int = RO
 
         def step(batch: pa.RecordBatch):
             found = lattice.scores(batch["word"].to_pylist()) + log_stop
-            yield pa.record_batch([batch["word"], batch["c"], pa.array(found, pa.float64())], ["word", "c", "p"])
+            counts = batch["c"].flatten().to_numpy(zero_copy_only=False).copy().reshape(batch.num_rows, -1)
+            counts[(counts == 0).all(axis=1), 0] = -1  # a word that is not learned has one row too
+            row, place = np.nonzero(counts)
+            marks = (place.astype(np.int64) << 48) | np.maximum(counts[row, place], 0)
+            yield pa.record_batch([batch["word"].take(pa.array(row)), pa.array(marks), pa.array(found.astype(np.float32)[row])], ["word", "c", "p"])
 
         return step
 
-    scored = stored(arrow_map(words, score_words, "word binary, c array<long>, p double"), "scored-words")
+    scored = stored(arrow_map(words, score_words, "word binary, c long, p float", WORDS_AT_ONCE), "scored-words")
     asked = blocks.select("_block", F.posexplode("words").alias("at", "word"))
-    found = asked.join(scored.hint("merge"), "word").groupBy("_block").agg(F.collect_list(F.struct("at", "c", "p")).alias("found"))
+    # three lists of plain numbers, in the same order, are a third of a list of structs
+    lists = [F.collect_list(c).alias(f"found_{c}") for c in ("at", "c", "p")]
+    found = asked.join(scored.hint("merge"), "word").groupBy("_block").agg(*lists)
     joined = blocks.select("_block", "doc_id", "held", "size", "tokens").join(found.hint("merge"), "_block", "left")
+    columns = ["doc_id", "held", "size", "tokens", "found_at", "found_c", "found_p"]
 
     def sums_of_blocks():
         def step(batch: pa.RecordBatch):
             for i in range(batch.num_rows):
-                yield _block_scores({c: batch[c][i] for c in ("doc_id", "held", "size", "tokens", "found")}, model)
+                yield _block_scores({c: batch[c][i] for c in columns}, model)
 
         return step
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return arrow_map(joined.select("doc_id", "held", "size", "tokens", "found"), sums_of_blocks, schema)
+    return arrow_map(joined.select(*columns), sums_of_blocks, schema)
 
 
 @dataclass
@@ -365,14 +390,13 @@ class _Model:
 
 def _block_scores(row: dict, model: _Model) -> pa.RecordBatch:
     sizes = row["size"].values.to_numpy().astype(np.int64)
-    tokens = np.frombuffer(row["tokens"].as_py(), np.int32)
-    found = row["found"].values if row["found"].is_valid else None
-    types = len(found) if found is not None else 0
+    tokens = unpacked(row["tokens"].as_py())
+    types = int(tokens.max(initial=-1)) + 1
     counts, log_lattice = np.zeros((types, len(model.languages)), np.int64), np.zeros(types)
     if types:
-        at = found.field("at").to_numpy()
-        counts[at] = found.field("c").flatten().to_numpy().reshape(types, -1)
-        log_lattice[at] = found.field("p").to_numpy()
+        at, marks, p = (row[f"found_{c}"].values.to_numpy() for c in ("at", "c", "p"))
+        counts[at, marks >> 48] = marks & ((1 << 48) - 1)
+        log_lattice[at] = p
     total = counts.sum(axis=1)
     columns = {
         "doc_id": row["doc_id"].values,

@@ -11,12 +11,13 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from splitwright.operators.checks import require_columns
 
+BATCH_BYTES = 8_000_000
 SPACES = "[\\x20\\x09-\\x0D]"
 #: A-Z to a-z, everything that is neither an ASCII letter or digit nor above 0x7F to a space.
 ALNUM = bytes(
@@ -94,18 +95,43 @@ def text_slices(column: pa.Array) -> Iterator[list[bytes]]:
         yield part
 
 
-def arrow_map(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` with per-worker set-up: ``work()`` runs once per task and returns the batch function."""
+def arrow_map(
+    df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str | T.StructType, rows: int = 1
+) -> DataFrame:
+    """``mapInArrow`` with per-worker set-up: ``work()`` runs once per task and returns the batch function.
+
+    Batches are joined until they have ``rows`` rows, for work that gains from many rows at once. Texts
+    differ in length by orders of magnitude, so the session's Arrow batches are
+    limited to ``BATCH_BYTES``.
+    """
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = work()
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            if batch.num_rows:
-                yield from step(batch)
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= rows:
+                yield from step(_joined(held))
+                held = []
+        if sum(b.num_rows for b in held):
+            yield from step(_joined(held))
 
     return df.mapInArrow(run, schema)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches of the session to ``BATCH_BYTES``, unless its limit is lower."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    limit = int(spark.conf.get(name).rstrip("b"))
+    if not 0 < limit <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
+
+
 def with_column(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     """The batch with columns added or replaced."""
     names, arrays = list(batch.schema.names), list(batch.columns)
