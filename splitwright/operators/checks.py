@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from splitwright.functions.names import trimmed
+
 # Accepted names per field of a profile set; the first present one is taken.
 PROFILE_FIELD_ALIASES = {
     "compound_name": ("compound_names", "compound_name", "drug_name", "drug_names"),
@@ -150,23 +152,35 @@ def raise_on_violations(report: DataFrame, what: str = "input") -> None:
         raise SchemaError(f"{what} violates its contract: {bad}")
 
 
-def sniff_column(df: DataFrame, pattern: str, sample: int = 20) -> str:
-    """First string column whose first ``sample`` non-null trimmed values all match ``pattern``."""
-    for field in df.schema.fields:
-        if not isinstance(field.dataType, T.StringType):
-            continue
-        value = F.trim(F.col(f"`{field.name}`"))
-        head = df.select(value.alias("v")).where(F.col("v").isNotNull()).limit(sample)
-        seen, matched = head.agg(F.count(F.lit(1)), F.count_if(F.col("v").rlike(pattern))).first()
-        if seen and seen == matched:
-            return field.name
+def sniff_column(df: DataFrame, pattern: str, sample: int = 20, order_by: str | None = None) -> str:
+    """First string column whose first ``sample`` non-null trimmed values all match ``pattern``.
+
+    "First" follows ``order_by``, by default the ``src_row`` column if there is one. All columns are
+    looked at in one aggregate, of which every task keeps ``sample`` values a column.
+    """
+    order_by = order_by or ("src_row" if "src_row" in df.columns else None)
+    if order_by is None:
+        df, order_by = df.withColumn("_place", F.monotonically_increasing_id()), "_place"
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != order_by]
+    if names:
+        values = [F.struct(F.lit(i).alias("column"), trimmed(F.col(f"`{n}`")).alias("v")) for i, n in enumerate(names)]
+        long = df.select(F.col(order_by).alias("_o"), F.inline(F.array(*values))).where(F.col("v").isNotNull())
+        part = F.spark_partition_id().alias("part")
+        for by in (["column", "part"], ["column"]):
+            place = F.row_number().over(Window.partitionBy(*by).orderBy("_o"))
+            rows = long.select("column", "v", "_o", part) if "part" in by else long.select("column", "v", "_o")
+            long = rows.withColumn("place", place).where(F.col("place") <= sample).drop("place")
+        counts = long.groupBy("column").agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("v").rlike(pattern)).alias("matched"))
+        found = sorted(r["column"] for r in counts.collect() if r["seen"] == r["matched"])
+        if found:
+            return names[found[0]]
     raise SchemaError(f"no column of {df.columns} matches {pattern}")
 
 
 def load_profile_ids(df: DataFrame, pattern: str, expected_rows: int | None = 6000) -> DataFrame:
     """Trimmed ids of the sniffed column; a wrong row count is an error."""
     column = sniff_column(df, pattern)
-    ids = df.select(*[c for c in df.columns if c == "src_row"], F.trim(F.col(f"`{column}`")).alias("profile_id"))
+    ids = df.select(*[c for c in df.columns if c == "src_row"], trimmed(F.col(f"`{column}`")).alias("profile_id"))
     if expected_rows is not None and (found := ids.count()) != expected_rows:
         raise SchemaError(f"expected {expected_rows} ids in column {column}, found {found}")
     return ids

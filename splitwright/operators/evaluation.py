@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from splitwright.operators.scan import HOT_GROUP_ROWS, running_sums
+from splitwright.operators.scan import running_sums
 from splitwright.session import lookup_side
 
 _POISSON_TERMS = 16
@@ -16,13 +16,13 @@ _DRAWS_PER_HASH = 4  # one MD5 holds four 32-bit draws
 
 
 def ranked_scores(
-    rows: DataFrame, by: Sequence[str], score_col: str = "score", label_col: str = "label", hot_rows: int = HOT_GROUP_ROWS
+    rows: DataFrame, by: Sequence[str], score_col: str = "score", label_col: str = "label"
 ) -> DataFrame:
     """Distinct scores per slice with their class counts and running class counts from below."""
     counts = rows.groupBy(*by, F.col(score_col).alias("score")).agg(
         F.count_if(F.col(label_col) == 1).alias("pos"), F.count_if(F.col(label_col) == 0).alias("neg")
     )
-    return running_sums(counts, by, [F.asc("score")], {"pos_to": F.col("pos"), "neg_to": F.col("neg")}, hot_rows)
+    return running_sums(counts, by, [F.asc("score")], {"pos_to": F.col("pos"), "neg_to": F.col("neg")})
 
 
 def classifier_metrics(
@@ -31,14 +31,13 @@ def classifier_metrics(
     score_col: str = "score",
     label_col: str = "label",
     threshold: float = 0.5,
-    hot_rows: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """AUROC (ties count half), AUPRC (average precision), MCC and balanced accuracy per slice.
 
     Slices with a single class have no AUROC (null); an undefined MCC reads as 0.
     """
     by = list(by)
-    ranked = ranked_scores(rows, by, score_col, label_col, hot_rows)
+    ranked = ranked_scores(rows, by, score_col, label_col)
     totals = ranked.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     wide = ranked.join(lookup_side(totals), by)
     tp = F.col("P") - F.col("pos_to") + F.col("pos")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitwright.functions.vectors import log_sum_exp, softmax, top_positions
-from splitwright.operators.scan import HOT_GROUP_ROWS, running_sums
+from splitwright.operators.scan import running_sums
 from splitwright.session import lookup_side
 
 PAIR_BLOCK = 256
@@ -60,7 +60,7 @@ def listnet_per_list(rows: DataFrame) -> DataFrame:
     return sums.select("list_id", (F.col("top") + F.log("z") - F.col("wp") / F.col("w")).alias("loss"))
 
 
-def listmle_per_list(rows: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+def listmle_per_list(rows: DataFrame) -> DataFrame:
     """Sum over the label-descending list of (log of the tail sum of exp(pred)) - pred."""
     wide = _with_tops(rows, "pred")
     # a tail sum in descending order is a running sum in the reversed order
@@ -69,7 +69,6 @@ def listmle_per_list(rows: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFra
         ["list_id"],
         [F.asc("label"), F.desc("pos")],
         {"tail": F.exp(F.col("pred") - F.col("top_pred"))},
-        hot_rows,
     )
     term = F.log("tail") + F.col("top_pred") - F.col("pred")
     return tails.groupBy("list_id").agg(F.sum(term).alias("loss"))
@@ -139,7 +138,7 @@ def ranknet_per_list(rows: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
 
 
 def approximate_ndcg_per_list(
-    rows: DataFrame, steepness: float = RANK_STEEPNESS, block: int = PAIR_BLOCK, hot_rows: int = HOT_GROUP_ROWS
+    rows: DataFrame, steepness: float = RANK_STEEPNESS, block: int = PAIR_BLOCK
 ) -> DataFrame:
     """nDCG with smooth ranks 0.5 + sum over other scores of 1 / (1 + exp(steepness * (s_i - s_j)))."""
 
@@ -157,7 +156,7 @@ def approximate_ndcg_per_list(
     ranks = inside.unionByName(across).groupBy("list_id", "pos", "label").agg((F.sum("part") + 0.5).alias("rank"))
     gain = F.pow(F.lit(2.0), F.col("label")) - 1.0
     dcg = ranks.groupBy("list_id").agg(F.sum(gain / F.log2(F.col("rank") + 1.0)).alias("dcg"))
-    placed = running_sums(rows, ["list_id"], [F.desc("label"), F.asc("pos")], {"place": F.lit(1)}, hot_rows)
+    placed = running_sums(rows, ["list_id"], [F.desc("label"), F.asc("pos")], {"place": F.lit(1)})
     ideal = placed.groupBy("list_id").agg(F.sum(gain / F.log2(F.col("place") + 1.0)).alias("ideal"))
     return dcg.join(ideal, "list_id").select("list_id", _ratio(F.col("dcg"), F.col("ideal")).alias("ndcg"))
 
@@ -166,8 +165,8 @@ def listnet(rows: DataFrame) -> DataFrame:
     return listnet_per_list(rows).agg(F.avg("loss").alias("value"))
 
 
-def listmle(rows: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
-    return listmle_per_list(rows, hot_rows).agg(F.avg("loss").alias("value"))
+def listmle(rows: DataFrame) -> DataFrame:
+    return listmle_per_list(rows).agg(F.avg("loss").alias("value"))
 
 
 def rank_cosine(rows: DataFrame) -> DataFrame:

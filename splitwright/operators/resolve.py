@@ -14,6 +14,7 @@ from splitwright.functions.names import (
     strip_one_suffix,
     strip_two_suffixes,
     with_computed,
+    trimmed,
 )
 from splitwright.operators.checks import require_columns
 from splitwright.operators.dedupe import distinct_keys, keep_first
@@ -27,7 +28,7 @@ INDEX_SOURCE = "alias_index"
 
 def not_blank(structure: Column) -> Column:
     """Default validity of a structure text: neither null nor blank."""
-    return F.coalesce(F.trim(structure) != "", F.lit(False))
+    return F.coalesce(trimmed(structure) != "", F.lit(False))
 
 
 def resolve_names(
@@ -215,7 +216,7 @@ def build_alias_index(records: DataFrame) -> DataFrame:
     usable = records.where(not_blank(F.col("name")) & not_blank(F.col("structure")))
     names = F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))
     rows = usable.select(
-        "src_row", F.trim("name").alias("name"), F.trim("structure").alias("structure"), F.explode(names).alias("alias")
+        "src_row", trimmed(F.col("name")).alias("name"), trimmed(F.col("structure")).alias("structure"), F.explode(names).alias("alias")
     ).select(name_key(F.col("alias")).alias("name_key"), "name", "structure", "src_row")
     rows = rows.where(F.col("name_key").isNotNull() & (F.col("name_key") != ""))
     return keep_first(rows, "name_key").select("name_key", "name", "structure")

@@ -1,8 +1,7 @@
 """Running sums and ranks over ordered groups of any size.
 
-A ranking window sends a whole group to one task. That is the right plan for many small groups and
-the wrong one when a single list holds a third of the table. Both plans are here; the choice is made
-from the measured size of the largest group.
+A ranking window sends a whole group to one task, which one list with a third of the table would fill.
+So rows are range-partitioned by group and order, and only sums of whole ranges cross range borders.
 """
 
 from __future__ import annotations
@@ -14,33 +13,17 @@ from pyspark.sql import functions as F
 
 from splitwright.session import checkpointed
 
-HOT_GROUP_ROWS = 1_000_000
-
-
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
-
 
 def running_sums(
-    df: DataFrame,
-    by: Sequence[str],
-    order_by: Sequence[Column],
-    sums: Mapping[str, Column],
-    hot_rows: int = HOT_GROUP_ROWS,
+    df: DataFrame, by: Sequence[str], order_by: Sequence[Column], sums: Mapping[str, Column]
 ) -> DataFrame:
     """Add inclusive running sums per group in the given order, which must be total.
 
-    When no group exceeds ``hot_rows`` this is one window. Otherwise the rows are range-partitioned
-    by group and order, summed inside each range, and shifted by the sums of the earlier ranges of
-    the same group, so no task holds more than one range.
+    Rows are range-partitioned by group and order, summed inside each range, and shifted by the sums of
+    the earlier ranges of the same group, so no task holds more than one range.
     """
     by = list(by)
     terms = df.select("*", *[e.alias(f"_t_{k}") for k, e in sums.items()])
-    if largest_group(df, by) <= hot_rows:
-        window = Window.partitionBy(*by).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-        return terms.select(*df.columns, *[F.sum(f"_t_{k}").over(window).alias(k) for k in sums])
-
     ranges = terms.repartitionByRange(*[F.col(c) for c in by], *order_by)
     ranges = checkpointed(ranges.withColumn("_range", F.spark_partition_id()))
     totals = ranges.groupBy(*by, "_range").agg(*[F.sum(f"_t_{k}").alias(f"_s_{k}") for k in sums])

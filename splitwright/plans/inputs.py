@@ -28,7 +28,7 @@ from {{part}}"""
 ALIAS_TABLE = f"""
 select p_partkey as src_row,
   lower(case p_partkey % 3 when 0 then {_BASE} || ' sodium' else {_OTHER} end) as name_key,
-  case when p_size % 13 = 0 then '' when p_size % 17 = 0 then null when p_size % 19 = 0 then '  '
+  case when p_size % 13 = 0 then '' when p_size % 17 = 0 then null when p_size % 19 = 0 then ' ' || chr(9) || ' '
     else p_type || ':' || p_name end as structure
 from {{part}}"""
 

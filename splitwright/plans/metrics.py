@@ -15,9 +15,9 @@ def _lists(spark, sf_dir):
     return derived(spark, sf_dir, I.SCORE_LISTS)
 
 
-def _logits(spark, sf_dir, width):
+def _logits(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(
-        "vec_id", "label", F.transform(F.slice("embedding", 1, width), lambda x: x.cast("double") * 10.0).alias("logits")
+        "vec_id", "label", F.transform("embedding", lambda x: x.cast("double") * 10.0).alias("logits")
     )
 
 
@@ -35,8 +35,12 @@ def _per_list(operator):
     return lambda spark, sf_dir: rounded(operator(_lists(spark, sf_dir)))
 
 
+def _undefined_as_null(df, column):
+    return df.withColumn(column, F.when(~F.isnan(column), F.col(column)))
+
+
 def cross_entropy(spark, sf_dir):
-    return rounded(ranking.cross_entropy(_logits(spark, sf_dir, 10)))
+    return rounded(ranking.cross_entropy(_logits(spark, sf_dir)))
 
 
 def homophily(spark, sf_dir):
@@ -48,17 +52,17 @@ def squared_error_and_homophily(spark, sf_dir):
 
 
 def gate_routing(spark, sf_dir):
-    return rounded(ranking.gate_routing(_logits(spark, sf_dir, 8), 2))
+    return rounded(ranking.gate_routing(_logits(spark, sf_dir), 2))
 
 
 def top_gate_weights(spark, sf_dir):
-    rows = ranking.top_gate_weights(_logits(spark, sf_dir, 8), 2)
+    rows = ranking.top_gate_weights(_logits(spark, sf_dir), 2)
     pair = F.inline(F.arrays_zip("experts", "weights"))
     return rounded(rows.select("vec_id", pair).select("vec_id", F.col("experts").cast("long").alias("expert"), F.col("weights").alias("weight")))
 
 
 def routing_balance(spark, sf_dir):
-    return rounded(ranking.routing_balance(ranking.gate_routing(_logits(spark, sf_dir, 8), 2)))
+    return rounded(ranking.routing_balance(ranking.gate_routing(_logits(spark, sf_dir), 2)))
 
 
 def classifier_metrics(spark, sf_dir):
@@ -70,8 +74,13 @@ def seed_summary(spark, sf_dir):
     return rounded(evaluation.seed_summary(runs, ["o_orderpriority"]), 4)
 
 
+def _pair_score(vector):
+    """Sum of the even positions less the sum of the odd ones."""
+    return F.aggregate(vector, F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("f")), lambda a, x: F.struct((a["s"] + a["f"] * x).alias("s"), (-a["f"]).alias("f")))["s"]
+
+
 def bootstrap_means(spark, sf_dir):
-    rows = _vectors(spark, sf_dir).select("vec_id", (F.col("vector")[0] - F.col("vector")[1]).alias("gain"))
+    rows = _vectors(spark, sf_dir).select("vec_id", _pair_score("vector").alias("gain"))
     return rounded(evaluation.bootstrap_means(rows, "vec_id", "gain"))
 
 
@@ -79,7 +88,7 @@ def bootstrap_interval(spark, sf_dir):
     return rounded(evaluation.bootstrap_interval(bootstrap_means(spark, sf_dir)))
 
 
-_LEVELS = ("3-MEDIUM", "2-HIGH", "1-URGENT")
+_LEVELS = ("5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT")
 
 
 def severity_trend(spark, sf_dir):
@@ -167,7 +176,8 @@ QUERIES = {
     "approximate_ndcg": _scalar(ranking.approximate_ndcg),
     "approximate_ndcg_per_list": _per_list(ranking.approximate_ndcg_per_list),
     "squared_error_and_cosine": _scalar(ranking.squared_error_and_cosine),
-    "pearson_per_list": _per_list(lambda rows: ranking.pearson_per_list(rows).where(~F.isnan("r"))),
+    "pearson_per_list": _per_list(lambda rows: _undefined_as_null(ranking.pearson_per_list(rows), "r")),
+    "negative_pearson_strict": _scalar(lambda rows: _undefined_as_null(ranking.negative_pearson(rows), "value")),
     "negative_pearson": _scalar(lambda rows: ranking.negative_pearson(rows, skip_undefined=True)),
     "homophily": homophily,
     "squared_error_and_homophily": squared_error_and_homophily,
@@ -224,8 +234,8 @@ parts as (select (select sum(pow(s, 2)) from (select sum(s) as s from dims group
   (select sum(q) from dims) as q, (select sum(n * q) from (select label, sum(q) as q from dims group by 1) join counts using (label)) as nq,
   (select count(*) from embeddings) as n_all),
 penalty as (select n_all * q - nq + s_all - s_class + 0.1 * sqrt(q) as value from parts)"""
-_GATE = """with g as (select vec_id, list_transform(embedding[1:8], lambda x: cast(x as double) * 10.0) as l from embeddings),
-e as (select vec_id, unnest(l) as x, unnest(range(0, 8)) as expert, list_max(l) as top from g),
+_GATE = """with g as (select vec_id, list_transform(embedding, lambda x: cast(x as double) * 10.0) as l from embeddings),
+e as (select vec_id, unnest(l) as x, unnest(range(0, 64)) as expert, list_max(l) as top from g),
 p as (select *, exp(x - top) / sum(exp(x - top)) over (partition by vec_id) as p, row_number() over (partition by vec_id order by x desc, expert) as rk from e),
 routing as (select expert, sum(p) as importance, count(*) filter (where rk <= 2) as load from p group by 1)
 """
@@ -250,14 +260,14 @@ def _sql_weight() -> str:
 
 
 _BOOT = f"""
-with rows_ as (select vec_id, cast(embedding[1] as double) - cast(embedding[2] as double) as v from embeddings),
+with rows_ as (select vec_id, (select sum(case when i % 2 = 0 then x else -x end) from (select unnest(list_transform(embedding, lambda x: cast(x as double))) as x, unnest(range(0, 64)) as i)) as v from embeddings),
 u as (select b as resample, v, cast('0x' || substr(md5(cast(vec_id as varchar) || ':' || cast(b // 4 as varchar) || ':42'), (b % 4) * 8 + 1, 8) as bigint) / 4294967296.0 as u
   from rows_, range(10000) t(b)),
 w as (select resample, v, {_sql_weight()} as w from u),
 means as (select resample, round(sum(w * v) / sum(w), 6) as mean from w group by 1)
 """
 _TREND = """
-with lv as (select severity, level from (values ('3-MEDIUM', 1), ('2-HIGH', 2), ('1-URGENT', 3)) t(severity, level)),
+with lv as (select severity, level from (values ('5-LOW', 1), ('4-NOT SPECIFIED', 2), ('3-MEDIUM', 3), ('2-HIGH', 4), ('1-URGENT', 5)) t(severity, level)),
 m as (select cast(level as bigint) as level, severity, avg(o_totalprice) as mean_score, count(*) as n from orders join lv on o_orderpriority = severity group by 1, 2),
 trend as (select level, severity, round(mean_score, 4) as mean_score, n, coalesce(mean_score > lag(mean_score) over (order by level), true) as rising from m)
 """
@@ -272,7 +282,7 @@ top as (select pos, r from r order by abs(r) desc, pos limit (select cast(floor(
 SQL = {
     "mean_squared_error": _L + " select round(avg(pow(pred - label, 2)), 4) as value from lists",
     "cross_entropy": """
-with g as (select label, list_transform(embedding[1:10], lambda x: cast(x as double) * 10.0) as l from embeddings)
+with g as (select label, list_transform(embedding, lambda x: cast(x as double) * 10.0) as l from embeddings)
 select round(avg(ln(list_sum(list_transform(l, lambda x: exp(x)))) - l[label + 1]), 6) as value from g""",
     "ranknet": _L + _RANKNET + "select round(sum(loss), 4) as value from full_",
     "ranknet_per_list": _L + _RANKNET + "select list_id, round(loss, 6) as loss from full_",
@@ -284,7 +294,8 @@ select round(avg(ln(list_sum(list_transform(l, lambda x: exp(x)))) - l[label + 1
     "approximate_ndcg_per_list": _L + _NDCG + "select list_id, round(ndcg, 6) as ndcg from nd",
     "squared_error_and_cosine": _L + _COSINE
     + "select round((select avg(pow(pred - label, 2)) from lists) + (select sum(loss) from loss), 4) as value",
-    "pearson_per_list": _L + _PEARSON + "select list_id, round(r, 6) as r from per where not isnan(r)",
+    "pearson_per_list": _L + _PEARSON + "select list_id, case when isnan(r) then null else round(r, 6) end as r from per",
+    "negative_pearson_strict": _L + _PEARSON + "select case when count(*) filter (where isnan(r)) > 0 then null else round(-sum(r), 4) end as value from per",
     "negative_pearson": _L + _PEARSON + "select round(-sum(r), 4) as value from per where not isnan(r)",
     "homophily": _HOMOPHILY + " select round(value, 4) as value from penalty",
     "squared_error_and_homophily": _HOMOPHILY

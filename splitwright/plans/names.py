@@ -140,7 +140,7 @@ twice as (select g.*, b.structure as second, b.name_key is not null as hit from
 routed as (select id, name, k as name_key, case when coalesce(direct, '') <> '' then direct when hit then second end as structure,
   coalesce(direct, '') <> '' or hit as found from twice),
 final as (select *, case when not found then 'name_not_in_index'
-  when coalesce(trim(structure), '') = '' then 'structure_parse_failure' end as reason from routed)
+  when coalesce(trim(structure, ' ' || chr(9)), '') = '' then 'structure_parse_failure' end as reason from routed)
 """
 
 

@@ -163,9 +163,11 @@ def record_profiles(spark, sf_dir):
 
 
 def sniffed_ids(spark, sf_dir):
-    rows = derived(spark, sf_dir, I.PROFILE_IDS).where(F.col("profile_id").contains("H:"))
-    padded = rows.select(F.lit("note").alias("comment"), F.concat(F.lit(" "), "profile_id", F.lit("  ")).alias("column_7"))
-    return checks.load_profile_ids(padded, PROFILE_ID_SNIFF_PATTERN, expected_rows=None)
+    """Rows of another layout come later in the table; the first rows decide about the column."""
+    rows = derived(spark, sf_dir, I.PROFILE_IDS)
+    order = F.struct(F.when(F.col("profile_id").contains("H:"), 0).otherwise(1), F.col("src_row")).alias("src_row")
+    padded = rows.select(order, F.lit("note").alias("comment"), F.concat(F.lit(" \t"), "profile_id", F.lit("\n ")).alias("column_7"))
+    return checks.load_profile_ids(padded, PROFILE_ID_SNIFF_PATTERN, expected_rows=None).select("profile_id")
 
 
 def store_check(spark, sf_dir):
@@ -298,7 +300,7 @@ select cast(vec_id as varchar) as compound_name, cast(label % 2 as double) as la
     "record_profiles": """
 select count(*) as n_rows, count(*) filter (where label % 3 = 2) as bad_label, count(*) filter (where len(embedding) <> 64) as bad_expression_width,
   cast(0 as bigint) as bad_flag_width from embeddings""",
-    "sniffed_ids": f"select profile_id from {sql_input(I.PROFILE_IDS)} where contains(profile_id, 'H:')",
+    "sniffed_ids": f"select profile_id from {sql_input(I.PROFILE_IDS)}",
     "store_check": "select min(len(embedding)) as min_width, max(len(embedding)) as max_width, cast(64 as bigint) as n_dimensions, min(len(embedding)) = 64 and max(len(embedding)) = 64 as ok from embeddings",
     "flag_columns": "select vec_id, " + ", ".join(f"embedding[{k + 1}] > 0 as split_{k:02d}" for k in range(50)) + " from embeddings",
 }

@@ -22,7 +22,6 @@ from splitwright.sources.splits import write_split
 from splitwright.sources.tables import write_csv, write_parquet
 
 # Fixed value: rows of the correlation sample.
-CORRELATION_SAMPLE = 100
 
 
 def _share(df: DataFrame, condition: Column) -> DataFrame:
@@ -138,18 +137,19 @@ def leakage_run(
 
 
 def profile_run(
-    profile_rows: DataFrame, store: DataFrame, known: DataFrame, out: str, seed: int = 42, flag_width: int = 50
+    profile_rows: DataFrame, store: DataFrame, known: DataFrame, out: str, flag_width: int = 50, sample: int | None = None, seed: int = 42
 ) -> dict[str, DataFrame]:
     """Look profiles up, validate them against the store, resolve their names and write the tables.
 
     ``profile_rows`` holds ``row_idx, profile_id, name, label, expressions, split_flags``; ``known`` is
-    the registry with ``src_row, name, canonical, severity, label``.
+    the registry with ``src_row, name, canonical, severity, label``. The correlation with the store is one
+    linear pass over all found rows, or over a seeded ``sample`` of them.
     """
     looked = stored(profiles.lookup_profiles(profile_rows, store), "looked")
     miss = profiles.miss_rate(looked)
     found = looked.where("found")
-    sample = seeded_sample(found, "profile_id", CORRELATION_SAMPLE, seed)
-    pairs = sample.select(F.col("data").alias("a"), F.col("expressions").alias("b"))
+    checked = found if sample is None else seeded_sample(found, "profile_id", sample, seed)
+    pairs = checked.select(F.col("data").alias("a"), F.col("expressions").alias("b"))
     correlation = stored(profiles.correlation_summary(profiles.dimension_correlation(pairs)), "correlation")
 
     resolved = stored(resolve.resolve_suffix_free(found, known, id_col="row_idx"), "resolved")

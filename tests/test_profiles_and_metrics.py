@@ -71,14 +71,13 @@ def test_disagreements(spark):
     assert [r["name"] for r in report.collect()] == ["A ", "a"]
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 3])
-def test_running_sums(spark, hot_rows):
+def test_running_sums(spark):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"g": rng.choice(["hot"] * 8 + ["a", "b"], 400), "o": rng.permutation(400), "v": rng.integers(1, 9, 400)})
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        out = scan.running_sums(spark.createDataFrame(pdf), ["g"], [F.asc("o")], {"total": F.col("v"), "n": F.lit(1)}, hot_rows).toPandas()
-        all_ = scan.running_sums(spark.createDataFrame(pdf), [], [F.desc("o")], {"total": F.col("v")}, hot_rows).toPandas()
+        out = scan.running_sums(spark.createDataFrame(pdf), ["g"], [F.asc("o")], {"total": F.col("v"), "n": F.lit(1)}).toPandas()
+        all_ = scan.running_sums(spark.createDataFrame(pdf), [], [F.desc("o")], {"total": F.col("v")}).toPandas()
         numbered = scan.dense_row_number(spark.createDataFrame(pdf), ["o"]).toPandas()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -134,14 +133,13 @@ def scalar(df):
 
 
 @pytest.mark.parametrize("block", [256, 4])
-@pytest.mark.parametrize("hot_rows", [10**9, 6])
-def test_list_metrics(spark, lists, block, hot_rows):
+def test_list_metrics(spark, lists, block):
     ranknet, listnet, listmle, cosine, ndcg = plain_metrics()
     assert scalar(ranking.ranknet(lists, block)) == pytest.approx(ranknet, rel=1e-12)
     assert scalar(ranking.listnet(lists)) == pytest.approx(listnet, rel=1e-12)
-    assert scalar(ranking.listmle(lists, hot_rows)) == pytest.approx(listmle, rel=1e-12)
+    assert scalar(ranking.listmle(lists)) == pytest.approx(listmle, rel=1e-12)
     assert scalar(ranking.rank_cosine(lists)) == pytest.approx(cosine, rel=1e-12)
-    per_list = ranking.approximate_ndcg_per_list(lists, block=block, hot_rows=hot_rows)
+    per_list = ranking.approximate_ndcg_per_list(lists, block=block)
     assert scalar(per_list.agg((-F.avg("ndcg")).alias("value"))) == pytest.approx(ndcg, rel=1e-12, nan_ok=True)
 
 
@@ -184,12 +182,11 @@ def test_gate_routing(spark):
     assert sum(top["weights"]) == pytest.approx(1.0) and top["experts"] == np.argsort(-x[0])[:2].tolist()
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 4])
-def test_classifier_metrics(spark, hot_rows):
+def test_classifier_metrics(spark):
     rng = np.random.default_rng(8)
     rows = [(s, int(y), float(v)) for s in ("all", "novel") for y, v in zip(rng.integers(0, 2, 60), rng.integers(0, 11, 60) / 10)]
     rows += [("single", 1, 0.7), ("single", 1, 0.2)]
-    out = {r["slice"]: r for r in evaluation.classifier_metrics(spark.createDataFrame(rows, "slice string, label int, score double"), hot_rows=hot_rows).collect()}
+    out = {r["slice"]: r for r in evaluation.classifier_metrics(spark.createDataFrame(rows, "slice string, label int, score double")).collect()}
     for s in ("all", "novel"):
         y, v = (np.array(c) for c in zip(*[(r[1], r[2]) for r in rows if r[0] == s]))
         pos, neg = v[y == 1], v[y == 0]

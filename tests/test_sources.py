@@ -52,6 +52,34 @@ def test_delimited(spark, tmp_path):
     assert one.columns == ["name"]
 
 
+def test_columns_are_found_by_name(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('name , id,other\n"x\ny",1,z\n"a,b",2,\n')
+    for schema in ("id BIGINT, name STRING", "name STRING, id BIGINT"):
+        df = tables.read_delimited(spark, str(path), schema, multi_line=True)
+        assert sorted((r["id"], r["name"]) for r in df.collect()) == [(1, "x\ny"), (2, "a,b")]
+    assert sorted(r["id"] for r in tables.read_delimited(spark, str(path), "id BIGINT", multi_line=True).collect()) == [1, 2]
+    with pytest.raises(SchemaError, match="absent"):
+        tables.read_delimited(spark, str(path), "id BIGINT, absent STRING")
+    more = tmp_path / "u.csv"
+    more.write_text("id,name\n3,c\n")
+    both = tables.read_delimited(spark, [str(path), str(more)], "name STRING, id BIGINT", multi_line=True)
+    assert sorted(r["id"] for r in both.collect()) == [1, 2, 3]
+
+
+def test_manifest_of_a_large_file(spark, tmp_path):
+    import hashlib
+
+    path = tmp_path / "sparse.bin"
+    with path.open("wb") as f:
+        f.truncate(2_200_000_000)
+    digest = hashlib.sha256()
+    for _ in range(2200):
+        digest.update(bytes(1_000_000))
+    row = files.file_manifest(spark, str(path)).first()
+    assert (row["sha256"], row["n_bytes"]) == (digest.hexdigest(), 2_200_000_000)
+
+
 def test_source_order_over_files(spark, tmp_path):
     out = tmp_path / "many"
     df = spark.range(0, 5000).select("id", F.concat(F.lit('q"'), F.col("id").cast("string")).alias("t"))
@@ -69,8 +97,14 @@ def test_split_files(spark, tmp_path):
     splits.write_split_document(df, str(tmp_path / "doc"))
     part = next((tmp_path / "doc").glob("part-*.json"))
     assert json.loads(part.read_text()) == {"train": ["ID_0001", "ID_0002"], "test": ["ID_0003"]}
-    with pytest.raises(SchemaError, match="write_split"):
-        splits.write_split_document(df, str(tmp_path / "doc2"), limit=2)
+    many = spark.range(3000).select(F.format_string("ID_%05d", "id").alias("id"), F.when(F.col("id") % 3 == 0, "test").otherwise("train").alias("split"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    splits.write_split_document(many, str(tmp_path / "doc2"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    lines = [x for p in sorted((tmp_path / "doc2").glob("part-*.json")) for x in p.read_text().splitlines()]
+    assert len(lines) > 2
+    back = splits.read_split_document(spark, str(tmp_path / "doc2"), multi_line=False)
+    assert sorted(map(tuple, back.select("id", "split").collect())) == sorted(map(tuple, many.collect()))
     given = tmp_path / "given.json"
     given.write_text(json.dumps({"train": [1, 2], "val": [], "test": [3], "version": "0.4", "size": 3}, indent=2))
     got = sorted(tuple(r) for r in splits.read_split_document(spark, str(given)).collect())
