@@ -18,10 +18,11 @@ from splitwright.operators.dedupe import seeded_sample
 from splitwright.session import stored
 from splitwright.sources.files import write_diagnostics
 from splitwright.sources.profiles import write_aligned
-from splitwright.sources.splits import write_split
+from splitwright.sources.splits import read_split, write_split
 from splitwright.sources.tables import write_csv, write_parquet
 
-# Fixed value: rows of the correlation sample.
+#: Name under which a written split lists the group keys of its test items.
+TEST_KEYS = "test_group_keys"
 
 
 def _share(df: DataFrame, condition: Column) -> DataFrame:
@@ -82,6 +83,7 @@ def split_run(
     lists += [named(splits.held_out(grouped, "in_measured"), "test_held_out")]
     for flag, name in (("in_upstream_now", "test_in_upstream"), ("name_novel", "test_name_novel"), ("name_and_key_novel", "test_name_and_key_novel")):
         lists.append(named(slices.where(flag), name))
+    lists.append(named(splits.split_keys(grouped).withColumnRenamed("group_key", "id"), TEST_KEYS))
     lists.append(named(leakage.surviving_names(marked).withColumnRenamed("name", "id"), "train_upstream"))
     everything = lists[0]
     for more in lists[1:]:
@@ -122,10 +124,25 @@ def split_run(
 
 
 def leakage_run(
-    tables: dict[str, DataFrame], index: DataFrame, protected: DataFrame, out: str, id_col: str = "row_id"
+    tables: dict[str, DataFrame],
+    index: DataFrame,
+    protected: DataFrame,
+    out: str,
+    id_col: str = "row_id",
+    split_path: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Filter measurement tables by the protected registry rows; writes one Parquet table each."""
-    names, keys = leakage.protected_sets(protected.select("id"), protected)
+    """Filter measurement tables by the protected registry rows; writes one Parquet table each.
+
+    With ``split_path``, the folder of a written split, ``protected`` is the registry: its rows in the test
+    split are protected by name, and the keys are those that the split lists.
+    """
+    if split_path is None:
+        names, keys = leakage.protected_sets(protected.select("id"), protected)
+    else:
+        written = read_split(protected.sparkSession, split_path)
+        test = written.where(F.col("split") == "test").select("id")
+        names, _ = leakage.protected_sets(test, protected.withColumn("id", F.col("id").cast("string")))
+        keys = written.where(F.col("split") == TEST_KEYS).select(F.col("id").alias("key")).distinct()
     names, keys = stored(names, "names"), stored(keys, "keys")
     reports = {}
     for name, rows in tables.items():

@@ -6,11 +6,18 @@ Iterative operators cut their lineage by writing to the shared folder named in
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of the open :func:`run_scratch` blocks, innermost last.
+_SCOPES: list[str] = []
+
 
 def local_session(cores: str | int = "*", app: str = "splitwright", memory: str = "8g") -> SparkSession:
     """Small single-machine session used by the tests and the benchmark."""
@@ -38,6 +45,7 @@ def scratch_root(spark: SparkSession) -> str:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
             folder = tempfile.mkdtemp(prefix="splitwright-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return configured or context.getCheckpointDir()
 
@@ -49,7 +57,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    root = _SCOPES[-1] if _SCOPES else scratch_root(spark)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def run_scratch(spark: SparkSession) -> Iterator[str]:
+    """A scratch folder for one run: all tables and checkpoints written inside go when the block ends.
+
+    DataFrames that read them end with it, so results are written or collected inside. Works on every
+    file system that Hadoop knows.
+    """
+    root = scratch_root(spark)
+    folder = f"{root}/run-{uuid.uuid4().hex}"
+    _SCOPES.append(folder)
+    spark.sparkContext.setCheckpointDir(f"{folder}/checkpoints")
+    try:
+        yield folder
+    finally:
+        _SCOPES.remove(folder)
+        spark.sparkContext.setCheckpointDir(f"{_SCOPES[-1]}/checkpoints" if _SCOPES else root)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

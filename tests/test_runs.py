@@ -1,9 +1,12 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from splitwright import runs
 from splitwright.functions.sets import hashed_shingles
+from splitwright.session import run_scratch
 from splitwright.sources.splits import read_split
 
 
@@ -38,7 +41,11 @@ def test_split_run(spark, tmp_path):
     items = items.select("id", "name", "group_key", "label", "in_measured", "in_upstream", hashed_shingles(F.col("text")).alias("fp"))
     upstream = items.where("in_upstream").select(F.col("id").alias("src_row"), F.upper("name").alias("name"), "group_key")
     external = spark.createDataFrame([(1, "train"), (2, "valid"), (3, "test")], "id long, split string")
-    out = runs.split_run(items, upstream, str(tmp_path), external=external)
+    with run_scratch(spark) as scratch:
+        out = runs.split_run(items, upstream, str(tmp_path), external=external)
+        assert os.listdir(scratch.removeprefix("file:"))
+        out = {name: spark.createDataFrame(df.collect(), df.schema) for name, df in out.items()}
+    assert not os.path.exists(scratch.removeprefix("file:"))  # nothing is left of the run
     value = {(r["section"], r["metric"]): r["value"] for r in out["diagnostics"].collect()}
     assert sum(value[("group_split", f"n_total_{s}")] for s in ("train", "val", "test")) == 132
     n_test = value[("cluster_split", "n_total_test")]
@@ -53,6 +60,14 @@ def test_split_run(spark, tmp_path):
     assert written["test_in_upstream"] + written["test_name_novel"] == written["test"]
     assert written["train_upstream"] == f["train_after_exclusion"]
     assert out["gates"].first()["threshold"] == ">= 30"
+    # the written split is enough to filter measurements by
+    index = items.select(F.lower("name").alias("name_key"), F.lit("S").alias("structure"), "group_key")
+    rows = items.select(F.col("id").alias("row_id"), F.col("name").alias("drug_name"))
+    reports = runs.leakage_run({"m": rows}, index, items, str(tmp_path), split_path=str(tmp_path / "group_split"))
+    test = {r["id"] for r in read_split(spark, str(tmp_path / "group_split")).where("split = 'test'").collect()}
+    keys = {r["group_key"] for r in items.collect() if str(r["id"]) in test} - {""}
+    left = [r for r in items.collect() if str(r["id"]) not in test and r["group_key"] not in keys]
+    assert reports["m"].first()["n_out"] == len(left) > 0
 
 
 def test_leakage_run(spark, tmp_path):
