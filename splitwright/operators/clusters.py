@@ -79,12 +79,10 @@ def link_clusters(sets: DataFrame, threshold: float = 0.4) -> DataFrame:
     pivots = postings.groupBy("token").agg(
         F.min_by(F.struct("id", "n", "pos"), F.struct("n", "id")).alias("p"), F.count(F.lit(1)).alias("k")
     )
-    to_pivot = (
-        postings.join(lookup_side(pivots.where(F.col("k") > 1)), "token")
-        .where(F.col("id") != F.col("p.id"))
-        .select(F.col("p.id").alias("id_a"), F.col("id").alias("id_b"))
-        .distinct()
-    )
+    # a link that these bounds miss at one token is found below, where labels still differ
+    heads = lookup_side(pivots.where(F.col("k") > 1).select("token", "p.id", "p.n", "p.pos")).alias("r")
+    met = postings.alias("l").join(heads, (F.col("l.token") == F.col("r.token")) & (F.col("l.id") != F.col("r.id")) & _possible(threshold))
+    to_pivot = met.select(F.col("r.id").alias("id_a"), F.col("l.id").alias("id_b")).distinct()
     near = stored(verify(to_pivot, reps, reps, threshold).select("id_a", "id_b"), "edges")
     labels = stored(_labels(reps, near), "labels")
 
