@@ -250,7 +250,8 @@ def decontaminated(
     a whole. Clean rows pass unchanged, null texts included. A range is cut once; words around it are not
     judged again.
     """
-    row = docs.select(F.col("text").cast("string").alias("text"), F.struct("*").alias("_row"))
+    others = [c for c in docs.columns if c != "text"]
+    row = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"))
     found = matched(row, benchmark, window, block_words)
     widths = F.aggregate(F.transform("_spans", lambda s: s[1] - s[0]), F.lit(0).cast("long"), lambda a, x: a + x)
     found = found.where((widths == 0) | (widths <= F.col("_words") * F.lit(max_coverage)))
@@ -268,10 +269,8 @@ def decontaminated(
     cut = arrow_map(found, work, found.schema)
     columns = []
     for field in docs.schema.fields:
-        column = F.col("_row").getField(field.name)
-        if field.name == "text":
-            column = F.col("text")
-        elif field.name == "n_chars":
+        column = F.col("text") if field.name == "text" else F.col("_row").getField(field.name)
+        if field.name == "n_chars":
             column = F.when(F.size("_spans") > 0, F.length("text")).otherwise(column)
         columns.append(column.cast(field.dataType).alias(field.name))
     return cut.select(*columns)

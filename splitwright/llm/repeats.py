@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from splitwright.llm.text import arrow_map, documents, mixed, texts_of
+from splitwright.llm.text import arrow_map, bounded_batches, documents, mixed, texts_of
 from splitwright.session import stored
 
 LENGTH = 200
@@ -129,6 +129,7 @@ def slices(docs: DataFrame) -> DataFrame:
         if ids:
             yield row()
 
+    bounded_batches(docs.sparkSession)
     found = documents(docs).mapInArrow(run, "doc_id array<long>, size array<int>, blob binary")
     return stored(found.withColumn("_slice", F.monotonically_increasing_id()), "slices")
 

@@ -55,7 +55,7 @@ def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> li
 class WordHashes(dict):
     """64-bit hash of a word, computed once per worker; emptied when it has grown to ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 100_000):
         self.limit = limit
 
     def __missing__(self, word: bytes) -> int:

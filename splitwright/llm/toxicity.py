@@ -38,7 +38,7 @@ def features(text: bytes, hashes: WordHashes) -> np.ndarray:
         for gap, (a, b) in enumerate(zip(_FIRST, _SECOND), 1):
             if len(words) > gap:
                 parts.append(mixed(words[:-gap] * a + words[gap:] * b))
-    return np.unique(np.concatenate(parts) >> np.uint64(64 - BITS)).astype(np.int64)
+    return np.unique(np.concatenate(parts) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
@@ -88,8 +88,17 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found["at"].to_numpy(), found["weight"].to_numpy()
 
 
+def score_name(df: DataFrame) -> str:
+    """A column name that the table does not have."""
+    name = "_score"
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def scored(df: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``df`` with ``_score`` of its string column ``text``."""
+    """``df`` with the score of its string column ``text`` in ``score_name(df)``."""
+    name = score_name(df)
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def work():
@@ -102,11 +111,11 @@ def scored(df: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         def step(batch: pa.RecordBatch):
             # without a model nothing is known to be toxic
             scores = [sigmoid(dense[features(t, hashes)].sum() + bias) if len(at) else 0.0 for t in texts_of(batch["text"])]
-            yield with_column(batch, _score=pa.array(scores, pa.float64()))
+            yield with_column(batch, **{name: pa.array(scores, pa.float64())})
 
         return step
 
-    return arrow_map(df, work, T.StructType([*df.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return arrow_map(df, work, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -128,5 +137,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score below ``threshold``, with all their columns."""
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.struct("*").alias("_row"))
-    return scored(rows, train(docs, labels)).where(F.col("_score") < threshold).select("_row.*")
+    name = score_name(docs)
+    return scored(docs.withColumn("text", F.col("text").cast("string")), train(docs, labels)).where(F.col(name) < threshold).drop(name)
