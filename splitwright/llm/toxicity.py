@@ -21,8 +21,8 @@ from splitwright.operators.checks import require_columns
 BITS = 20
 #: The sample: at most so many labelled rows, those with the smallest hash of the id.
 TRAIN_ROWS = 20_000
-EPOCHS = 5
-ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 1.0
+EPOCHS = 3
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 10.0, 1.0
 THRESHOLD = 0.3
 HELD_OUT = (4, 2)
 
