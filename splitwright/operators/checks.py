@@ -219,10 +219,20 @@ def require_order(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
-def reject_nulls(df: DataFrame, columns: Sequence[str], what: str = "input") -> DataFrame:
-    """Raise when one of the columns holds a null (or an empty text)."""
+def column_report(df: DataFrame, required: Sequence[str]) -> DataFrame:
+    """``column, present`` of the required columns, the check of :func:`require_columns` as a table."""
+    rows = [(c, c in df.columns) for c in required]
+    return df.sparkSession.createDataFrame(rows, "column string, present boolean")
+
+
+def null_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row with ``bad_<column>``: how many values are null (or an empty text)."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     empty = lambda c: (F.col(c) == "") if isinstance(kinds[c], T.StringType) else F.lit(False)
-    counts = [F.count_if(F.col(c).isNull() | empty(c)).alias(f"bad_{c}") for c in columns]
-    raise_on_violations(df.agg(*counts), what)
+    return df.agg(*[F.count_if(F.col(c).isNull() | empty(c)).alias(f"bad_{c}") for c in columns])
+
+
+def reject_nulls(df: DataFrame, columns: Sequence[str], what: str = "input") -> DataFrame:
+    """Raise when one of the columns holds a null (or an empty text)."""
+    raise_on_violations(null_report(df, columns), what)
     return df

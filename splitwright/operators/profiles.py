@@ -101,15 +101,27 @@ def parse_profile_ids(rows: DataFrame, id_col: str = "profile_id") -> DataFrame:
     return rows.select("*", F.inline(F.array(parse_profile_id(F.col(id_col)))))
 
 
-def profile_table(resolved: DataFrame) -> DataFrame:
+def _with_structure(resolved: DataFrame) -> DataFrame:
+    return parse_profile_ids(resolved.where(F.col("matched") & F.col("canonical").isNotNull()))
+
+
+def rejected_profiles(resolved: DataFrame) -> DataFrame:
+    """``profile_id, name`` of resolved rows whose id does not follow the layout."""
+    return _with_structure(resolved).where(~F.coalesce("id_ok", F.lit(False))).select("profile_id", "name")
+
+
+def profile_table(resolved: DataFrame, strict: bool = True) -> DataFrame:
     """The 11 profile columns of resolved rows.
 
     ``resolved`` holds ``profile_id, name, canonical, severity, label, matched``; rows without a
-    match leave, a wrong id layout is an error.
+    match leave. A wrong id layout is an error, or, if not ``strict``, goes to :func:`rejected_profiles`.
     """
-    parsed = parse_profile_ids(resolved.where(F.col("matched") & F.col("canonical").isNotNull()))
+    parsed = _with_structure(resolved)
     wrong = F.raise_error(F.concat(F.lit("cannot parse profile id "), F.col("profile_id")))
-    checked = parsed.withColumn("profile_id", F.when(F.col("id_ok"), F.col("profile_id")).otherwise(wrong.cast("string")))
+    if strict:
+        checked = parsed.withColumn("profile_id", F.when(F.col("id_ok"), F.col("profile_id")).otherwise(wrong.cast("string")))
+    else:
+        checked = parsed.where("id_ok")
     return checked.select(
         "profile_id",
         F.col("name").alias("compound_name"),

@@ -98,12 +98,15 @@ def _resolved_profiles(spark, sf_dir):
         F.col("p_partkey").alias("l_partkey"), F.concat("p_name", F.lit(" "), F.lower(F.regexp_replace("p_brand", "#", "")), F.lit(" sodium")).alias("name")
     )
     registry = derived(spark, sf_dir, I.SEVERITY_LIST).withColumn("canonical", F.upper("name"))
-    usable = rows.where(~F.col("profile_id").like("%H-%")).join(part, "l_partkey")
-    return resolve.resolve_suffix_free(usable, registry)
+    return resolve.resolve_suffix_free(rows.join(part, "l_partkey"), registry)
+
+
+def rejected_profiles(spark, sf_dir):
+    return profiles.rejected_profiles(_resolved_profiles(spark, sf_dir))
 
 
 def profile_rows(spark, sf_dir):
-    rows = profiles.profile_table(_resolved_profiles(spark, sf_dir))
+    rows = profiles.profile_table(_resolved_profiles(spark, sf_dir), strict=False)
     known = F.when(F.isnan("dose_um"), F.lit(-1.0)).otherwise(F.col("dose_um"))
     return rows.withColumn("dose_um", known).withColumn("time_h", F.col("time_h").cast("long"))
 
@@ -195,6 +198,7 @@ QUERIES = {
     "correlation_gate": correlation_gate,
     "parsed_ids": parsed_ids,
     "profile_rows": profile_rows,
+    "rejected_profiles": rejected_profiles,
     "dose_distribution": dose_distribution,
     "cell_distribution": cell_distribution,
     "class_drift": class_drift,
@@ -230,14 +234,14 @@ parsed as (select *, regexp_matches(profile_id, {_PATTERN}) as ok, regexp_extrac
 _TABLE = f"""
 with {_PARSED},
 named as (select p.*, lower(t.p_name || ' ' || replace(t.p_brand, '#', '')) || ' sodium' as nm_l,
-   t.p_name || ' ' || lower(replace(t.p_brand, '#', '')) || ' sodium' as name from parsed p join part t on p.l_partkey = t.p_partkey where ok),
+   t.p_name || ' ' || lower(replace(t.p_brand, '#', '')) || ' sodium' as name from parsed p join part t on p.l_partkey = t.p_partkey),
 reg as (select {sql_all_suffixes('name')} as k, arg_min(upper(name), src_row) as canonical, arg_min(row(severity), src_row) as sev
   from {sql_input(I.SEVERITY_LIST)} group by 1),
 resolved as (select n.*, r.canonical, (r.sev)[1] as severity, r.k is not null as matched from named n left join reg r on {sql_all_suffixes('n.name')} = r.k),
 rows_ as (select profile_id, name as compound_name, brd_id, cell_id, cast(time_h as bigint) as time_h, dose_str,
   case when regexp_matches(dose_str, {SQL_NUMBER}) then cast(dose_str as double) else -1.0 end as dose_um,
   canonical as structure, label, coalesce(severity, '') as severity,
-  substr(sha256(canonical || '|' || cell_id || '|' || dose_str), 1, 16) as tuple_key from resolved where matched)
+  substr(sha256(canonical || '|' || cell_id || '|' || dose_str), 1, 16) as tuple_key from resolved where matched and ok)
 """
 _DRIFT = """select count(*) as n, count(*) filter (where label = 1) as n_pos, count(*) filter (where label = 0) as n_neg,
   round(count(*) filter (where label = 1) / greatest(count(*) filter (where label = 0), 1), 6) as pn_ratio,
@@ -285,6 +289,7 @@ select src_row, profile_id, case when ok then plate end as plate, case when ok t
   case when ok then cast(time_h as bigint) else 0 end as time_h, case when ok then brd_id end as brd_id,
   case when ok then dose_str end as dose_str, ok as id_ok from parsed""",
     "profile_rows": _TABLE + "select * from rows_",
+    "rejected_profiles": _TABLE + "select profile_id, name from resolved where matched and not ok",
     "dose_distribution": _TABLE + "select dose_str, min(dose_um) as dose_um, count(*) as n from rows_ group by 1",
     "cell_distribution": _TABLE
     + "select cell_id as value, count(*) as n, round(100.0 * count(*) / (select count(*) from rows_), 6) as pct from rows_ group by 1",

@@ -66,7 +66,27 @@ def document_registry(spark, sf_dir):
     return counted
 
 
+def required_columns(spark, sf_dir):
+    """Which columns of a split input the orders offer."""
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "id")
+    return checks.column_report(orders, ["id", "group_key", "label", "o_orderstatus"])
+
+
+def padded_columns(spark, sf_dir):
+    """A severity column is found under a padded name in other case."""
+    rows = derived(spark, sf_dir, I.SEVERITY_LIST).withColumnRenamed("severity", " Severity ")
+    column = checks.find_column(rows, checks.SEVERITY_COLUMN_NAMES, "severity", ignore_case=True)
+    return rows.groupBy(F.col(f"`{column}`").alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def null_counts(spark, sf_dir):
+    return checks.null_report(derived(spark, sf_dir, I.ALIAS_TABLE), ["name_key", "structure"])
+
+
 QUERIES = {
+    "required_columns": required_columns,
+    "padded_columns": padded_columns,
+    "null_counts": null_counts,
     "label_drops": label_drops,
     "join_drops": join_drops,
     "registry_rows": registry_rows,
@@ -98,6 +118,13 @@ last_ as (select k, arg_max(registry_label, src_row) as registry_label from know
 conflict as (select src_row, id, name, label, registry_label from rows_ join last_ using (k) where label <> registry_label)
 """
 SQL = {
+    "required_columns": """
+select c as "column", c = 'id' or c in (select column_name from (describe orders)) as present
+from (values ('id'), ('group_key'), ('label'), ('o_orderstatus')) v(c)""",
+    "padded_columns": f"select severity, count(*) as n from {sql_input(I.SEVERITY_LIST)} group by 1",
+    "null_counts": f"""
+select count(*) filter (where coalesce(name_key, '') = '') as bad_name_key, count(*) filter (where coalesce(structure, '') = '') as bad_structure
+from {sql_input(I.ALIAS_TABLE)}""",
     "label_drops": f"""
 select count(*) as n_in, count(*) filter (where ok) as n_kept, count(*) filter (where not ok) as n_dropped
 from (select coalesce({_NUM} in (0, 1), false) as ok from {sql_input(I.LABEL_LIST)})""",
