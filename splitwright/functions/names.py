@@ -13,19 +13,35 @@ from pyspark.sql import functions as F
 
 # Suffix tokens of the one-token policy.
 ONE_TOKEN_SUFFIXES = (
-    "hydrochloride dihydrochloride hydrobromide sulfate sulphate phosphate diphosphate bromide "
-    "iodide chloride acetate tartrate citrate fumarate succinate maleate mesylate tosylate besylate "
-    "lactate malate sodium potassium calcium magnesium lithium olamine pamoate stearate palmitate "
-    "trihydrate dihydrate monohydrate hydrate edisylate gluconate glucuronate nitrate dimeglumine "
-    "meglumine hyclate valerate propionate decanoate benzoate furoate enanthate"
-).split()
+    "hydrochloride", "dihydrochloride", "hydrobromide", "sulfate", "sulphate", "phosphate", "diphosphate",
+    "bromide", "iodide", "chloride", "acetate", "tartrate", "citrate", "fumarate", "succinate", "maleate",
+    "mesylate", "tosylate", "besylate", "lactate", "malate", "sodium", "potassium", "calcium", "magnesium",
+    "lithium", "olamine", "pamoate", "stearate", "palmitate", "trihydrate", "dihydrate", "monohydrate",
+    "hydrate", "edisylate", "gluconate", "glucuronate", "nitrate", "dimeglumine", "meglumine", "hyclate",
+    "valerate", "propionate", "decanoate", "benzoate", "furoate", "enanthate",
+)
 # Suffix tokens of the two-token policy.
-TWO_TOKEN_SUFFIXES = ONE_TOKEN_SUFFIXES + (
-    "isethionate estolate glycinate succinylsulfate diethanolamine ethanolamine embonate edetate "
-    "pivoxil fosamil"
-).split()
+TWO_TOKEN_SUFFIXES = (
+    "hydrochloride", "dihydrochloride", "hydrobromide", "sulfate", "sulphate", "phosphate", "diphosphate",
+    "bromide", "iodide", "chloride", "acetate", "tartrate", "citrate", "fumarate", "succinate", "maleate",
+    "mesylate", "tosylate", "besylate", "lactate", "malate", "sodium", "potassium", "calcium", "magnesium",
+    "lithium", "olamine", "pamoate", "stearate", "palmitate", "trihydrate", "dihydrate", "monohydrate",
+    "hydrate", "edisylate", "gluconate", "glucuronate", "nitrate", "dimeglumine", "meglumine", "hyclate",
+    "valerate", "propionate", "decanoate", "benzoate", "furoate", "enanthate", "isethionate", "estolate",
+    "glycinate", "succinylsulfate", "diethanolamine", "ethanolamine", "embonate", "edetate", "pivoxil",
+    "fosamil",
+)
 # Suffix tokens of the repeated policy.
-REPEATED_SUFFIXES = TWO_TOKEN_SUFFIXES + ["complex"]
+REPEATED_SUFFIXES = (
+    "hydrochloride", "dihydrochloride", "hydrobromide", "sulfate", "sulphate", "phosphate", "diphosphate",
+    "bromide", "iodide", "chloride", "acetate", "tartrate", "citrate", "fumarate", "succinate", "maleate",
+    "mesylate", "tosylate", "besylate", "lactate", "malate", "sodium", "potassium", "calcium", "magnesium",
+    "lithium", "olamine", "pamoate", "stearate", "palmitate", "trihydrate", "dihydrate", "monohydrate",
+    "hydrate", "edisylate", "gluconate", "glucuronate", "nitrate", "dimeglumine", "meglumine", "hyclate",
+    "valerate", "propionate", "decanoate", "benzoate", "furoate", "enanthate", "isethionate", "estolate",
+    "glycinate", "succinylsulfate", "diethanolamine", "ethanolamine", "embonate", "edetate", "pivoxil",
+    "fosamil", "complex",
+)
 
 # every character that counts as a blank in a Unicode text
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
