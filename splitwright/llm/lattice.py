@@ -31,9 +31,9 @@ from splitwright.session import stored
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 HELD_OUT = (10, 0)
 ROUNDS = 2
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 5_000_000
 #: Lattices of so many words are worked on together.
-WORDS_AT_ONCE = 60_000
+WORDS_AT_ONCE = 40_000
 #: Stands for the mark of a word's begin, as one byte that no text has.
 _MARK = b"\xff"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -134,7 +134,7 @@ class Lattice:
         while start < len(order):
             size = len(marked[order[start]])
             end = start
-            most = max(1, 400_000 // size)
+            most = max(1, 200_000 // size)
             while end < len(order) and end - start < most and len(marked[order[end]]) == size:
                 end += 1
             at = order[start:end]
@@ -185,6 +185,7 @@ def token_blocks(docs: DataFrame, languages: list[str | None]) -> DataFrame:
                 if block.bytes >= BLOCK_BYTES:
                     yield block.row()
                     block = _Block(len(places))
+            pa.default_memory_pool().release_unused()
         if block.ids:
             yield block.row()
 
@@ -398,6 +399,12 @@ def _block_scores(row: dict, model: _Model) -> pa.RecordBatch:
         counts[at, marks >> 48] = marks & ((1 << 48) - 1)
         log_lattice[at] = p
     total = counts.sum(axis=1)
+    p = model.word_probabilities(counts, log_lattice)
+    ends = np.cumsum(sizes)
+    scores = np.empty(len(sizes))
+    for a, b in _parts(ends):  # so many tokens at a time that their arrays stay small
+        first = ends[a] - sizes[a]
+        scores[a:b] = _log_probabilities(tokens[first : ends[b - 1]], sizes[a:b], model, p)
     columns = {
         "doc_id": row["doc_id"].values,
         "held_out": row["held"].values,
@@ -405,11 +412,21 @@ def _block_scores(row: dict, model: _Model) -> pa.RecordBatch:
         "n_known": pa.array(_by_document((total > 0).astype(np.int64)[tokens], sizes) + (model.ends > 0)),
         "train_tokens": pa.array(np.full(len(sizes), model.n, np.int64)),
         "base_score": pa.array(_by_document(model.base(total)[tokens], sizes) + float(model.base(np.array(model.ends)))),
-        "score": pa.array(_log_probabilities(tokens, sizes, model, model.word_probabilities(counts, log_lattice))),
+        "score": pa.array(scores),
     }
     return pa.record_batch(list(columns.values()), list(columns))
 
 
+def _parts(ends: np.ndarray, most: int = 200_000):
+    """Ranges of documents of about ``most`` tokens."""
+    a = 0
+    while a < len(ends):
+        begun = ends[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, begun + most, "right")))
+        yield a, b
+        a = b
+
+
 def _log_probabilities(tokens: np.ndarray, sizes: np.ndarray, model: _Model, p: np.ndarray) -> np.ndarray:
     """log10 probability of each document, over the languages it may be in."""
     begin = np.repeat(np.cumsum(sizes) - sizes, sizes)

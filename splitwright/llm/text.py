@@ -114,6 +114,7 @@ def arrow_map(
             if sum(b.num_rows for b in held) >= rows:
                 yield from step(_joined(held))
                 held = []
+                pa.default_memory_pool().release_unused()
         if sum(b.num_rows for b in held):
             yield from step(_joined(held))
 
