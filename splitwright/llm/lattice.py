@@ -381,12 +381,22 @@ class _Model:
 
     def word_probabilities(self, counts: np.ndarray, log_lattice: np.ndarray) -> np.ndarray:
         """``[language, word]``, given that a word follows."""
-        p = np.exp(log_lattice)
-        if self.n_words:
-            p = (np.maximum(counts.sum(axis=1) - DISCOUNT, 0.0) + DISCOUNT * self.v_words * p) / self.n_words
-        return np.stack(
-            [(np.maximum(counts[:, i] - DISCOUNT, 0.0) + DISCOUNT * v * p) / n if n else p for i, (n, v, _) in enumerate(self.languages)]
-        )
+        return np.exp(self.word_log_probabilities(counts, log_lattice))
+
+    def word_log_probabilities(self, counts: np.ndarray, log_lattice: np.ndarray) -> np.ndarray:
+        """Natural logs of ``word_probabilities``; those of long words are too small for a float."""
+        log_p = _discounted(counts.sum(axis=1), self.n_words, self.v_words, log_lattice)
+        return np.stack([_discounted(counts[:, i], n, v, log_p) for i, (n, v, _) in enumerate(self.languages)])
+
+
+def _discounted(counts: np.ndarray, n: int, v: int, log_p: np.ndarray) -> np.ndarray:
+    """Log of the discounted share of ``counts`` in ``n`` words of ``v`` types, the rest dealt out by ``log_p``."""
+    if not n:
+        return log_p
+    out = math.log(DISCOUNT * v / n) + log_p
+    seen = counts > 0
+    out[seen] = np.logaddexp(np.log((counts[seen] - DISCOUNT) / n), out[seen])
+    return out
 
 
 def _block_scores(row: dict, model: _Model) -> pa.RecordBatch:
@@ -399,12 +409,13 @@ def _block_scores(row: dict, model: _Model) -> pa.RecordBatch:
         counts[at, marks >> 48] = marks & ((1 << 48) - 1)
         log_lattice[at] = p
     total = counts.sum(axis=1)
-    p = model.word_probabilities(counts, log_lattice)
+    log_p = model.word_log_probabilities(counts, log_lattice)
+    p = np.exp(log_p)
     ends = np.cumsum(sizes)
     scores = np.empty(len(sizes))
     for a, b in _parts(ends):  # so many tokens at a time that their arrays stay small
         first = ends[a] - sizes[a]
-        scores[a:b] = _log_probabilities(tokens[first : ends[b - 1]], sizes[a:b], model, p)
+        scores[a:b] = _log_probabilities(tokens[first : ends[b - 1]], sizes[a:b], model, p, log_p)
     columns = {
         "doc_id": row["doc_id"].values,
         "held_out": row["held"].values,
@@ -427,8 +438,12 @@ def _parts(ends: np.ndarray, most: int = 200_000):
         a = b
 
 
-def _log_probabilities(tokens: np.ndarray, sizes: np.ndarray, model: _Model, p: np.ndarray) -> np.ndarray:
-    """log10 probability of each document, over the languages it may be in."""
+def _log_probabilities(tokens: np.ndarray, sizes: np.ndarray, model: _Model, p: np.ndarray, log_p: np.ndarray | None = None) -> np.ndarray:
+    """log10 probability of each document, over the languages it may be in.
+
+    ``log_p`` holds the logs of ``p`` where a ``p`` may be too small for a float.
+    """
+    log_p = np.log(p) if log_p is None else log_p
     begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
     position = np.arange(len(tokens)) - begin
     # how often the document has used the word before
@@ -439,11 +454,14 @@ def _log_probabilities(tokens: np.ndarray, sizes: np.ndarray, model: _Model, p:
     used[order] = np.arange(len(tokens)) - np.maximum.accumulate(np.where(new, np.arange(len(tokens)), 0))
     share = CACHE * position / (position + CACHE_HALF)
     cached = share * used / np.maximum(position, 1)
+    again, rest = used > 0, np.log1p(-share)
     documents = sum(d for _, _, d in model.languages)
     each = []
     for place, (_, _, d) in enumerate(model.languages):
         prior = (d + 0.5) / (documents + 0.5 * len(model.languages))
-        each.append(math.log(prior) + _by_document(np.log((1 - share) * p[place][tokens] + cached), sizes))
+        logs = rest + log_p[place][tokens]
+        logs[again] = np.log((1 - share[again]) * p[place][tokens[again]] + cached[again])
+        each.append(math.log(prior) + _by_document(logs, sizes))
     best = np.max(each, axis=0)
     total = best + np.log(np.exp(np.array(each) - best).sum(axis=0))
     return (total + sizes * math.log(1 - model.end()) + math.log(model.end())) / math.log(10)

@@ -167,6 +167,34 @@ def test_the_model_is_a_distribution():
     assert abs(total - (1 - (1 - model.end()) ** 4)) < 1e-9
 
 
+@pytest.mark.skipif(not __import__("os").path.exists(lattice.PIECES), reason="no vocabulary file")
+def test_a_long_unseen_word_has_a_finite_score(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(20)), "en" if i % 2 else "de") for i in range(40)]
+    unseen = "".join(rng.choice("qxyz0123456789") for _ in range(10_000))
+    tested = next(i for i in range(100, 200) if held(i, 10, 0))
+    table = spark.createDataFrame([*rows, (tested, f"ba {unseen} ro {unseen}", "en")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in lattice.language_scores(table, rounds=1).collect()}
+    assert got[tested]["held_out"] and got[tested]["n_known"] == 3
+    assert all(math.isfinite(r["score"]) for r in got.values())
+    # far below what a float holds, and the second use comes from the document's own words
+    assert -100_000 < got[tested]["score"] < -5_000
+
+
+def test_small_probabilities_stay_in_log_space():
+    counts, log_lattice = np.array([[3, 0], [0, 0]]), np.array([-2.0, -5000.0])
+    model = lattice._Model(n=5, v=2, ends=2, n_words=3, v_words=1, languages=[(3, 1, 1), (0, 0, 1)])
+    log_p = model.word_log_probabilities(counts, log_lattice)
+    share = math.log(lattice.DISCOUNT / 3)
+    assert np.allclose(log_p[:, 1], [2 * share - 5000, share - 5000])
+    p = model.word_probabilities(counts, log_lattice)
+    got = lattice._log_probabilities(np.array([1, 0]), np.array([2]), model, p, log_p)[0]
+    kept = math.log(1 - lattice.CACHE / (1 + lattice.CACHE_HALF))
+    each = [math.log(0.5) + x[1] + kept + x[0] for x in log_p]
+    want = np.logaddexp(*each) + 2 * math.log(1 - model.end()) + math.log(model.end())
+    assert abs(got - want / math.log(10)) < 1e-9
+
+
 def test_packed_tokens_come_back():
     tokens = np.array([0, 1, 70_000, 5, 1 << 30], np.int32)
     assert lattice.unpacked(lattice.packed(tokens)).tolist() == tokens.tolist()
