@@ -30,7 +30,7 @@ from splitwright.session import stored
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 HELD_OUT = (10, 0)
-ROUNDS = 2
+ROUNDS = 3
 BLOCK_BYTES = 5_000_000
 #: Lattices of so many words are worked on together.
 WORDS_AT_ONCE = 40_000

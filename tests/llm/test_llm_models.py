@@ -181,6 +181,15 @@ def test_a_long_unseen_word_has_a_finite_score(spark):
     assert -100_000 < got[tested]["score"] < -5_000
 
 
+@pytest.mark.skipif(not __import__("os").path.exists(lattice.PIECES), reason="no vocabulary file")
+def test_pieces_are_fitted_in_three_rounds(spark):
+    words = spark.createDataFrame([(bytearray(a.encode() + b.encode()),) for a in WORDS for b in WORDS], "word binary")
+    pieces, weights = lattice.load_pieces()
+    log_p, log_stop = lattice.fit_pieces(words, pieces, weights)
+    want, want_stop = lattice.fit_pieces(words, pieces, weights, rounds=3)
+    assert np.allclose(log_p, want) and abs(log_stop - want_stop) < 1e-9
+
+
 def test_small_probabilities_stay_in_log_space():
     counts, log_lattice = np.array([[3, 0], [0, 0]]), np.array([-2.0, -5000.0])
     model = lattice._Model(n=5, v=2, ends=2, n_words=3, v_words=1, languages=[(3, 1, 1), (0, 0, 1)])
