@@ -417,7 +417,7 @@ def _removed(part: Slice, ids: pa.Array, found: pa.Scalar) -> pa.RecordBatch:
     for a, b in zip(part.starts[:-1], part.starts[1:]):
         # a run that reaches over the end of a document is one run in each
         inside = slice(np.searchsorted(end, a, "right"), np.searchsorted(begin, b, "left"))
-        spans = [{"start": int(max(s, a) - a), "end": int(min(e, b) - a)} for s, e in zip(begin[inside], end[inside])]
+        spans = [{"start": int(max(s, a) - a), "end": int(min(e, b) - a)} for s, e in zip(begin[inside], end[inside]) if min(e, b) > max(s, a)]
         kept = part.data[a:b][~gone[a:b]].tobytes() if spans else part.raw[a:b]
         columns["n_bytes"].append(int(b - a))
         columns["n_removed"].append(int(b - a) - len(kept))

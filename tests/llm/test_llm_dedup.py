@@ -203,6 +203,13 @@ def test_repeats_of_runs_and_periods(spark, monkeypatch):
     assert rows_of(repeats.repeat_digest(table)) == bytes_brute(rows)
 
 
+def test_empty_texts_between_copies_have_no_spans(spark):
+    copy = "".join(random.Random(2).choice("abcdefgh") for _ in range(300))
+    rows = [(1, copy), (2, ""), (3, None), (4, copy), (5, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert rows_of(repeats.repeat_digest(table)) == bytes_brute(rows)
+
+
 def test_suffix_arrays():
     rng = random.Random(3)
     for _ in range(200):
