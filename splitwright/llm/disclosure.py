@@ -1,8 +1,7 @@
 """Personal data and the terms that give it away.
 
-Patterns find the protected entities. Corpus co-occurrence then estimates how much a term near an entity
-says about it: with ``N`` documents, ``df`` counting documents, and ``co`` those in which the term stands near
-the entity, the pointwise mutual information ``log2(co * N / (df(entity) * df(term)))`` is set against the
+Patterns find the protected entities. Corpus co-occurrence then estimates how much a term says about an entity
+of its document: with ``N`` documents, ``df`` counting documents, and ``co`` those that hold both, the pointwise mutual information ``log2(co * N / (df(entity) * df(term)))`` is set against the
 information content ``log2(N / df(entity))``. A term that reaches ``REMOVE`` of that content is removed, one
 that reaches ``GENERALISE`` is replaced by its category. Evidence must come from ``MIN_CONTEXTS``
 different contexts, so that copies of one passage do not make every word in it a disclosure.
@@ -11,9 +10,14 @@ different contexts, so that copies of one passage do not make every word in it a
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +30,10 @@ KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "generalise", "remove")
 GENERALISE, REMOVE = 0.7, 0.85
 MIN_CONTEXTS = 2
-#: Words that lie whole within so many code points of an entity are its context.
+#: Words that lie whole within so many code points of an entity, or of a word, are its context.
 CONTEXT = 150
+#: Bytes of text whose words are held at once.
+PART_BYTES = 500_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -108,9 +114,35 @@ def context_terms(text: str, found: list[tuple[int, int, int, str]]) -> list[dic
     return out
 
 
+def document_terms(text: str, found: list[tuple[int, int, int, str]]) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """``(term, context, places)`` of every distinct word that touches no entity.
+
+    The context is the hash of the words within ``CONTEXT`` code points of the word's first place.
+    """
+    words, starts, ends, places, i = [], [], [], {}, 0
+    reach = list(accumulate((e for _, _, e, _ in found), max))
+    for m in _WORD.finditer(text):
+        a, b = m.span()
+        while i < len(found) and found[i][0] < b:
+            i += 1
+        if i and reach[i - 1] > a:
+            continue
+        word = alnum_words(m.group().encode())[0]
+        words.append(word)
+        starts.append(a)
+        ends.append(b)
+        places.setdefault(word, []).append((a, b))
+    out = []
+    for word, at in places.items():
+        low, high = bisect_left(starts, at[0][0] - CONTEXT), bisect_right(ends, at[0][1] + CONTEXT)
+        out.append((_hash(word), _hash(b" ".join(words[low:high])), at))
+    return out
+
+
 _FOUND = (
     "doc_id long, spans array<struct<start:int,kind:int,end:int>>, entities array<long>, "
-    "terms array<struct<entity:long,term:long,context:long,start:int,end:int,first:int>>"
+    "terms array<struct<entity:long,term:long,context:long,start:int,end:int,first:int>>, "
+    "words array<struct<term:long,context:long,places:array<int>>>"
 )
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 _TERM = pa.list_(
@@ -118,20 +150,55 @@ _TERM = pa.list_(
 )
 
 
+class _Words:
+    """``words`` of consecutive rows in flat arrays, as a row may have very many."""
+
+    def __init__(self):
+        self.ends, self.terms, self.contexts, self.stops, self.places = array("i", [0]), array("q"), array("q"), array("i", [0]), array("i")
+
+    def add(self, words: list) -> None:
+        for term, context, at in words:
+            self.terms.append(term)
+            self.contexts.append(context)
+            for span in at:
+                self.places.extend(span)
+            self.stops.append(len(self.places))
+        self.ends.append(len(self.terms))
+
+    def lists(self) -> pa.Array:
+        places = pa.ListArray.from_arrays(*(pa.array(np.frombuffer(x, np.int32)) for x in (self.stops, self.places)))
+        hashes = [pa.array(np.frombuffer(x, np.int64)) for x in (self.terms, self.contexts)]
+        items = pa.StructArray.from_arrays([*hashes, places], ["term", "context", "places"])
+        return pa.ListArray.from_arrays(pa.array(np.frombuffer(self.ends, np.int32)), items)
+
+
 def find_entities(docs: DataFrame) -> DataFrame:
-    """Entities and their context terms of every document, without the text."""
+    """Entities and their context terms of every document, and all words of those that hold an entity."""
 
     def work():
         def step(batch: pa.RecordBatch):
-            spans, names, terms = [], [], []
-            for text in batch["text"].to_pylist():
+            # some texts at a time: the words of a text take several times its bytes
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            low = 0
+            while low < batch.num_rows:
+                begun = sizes[low - 1] if low else 0
+                high = max(low + 1, int(np.searchsorted(sizes, begun + PART_BYTES, "right")))
+                yield part(batch.slice(low, high - low))
+                pa.default_memory_pool().release_unused()
+                low = high
+
+        def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+            spans, names, terms, words = [], [], [], _Words()
+            for x in batch["text"]:
+                text = x.as_py()
                 found = entities(text) if text else []
                 spans.append([{"start": s, "kind": k, "end": e} for s, k, e, _ in found])
                 names.append(list({_hash(f"{ALL_KINDS[k]}:{v}".encode()) for _, k, _, v in found}))
                 terms.append(context_terms(text, found) if found else [])
-            yield pa.record_batch(
-                [batch["doc_id"], pa.array(spans, _SPAN), pa.array(names, pa.list_(pa.int64())), pa.array(terms, _TERM)],
-                ["doc_id", "spans", "entities", "terms"],
+                words.add(document_terms(text, found) if found else [])
+            return pa.record_batch(
+                [batch["doc_id"], pa.array(spans, _SPAN), pa.array(names, pa.list_(pa.int64())), pa.array(terms, _TERM), words.lists()],
+                ["doc_id", "spans", "entities", "terms", "words"],
             )
 
         return step
@@ -156,14 +223,48 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return arrow_map(documents(docs).select("text"), work, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def disclosing_terms(found: DataFrame, frequencies: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """``entity, term, share, action``: pairs whose mutual information reaches a threshold."""
+def _known(found: DataFrame) -> DataFrame:
+    """``entity, de``: number of documents of every entity."""
+    return found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("de"))
+
+
+def held_terms(found: DataFrame, frequencies: DataFrame, generalise: float = GENERALISE) -> DataFrame:
+    """``_row, entity, term, context, de, df``: the terms of each document by each of its entities.
+
+    Entities of one document are left to ``context_terms``. As ``co`` is at most ``de``, a term can reach the share
+    ``generalise`` only while ``df <= N ** (1 - generalise) * de ** generalise``; the others are left out before
+    terms and entities meet.
+    """
+    n = float(max(1, found.count()))
+    known = stored(_known(found).where(F.col("de") > 1), "known-entities")
+    most = known.agg(F.max("de")).first()[0] or 1
+    bound = lambda de: n ** (1 - generalise) * F.pow(de, F.lit(generalise)) * (1 + 1e-9)
+    rare = stored(frequencies.where(F.col("df") <= bound(F.lit(float(most)))), "rare-terms")
+    entities_of = found.select("_row", F.explode("entities").alias("entity")).join(known, "entity")
+    terms_of = found.select("_row", F.explode("words").alias("t")).select("_row", "t.term", "t.context").join(rare, "term")
+    return terms_of.join(entities_of, "_row").where(F.col("df") <= bound(F.col("de")))
+
+
+def disclosing_terms(
+    found: DataFrame, frequencies: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, held: DataFrame | None = None
+) -> DataFrame:
+    """``entity, term, share, action``: pairs whose mutual information reaches a threshold.
+
+    ``held`` are the ``held_terms`` of ``found``, if they are at hand.
+    """
     n = F.lit(float(max(1, found.count())))
+    if held is None:
+        found = found if "_row" in found.columns else stored(found.withColumn("_row", F.monotonically_increasing_id()), "entities")
+        held = held_terms(found, frequencies, generalise)
     near = found.select(F.explode("terms").alias("t")).select("t.*")
-    pairs = near.groupBy("entity", "term").agg(F.sum("first").alias("co"), F.count_distinct("context").alias("contexts"))
-    pairs = pairs.where(F.col("contexts") >= MIN_CONTEXTS)
-    known = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("de"))
-    joined = pairs.join(known, "entity").join(frequencies, "term")
+    near = near.groupBy("entity", "term").agg(F.sum("first").alias("co"), F.count_distinct("context").alias("contexts"))
+    near = stored(near.where(F.col("contexts") >= MIN_CONTEXTS), "near-pairs")
+    pairs = held.groupBy("entity", "term", "de", "df").agg(F.count(F.lit(1)).alias("co"), F.count_distinct("context").alias("contexts"))
+    both = pairs.join(near.select("entity", "term", F.lit(True).alias("_near")), ["entity", "term"], "left")
+    both = both.where((F.col("contexts") >= MIN_CONTEXTS) | F.col("_near"))
+    single = near.join(_known(found).where(F.col("de") == 1), "entity").join(frequencies, "term")
+    columns = ["entity", "term", "co", "de", "df"]
+    joined = both.select(*columns).unionByName(single.select(*columns))
     content = F.log2(n / F.col("de"))
     share = F.log2(F.col("co") * n / (F.col("de") * F.col("df"))) / content
     scored = joined.where(content > 0).select("entity", "term", share.alias("share"))
@@ -184,14 +285,35 @@ def personal_spans(docs: DataFrame, generalise: float = GENERALISE, remove: floa
     document carries no information and discloses nothing. Other columns are not read.
     """
     found = stored(find_entities(docs).withColumn("_row", F.monotonically_increasing_id()), "entities")
-    pairs = stored(disclosing_terms(found, document_frequencies(docs), generalise, remove), "disclosing")
-    near = found.select("_row", F.explode("terms").alias("t")).select("_row", "t.entity", "t.term", "t.start", "t.end")
-    hit = near.join(pairs, ["entity", "term"]).groupBy("_row", "start", "end").agg(F.max("action").alias("kind"))
-    span = F.struct("start", F.col("kind").cast("int").alias("kind"), "end")
-    added = hit.groupBy("_row").agg(F.collect_list(span).alias("_added"))
-    joined = found.join(stored(added, "added-spans"), "_row", "left")
-    spans = F.when(F.col("_added").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "_added")))
-    return joined.select("doc_id", F.col("spans").alias("base"), spans.alias("spans"))
+    frequencies = stored(document_frequencies(docs), "frequencies")
+    held = stored(held_terms(found, frequencies, generalise), "held-terms")
+    pairs = stored(disclosing_terms(found, frequencies, generalise, remove, held), "disclosing")
+    near = found.select("_row", F.explode("terms").alias("t")).select("_row", "t.entity", "t.term")
+    hit = held.select("_row", "entity", "term").unionByName(near).join(pairs, ["entity", "term"]).groupBy("_row", "term").agg(F.max("action").alias("action"))
+    added = hit.groupBy("_row").agg(F.collect_list(F.struct("term", "action")).alias("_added"))
+    joined = found.select("_row", "doc_id", "spans", "words").join(stored(added, "added-terms"), "_row", "left")
+    # where nothing is added the words need not go on to Python
+    joined = joined.select("doc_id", "spans", F.when(F.col("_added").isNotNull(), F.col("words")).alias("words"), "_added")
+
+    def work():
+        def step(batch: pa.RecordBatch):
+            spans = []
+            for i, own in enumerate(batch["spans"].to_pylist()):
+                if batch["_added"][i].is_valid:
+                    action = {x["term"]: x["action"] for x in batch["_added"][i].as_py()}
+                    words = batch["words"][i].values
+                    terms, places = words.field("term").to_numpy(), words.field("places")
+                    for k in np.flatnonzero(np.isin(terms, list(action))):
+                        at = places[int(k)].as_py()
+                        own += [{"start": s, "kind": action[int(terms[k])], "end": e} for s, e in zip(at[::2], at[1::2])]
+                    own.sort(key=lambda x: (x["start"], x["kind"], x["end"]))
+                spans.append(own)
+            yield pa.record_batch([batch["doc_id"], batch["spans"], pa.array(spans, _SPAN)], ["doc_id", "base", "spans"])
+
+        return step
+
+    kind = "array<struct<start:int,kind:int,end:int>>"
+    return arrow_map(joined, work, f"doc_id long, base {kind}, spans {kind}")
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:

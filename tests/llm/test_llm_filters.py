@@ -242,6 +242,22 @@ def test_disclosing_terms(spark):
     assert all(got[i]["spans"] == "" for i in range(200))
 
 
+def test_terms_far_from_the_entity_count(spark):
+    """A name in the heading and the address at the foot of a long text."""
+    rng = random.Random(4)
+    common = ["alpha", "beta", "gamma", "delta", "omega"]
+    filler = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    rows = [(i, filler(12)) for i in range(200)]
+    rows += [(200 + i, f"{filler(i + 1)} Zorro {filler(200)} bob@mail.example.com") for i in range(4)]
+    copied = f"lonely heading {filler(200)} ann@mail.example.com"
+    rows += [(300 + i, copied) for i in range(5)]
+    got = {r["doc_id"]: r["spans"].split(",") for r in disclosure.pii_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(4):
+        start = rows[200 + i][1].index("Zorro")
+        assert got[200 + i][0] == f"remove:{start}:{start + 5}" and len(got[200 + i]) == 2
+    assert all(len(got[300 + i]) == 1 for i in range(5))
+
+
 def test_mutual_information_by_hand(spark):
     rows = [(0, "tell x@y.zz now"), (1, "tell x@y.zz later"), (2, "tell nobody"), (3, "now")] + [(i, "other") for i in range(4, 16)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
