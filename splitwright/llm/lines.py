@@ -1,6 +1,6 @@
 """Line deduplication over levelled, sorted runs of line hashes.
 
-Documents arrive in batches. A batch is reduced to one ``(line, n)`` row per line hash, ``n`` counting its
+Documents are dealt into batches by a hash of the row, whatever their source. A batch is reduced to one ``(line, n)`` row per line hash, ``n`` counting its
 documents; hashes that are settled already (seen in enough documents) are taken out by a merge anti-join,
 the rest become a new sorted run on level 0. A level with ``FANOUT`` runs is compacted into one run on the
 next level: counts are added, and hashes that have reached the limit move to the settled run. So each hash
@@ -90,13 +90,19 @@ class LineRuns:
         return reduce(DataFrame.unionByName, found).distinct()
 
 
+def dealt(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """``doc_id, text, _batch``: the rows of ``docs`` as they are given, written once, dealt by a hash of id and text."""
+    rows = documents(docs)
+    return stored(rows.withColumn("_batch", F.pmod(row_key(rows)[0], F.lit(batches))), "line-documents")
+
+
 def file_batches(docs: DataFrame, batches: int = BATCHES) -> list[DataFrame]:
-    """The table in batches of whole files; a table that does not come from files is one batch."""
-    files = sorted(docs.inputFiles())
-    if len(files) < 2:
-        return [docs]
-    reader = docs.sparkSession.read.schema(docs.schema)
-    return [reader.parquet(*files[i::batches]) for i in range(min(batches, len(files)))]
+    """The rows of ``docs`` in batches."""
+    return _batches_of(dealt(docs, batches), batches)
+
+
+def _batches_of(rows: DataFrame, batches: int) -> list[DataFrame]:
+    return [rows.where(F.col("_batch") == i).drop("_batch") for i in range(batches)]
 
 
 def drop_lines(docs: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -157,9 +163,10 @@ def deduplicated_lines(docs: DataFrame, batches: int = BATCHES, min_documents: i
     line and stays null; an empty table gives an empty one. Other columns are not read.
     """
     runs = LineRuns(docs.sparkSession, min_documents)
-    for batch in file_batches(docs, batches):
-        runs.add(documents(batch))
-    return drop_lines(docs, runs.frequent())
+    rows = dealt(docs, batches)
+    for batch in _batches_of(rows, batches):
+        runs.add(batch)
+    return drop_lines(rows, runs.frequent())
 
 
 def line_digest(docs: DataFrame, batches: int = BATCHES, min_documents: int = MIN_DOCUMENTS) -> DataFrame:

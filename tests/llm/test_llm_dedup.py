@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 from helpers_llm import rows_of
+from pyspark.sql import functions as F
 from splitwright.llm import lines, near, recipes, repeats
 
 
@@ -39,6 +40,20 @@ def test_lines_in_batches_need_no_order(spark, docs, texts, tmp_path):
     assert rows_of(lines.line_digest(read, batches=5, min_documents=5)) == line_brute(texts, 5)
 
 
+def test_lines_of_a_changed_table(spark, docs, texts, tmp_path):
+    """Filters and new texts hold for the counts too; one file, and a file that is not Parquet, are dealt out as well."""
+    docs.coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs.select("doc_id", "text").coalesce(3).write.json(str(tmp_path / "j"))
+    read = spark.read.parquet(str(tmp_path / "d"))
+    assert len(lines.file_batches(read, 4)) == 4
+    changed = read.where("doc_id < 40").withColumn("text", F.concat(F.lit("new "), F.regexp_replace("text", "\n", "\nnew ")))
+    rows = [(i, "new " + t.replace("\n", "\nnew ")) for i, t, *_ in texts if i is not None and i < 40]
+    for least in (3, 6, 7):
+        assert rows_of(lines.line_digest(changed, min_documents=least)) == line_brute(rows, least)
+    json = spark.read.schema("doc_id long, text string").json(str(tmp_path / "j"))
+    assert rows_of(lines.line_digest(json, min_documents=5)) == line_brute(texts, 5)
+
+
 def test_lines_of_an_empty_table(empty):
     assert rows_of(lines.line_digest(empty)) == []
 
