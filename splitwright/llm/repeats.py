@@ -7,7 +7,7 @@ share their anchor form a segment. A segment whose anchor stands nowhere else re
 segments every byte goes. What is left, different segments around one anchor, is gathered by anchor into
 shards, and each shard is sorted: Larsson-Sadakane refinement in numpy gives its suffix array, Kasai's
 theorem the common prefixes, and neighbours that share ``LENGTH`` bytes are repeats. An anchor with more
-segments than a shard may hold gets several; they are merged by binary search in their sorted strings.
+segments than a shard may hold gets several, in tasks of their own; the hashes of their strings are added up.
 
 Texts are kept in slices of some megabytes, compressed, so that later steps find them by slice number.
 """
@@ -164,18 +164,15 @@ def repeated_segments(parts: DataFrame) -> DataFrame:
 
         return step
 
-    rows = arrow_map(parts.select("_slice", "size", "blob"), work, "key long, print long, n int, _slice long, at int")
-    by_key, by_print = Window.partitionBy("key"), Window.partitionBy("key", "print")
-    # one exchange by key serves both windows
-    rows = rows.repartition("key").withColumns(
-        {
-            "_total": F.sum("n").over(by_key),
-            "mixed": F.min("print").over(by_key) != F.max("print").over(by_key),
-            "sure": F.sum("n").over(by_print) > 1,
-            "lead": F.min("_slice").over(by_print) == F.col("_slice"),
-        }
+    rows = stored(arrow_map(parts.select("_slice", "size", "blob"), work, "key long, print long, n int, _slice long, at int"), "segment-rows")
+    anchors = rows.groupBy("key").agg(F.sum("n").alias("_total"), (F.min("print") != F.max("print")).alias("mixed"))
+    anchors = stored(anchors.where(F.col("_total") > 1).select("key", "mixed"), "anchors")
+    by_print = Window.partitionBy("key", "print")
+    # the exchange lets the join split a hot anchor; a print has one row a slice
+    rows = rows.join(anchors.hint("merge"), "key").repartition("key", "print").withColumns(
+        {"sure": F.sum("n").over(by_print) > 1, "lead": F.min("_slice").over(by_print) == F.col("_slice")}
     )
-    return stored(rows.where(F.col("_total") > 1).select("_slice", "at", "key", "sure", "mixed", "lead"), "segments")
+    return stored(rows.select("_slice", "at", "key", "sure", "mixed", "lead"), "segments")
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -341,9 +338,69 @@ def segment_texts(parts: DataFrame, marked: DataFrame) -> DataFrame:
 def shard_repeats(texts: DataFrame) -> DataFrame:
     """``_slice, at, cover``: what suffix arrays find repeated in segments that stand only once.
 
-    All segments of an anchor meet in one partition, ordered by anchor; anchors are packed into shards.
+    Segments of an anchor meet in one partition, ordered by anchor; anchors are packed into shards. Those of an
+    anchor beyond ``SHARD_BYTES`` are dealt over several tasks.
     """
+    texts = stored(texts, "segment-texts")
+    sizes = texts.groupBy("key").agg(F.sum(F.length("bytes")).alias("_size")).where(F.col("_size") > SHARD_BYTES)
+    hot = stored(sizes.select("key", F.ceil(F.col("_size") / SHARD_BYTES).alias("_shards")), "hot-anchors")
+    if hot.isEmpty():
+        return _packed_repeats(texts)
+    return _packed_repeats(texts.join(hot, "key", "left_anti")).unionByName(hot_repeats(hot_segments(texts, hot)))
 
+
+def hot_segments(texts: DataFrame, hot: DataFrame) -> DataFrame:
+    """Segments of the anchors in ``hot``, dealt over the ``_shards`` of each by a hash of their place."""
+    shard = F.pmod(F.xxhash64("_slice", "at"), F.col("_shards")).alias("_shard")
+    return texts.join(hot, "key").select("key", shard, "_slice", "at", "sure", "bytes")
+
+
+def hot_repeats(segments: DataFrame) -> DataFrame:
+    """``_slice, at, cover`` like ``shard_repeats``, of segments dealt out by ``key, _shard``.
+
+    Each shard gives the hashes of its distinct strings and their weights; added up by anchor and hash they
+    tell which strings are repeated, and these go back to the shards that hold them.
+    """
+
+    def strings(group: pa.Table) -> pa.Table:
+        _, _, numbers, weight, keys = _hashed_strings(group)
+        columns = [pa.array([group[c][0].as_py()] * len(keys), pa.int64()) for c in ("key", "_shard")]
+        return pa.table([*columns, pa.array(keys.view(np.int64)), pa.array(weight, pa.float64())], ["key", "_shard", "string", "weight"])
+
+    def covers(group: pa.Table, again: pa.Table) -> pa.Table:
+        found = []
+        if group.num_rows and again.num_rows:
+            owner, start, numbers, _, keys = _hashed_strings(group)
+            hit = np.isin(keys.view(np.int64), again["string"].to_numpy())[numbers]
+            owner, start = owner[hit], start[hit]
+            turn = np.lexsort((start, owner))
+            owner, start = owner[turn], start[turn]
+            sure = group["sure"].to_pylist()
+            for piece in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner)) + 1):
+                if len(piece) and not sure[i := int(owner[piece[0]])]:
+                    found.append((group["_slice"][i].as_py(), group["at"][i].as_py(), ranges(start[piece])))
+        columns = [pa.array([f[c] for f in found], kind) for c, kind in enumerate((pa.int64(), pa.int32(), pa.list_(pa.int32())))]
+        return pa.table(columns, ["_slice", "at", "cover"])
+
+    dealt = ["key", "_shard"]
+    held = stored(segments.groupBy(*dealt).applyInArrow(strings, "key long, _shard long, string long, weight double"), "hot-strings")
+    repeated = held.groupBy("key", "string").agg(F.sum("weight").alias("weight")).where(F.col("weight") > 1).select("key", "string")
+    again = held.select("key", "_shard", "string").join(stored(repeated, "hot-repeats"), ["key", "string"])
+    return segments.groupBy(*dealt).cogroup(again.groupBy(*dealt)).applyInArrow(covers, "_slice long, at int, cover array<int>")
+
+
+def _hashed_strings(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segment number, start and string number of all strings; weight and hash of each distinct string."""
+    texts = group["bytes"].to_pylist()
+    owner, start, classes = sorted_strings(texts)
+    numbers = np.cumsum(np.concatenate([[0], classes[1:] != classes[:-1]])) if len(classes) else classes
+    weights = np.where(group["sure"].to_numpy(), 2.0, 1.0)
+    one = np.unique(numbers, return_index=True)[1]
+    keys = np.array([xxhash.xxh3_64_intdigest(texts[owner[j]][start[j] : start[j] + LENGTH]) for j in one], np.uint64)
+    return owner, start, numbers, np.bincount(numbers, weights=weights[owner], minlength=len(one)), keys
+
+
+def _packed_repeats(texts: DataFrame) -> DataFrame:
     def work():
         def solved(rows):
             found = repeats_within([r[3] for r in rows], np.array([2.0 if r[2] else 1.0 for r in rows]))

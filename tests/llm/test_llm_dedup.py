@@ -225,6 +225,20 @@ def test_empty_texts_between_copies_have_no_spans(spark):
     assert rows_of(repeats.repeat_digest(table)) == bytes_brute(rows)
 
 
+def test_a_hot_anchor_is_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 2_000)
+    rng = random.Random(7)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    core = noise(260)
+    rows = [(i, noise(rng.randint(20, 90)) + core[rng.randrange(50) :] + noise(rng.randint(20, 90))) for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = []
+    monkeypatch.setattr(repeats, "hot_repeats", lambda x, f=repeats.hot_repeats: seen.append(x) or f(x))
+    assert rows_of(repeats.repeat_digest(table)) == bytes_brute(rows)
+    shards = collections.Counter((r["key"], r["_shard"]) for r in seen[0].collect())
+    assert len(shards) > 2 and max(shards.values()) < 30
+
+
 def test_suffix_arrays():
     rng = random.Random(3)
     for _ in range(200):
