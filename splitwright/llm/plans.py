@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from splitwright.llm import decontaminate, disclosure, language, lattice, lines, mixing, near, recipes, repeats, toxicity
+from splitwright.llm import audit, chats, decontaminate, disclosure, language, lattice, lines, middles, mixing, near, recipes, repeats, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,18 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disclosure.pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middles.middle_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.chat_digest(table(spark, sf_dir, "conversations").unionByName(chats.probe(spark), allowMissingColumns=True))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -63,6 +75,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_repeated_text": op9_repeated_text,
     "op10_personal_data": op10_personal_data,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_chat_format": op13_chat_format,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {
@@ -70,4 +85,7 @@ SQL = {
     "op5_decontamination": decontaminate.SQL,
     "op6_source_mixing": mixing.SQL,
     "op8_exact_dedup": recipes.SQL,
+    "op11_fill_in_middle": middles.SQL,
+    "op12_filter_audit": audit.SQL,
+    "op13_chat_format": chats.SQL,
 }
