@@ -155,7 +155,8 @@ def _candidates(heavy: np.ndarray):
                 digest, order = hashlib.sha256(text).digest(), _order(doc_id)
                 before = lowest.get(digest)
                 if before is not None and before < order:
-                    out.append((digest[:8], None, doc_id, part, text_mask(text) | COPY, 1))
+                    place = xxhash.xxh64_digest(b"%d/%a" % (len(out), doc_id))  # copies may go anywhere
+                    out.append((place, None, doc_id, part, text_mask(text) | COPY, 1))
                     continue
                 if before == order:
                     entry = again.setdefault((digest, doc_id, part), [text, 0])
