@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splitwright.operators.checks import reject_nulls, require_columns
 from splitwright.operators.similarity import (
+    SKETCH,
     _blocked_join,
+    _candidates,
     _ordered_prefixes,
     _possible,
     _shared_counts,
@@ -21,38 +27,80 @@ from splitwright.operators.splits import DEFAULT_FRACTIONS, cluster_assignment
 from splitwright.session import checkpointed, lookup_side, stored
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+#: Links that a task reduces to a forest at a time.
+FOREST_LINKS = 500_000
+
+
+def _lowest_neighbours(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of some edges that are not the smallest of their component, and that smallest node."""
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        open_ = (root[a] != low) | (root[b] != low)
+        if not open_.any():
+            break
+        a, b, low = a[open_], b[open_], low[open_]
+        # roots take the smallest root they are linked to, then all nodes follow to the end of their paths
+        for end in (a, b):
+            np.minimum.at(root, root[end], low)
+        while (root[root] != root).any():
+            root = root[root]
+    below = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[below], nodes[root[below]]
+
+
+def local_forests(links: DataFrame) -> DataFrame:
+    """``v, u`` with the same components as the links ``v, u``: a star for each component of each block of rows.
+
+    A block of ``FOREST_LINKS`` rows leaves at most one row for each of its nodes, whatever its number of links.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def forest() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            stars = _lowest_neighbours(*(table[c].to_numpy() for c in ("v", "u")))
+            return pa.record_batch([pa.array(x, t.type) for x, t in zip(stars, table.schema)], ["v", "u"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= FOREST_LINKS:
+                yield forest()
+                held, n = [], 0
+        if n:
+            yield forest()
+
+    return links.mapInArrow(run, links.schema)
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """``id, component`` (smallest id) of every node with an edge ``id_a, id_b``.
 
-    Alternating star contraction: each node hands its larger neighbours, then its smaller ones, to
-    the smallest neighbour, until every component is one star. The number of edges never grows and
+    Every block of edges is first reduced to a forest. Then alternating star contraction: each node hands its larger neighbours, then its smaller ones, to
+    the smallest neighbour, until every component is one star: until no node has a smaller neighbour and
+    besides it another one. The number of edges never grows and
     the rounds grow with the logarithm of the diameter. Every round is checkpointed, and a hub only
     ever takes part through a combinable minimum and a splittable join.
     """
     links = edges.select(F.greatest("id_a", "id_b").alias("v"), F.least("id_a", "id_b").alias("u"))
-    links = checkpointed(links.where(F.col("u") != F.col("v")).distinct())
-    seen = None
-    for _ in range(max_rounds):
+    links = checkpointed(local_forests(links.where(F.col("u") != F.col("v"))).distinct())
+    while True:
         both = links.unionByName(links.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        lowest = lookup_side(both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m")))
-        large = both.join(lowest, "v").where(F.col("u") > F.col("v")).select(F.col("u").alias("v"), F.col("m").alias("u"))
-        large = large.where(F.col("u") != F.col("v")).distinct()
-
-        large = stored(large, "links")
-        smaller = lookup_side(large.groupBy("v").agg(F.min("u").alias("m")))
-        moved = large.join(smaller, "v").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        small = moved.unionByName(smaller.select("v", F.col("m").alias("u")))
+        smaller = F.sum((F.col("u") < F.col("v")).cast("int")).alias("smaller")
+        nodes = both.groupBy("v").agg(F.min("u").alias("m"), smaller, F.count(F.lit(1)).alias("all"))
+        nodes = lookup_side(nodes.select("v", F.least("m", "v").alias("m"), "smaller", "all"))
+        if nodes.where((F.col("smaller") > 0) & (F.col("all") > 1)).isEmpty():
+            return nodes.select(F.col("v").alias("id"), F.col("m").alias("component"))
+        large = both.join(nodes.select("v", "m"), "v").where(F.col("u") > F.col("v")).select(F.col("u").alias("v"), F.col("m").alias("u"))
+        large = stored(large.where(F.col("u") != F.col("v")).distinct(), "links")
+        lowest = lookup_side(large.groupBy("v").agg(F.min("u").alias("m")))
+        moved = large.join(lowest, "v").select(F.col("u").alias("v"), F.col("m").alias("u"))
+        small = moved.unionByName(lowest.select("v", F.col("m").alias("u")))
         links = checkpointed(small.where(F.col("u") != F.col("v")).distinct())
 
-        mark = links.agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u") % 1000003)
-        ).first()
-        if mark == seen:
-            roots = links.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct()
-            return links.select(F.col("v").alias("id"), F.col("u").alias("component")).unionByName(roots)
-        seen = mark
-    raise RuntimeError(f"components did not settle within {max_rounds} rounds")
-
 
 def _labels(reps: DataFrame, edges: DataFrame) -> DataFrame:
     found = connected_components(edges).withColumnRenamed("id", "_id")
@@ -77,10 +125,10 @@ def link_clusters(sets: DataFrame, threshold: float = 0.4) -> DataFrame:
     postings = stored(_ordered_prefixes(tokens, _shared_counts(tokens), threshold), "postings")
 
     pivots = postings.groupBy("token").agg(
-        F.min_by(F.struct("id", "n", "pos"), F.struct("n", "id")).alias("p"), F.count(F.lit(1)).alias("k")
+        F.min_by(F.struct("id", "n", "m", "pos", *SKETCH), F.struct("n", "id")).alias("p"), F.count(F.lit(1)).alias("k")
     )
     # a link that these bounds miss at one token is found below, where labels still differ
-    heads = lookup_side(pivots.where(F.col("k") > 1).select("token", "p.id", "p.n", "p.pos")).alias("r")
+    heads = lookup_side(pivots.where(F.col("k") > 1).select("token", "p.*")).alias("r")
     met = postings.alias("l").join(heads, (F.col("l.token") == F.col("r.token")) & (F.col("l.id") != F.col("r.id")) & _possible(threshold))
     to_pivot = met.select(F.col("r.id").alias("id_a"), F.col("l.id").alias("id_b")).distinct()
     near = stored(verify(to_pivot, reps, reps, threshold).select("id_a", "id_b"), "edges")
@@ -91,12 +139,12 @@ def link_clusters(sets: DataFrame, threshold: float = 0.4) -> DataFrame:
     majority = shares.groupBy("token").agg(
         F.max_by("component", F.struct("k", "component")).alias("major"), F.count(F.lit(1)).alias("parts")
     )
-    open_lists = labelled.join(lookup_side(majority.where(F.col("parts") > 1)), "token")
+    open_lists = stored(labelled.join(lookup_side(majority.where(F.col("parts") > 1)), "token"), "open-lists")
     minor = open_lists.where(F.col("component") != F.col("major"))
     once = (F.col("r.component") == F.col("r.major")) | (F.col("l.id") < F.col("r.id"))
     apart = F.col("l.component") != F.col("r.component")
-    met = _blocked_join(minor, open_lists, apart & once & _possible(threshold))
-    pairs = met.select(F.least("l.id", "r.id").alias("id_a"), F.greatest("l.id", "r.id").alias("id_b")).distinct()
+    met = _blocked_join(minor, open_lists, apart & once & _possible(threshold), threshold)
+    pairs = _candidates(met, threshold)
     far = verify(pairs, reps, reps, threshold).select("id_a", "id_b")
     # settled components act as stars, so the second pass sees short paths only
     stars = labels.where(F.col("id") != F.col("component")).select(F.col("component").alias("id_a"), F.col("id").alias("id_b"))

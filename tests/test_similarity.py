@@ -78,9 +78,11 @@ def test_clusters_equal_brute_force(spark, monkeypatch, threshold, block):
         assert got == brute_components(sets, threshold)
 
 
-@pytest.mark.parametrize("hot", [10_000, 20, 0])
-def test_max_similarity_equals_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(similarity, "HOT_TOKEN_SETS", hot)
+@pytest.mark.parametrize(("heavy", "block"), [(None, 20_000), (10_000, 9), (20, 20_000), (0, 9)])
+def test_max_similarity_equals_brute_force(spark, monkeypatch, heavy, block):
+    monkeypatch.setattr(similarity, "POSTING_BLOCK", block)
+    if heavy is not None:
+        monkeypatch.setattr(similarity, "heavy_df", lambda sets: heavy)
     sets = make_sets(5)
     sets[9999], sets[9998] = {123456}, {7}
     test = {i: s for i, s in sets.items() if i % 3 == 0}
@@ -139,3 +141,48 @@ def test_histogram(spark):
     got = [(r["low"], r["high"], r["n"]) for r in similarity.similarity_histogram(df).orderBy("low").collect()]
     assert [g[2] for g in got] == [2, 1, 0, 0, 0, 0, 0, 0, 0, 3]
     assert got[3][:2] == (0.3, 0.4) and math.isclose(got[9][1], 1.0)
+
+
+def test_grid_sends_one_copy_to_each_pair_of_blocks(spark, monkeypatch):
+    """A token in a third of the sets: no task sees more than a block of either side."""
+    monkeypatch.setattr(similarity, "POSTING_BLOCK", 50)
+    rows = [(i, 5 + i % 20, 1 if i % 3 == 0 else 100 + i // 2) for i in range(1200)]
+    df = spark.createDataFrame([(t, 400, i, n) for i, n, t in rows], "token long, df long, id long, n int")
+    grid = similarity._grid(df, df, 0.4)
+    assert [r["token"] for r in grid.collect()] == [1]
+    sides = {s: similarity._cells(df, grid, s, 0.4).where("token = 1").collect() for s in "lr"}
+    for side, own in (("l", "c"), ("r", "d")):
+        cells = {}
+        for r in sides[side]:
+            cells.setdefault(tuple(r["cell"]), []).append(r["id"])
+        assert max(map(len, cells.values())) < 100 and all(len(set(x)) == len(x) for x in cells.values())
+        copies = [sum(r["id"] == i for r in sides[side]) for i in range(0, 1200, 3)]
+        assert max(copies) <= 12
+    met = similarity._blocked_join(df, df, F.col("l.id") < F.col("r.id"), 0.4).select("l.id", "r.id", "l.n", "r.n", "l.token").collect()
+    got = sorted((a, b) for a, b, n, m, _ in met if min(n, m) >= 0.4 * max(n, m))
+    want = [(i, j) for i, n, t in rows for j, m, u in rows if i < j and t == u and min(n, m) >= 0.4 * max(n, m)]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.7])
+def test_join_report_counts_shrink_to_the_pairs(spark, threshold):
+    sets = make_sets(12, n=300, vocabulary=120, copies=5)
+    got = {r["step"]: r["pairs"] for r in similarity.join_report(frame(spark, sets), threshold).collect()}
+    distinct = {frozenset(s) for s in sets.values()}
+    pairs = sum(jaccard(a, b) >= threshold for a, b in itertools.combinations(distinct, 2))
+    assert got["prefix"] > got["sketch"] >= got["count"] >= got["similar"] == pairs
+
+
+@pytest.mark.parametrize("size", [3, 500_000])
+def test_local_forests_keep_components(spark, monkeypatch, size):
+    monkeypatch.setattr(clusters, "FOREST_LINKS", size)
+    rng = random.Random(6)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] * 3
+    links = spark.createDataFrame([(max(e), min(e)) for e in edges if e[0] != e[1]], "v long, u long").repartition(2)
+    forest = [tuple(r) for r in clusters.local_forests(links).collect()]
+    assert all(v > u for v, u in forest) and (size == 3 or len(forest) < 90)
+    want = clusters.connected_components(links.selectExpr("v as id_a", "u as id_b")).collect()
+    got = clusters.connected_components(spark.createDataFrame(forest, "id_a long, id_b long")).collect()
+    assert sorted(got) == sorted(want)
+    text = links.selectExpr("concat('n', v) as id_a", "concat('n', u) as id_b")
+    assert clusters.connected_components(text).count() == len(want)
