@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from splitwright.operators.scan import running_sums
-from splitwright.session import lookup_side
+from splitwright.session import lookup_side, spread_small
 
 _POISSON_TERMS = 16
 _DRAWS_PER_HASH = 4  # one MD5 holds four 32-bit draws
+#: Resamples whose sums travel in one row, and the schema of these rows.
+_CHUNK = 500
+_PARTIAL = "chunk long, s array<double>, n array<long>"
 
 
 def ranked_scores(
@@ -76,15 +82,55 @@ def seed_summary(runs: DataFrame, by: Sequence[str], value_col: str = "value", m
     )
 
 
-def _poisson_weight(uniform: Column) -> Column:
-    """Poisson(1) draw by inversion of a uniform number."""
-    steps, total, weight = [], 0.0, F.lit(_POISSON_TERMS)
-    for k in range(_POISSON_TERMS):
-        total += math.exp(-1.0) / math.factorial(k)
-        steps.append((total, k))
-    for bound, k in reversed(steps):
-        weight = F.when(uniform < F.lit(bound), F.lit(k)).otherwise(weight)
-    return weight
+def _poisson_weights(draws: np.ndarray) -> np.ndarray:
+    """Poisson(1) draws by inversion of 32-bit numbers."""
+    terms = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(_POISSON_TERMS)])
+    return np.searchsorted(terms * 2.0**32, draws.astype(np.float64), "right")
+
+
+def _resampled(rows: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """``chunk, s, n``: weighted sums and weights of all resamples over the rows of a task, in chunks of positions.
+
+    A task keeps one sum and one weight per resample, whatever its number of rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [b"%d:%d" % (k, seed) for k in range(-(-resamples // _DRAWS_PER_HASH))]
+        sums, weights, any_rows = np.zeros(resamples), np.zeros(resamples, np.int64), False
+        for batch in batches:
+            for name, value in zip(batch["id"].to_pylist(), batch["v"].to_pylist()):
+                start = hashlib.md5(name.encode() + b":")
+                digests = []
+                for end in ends:
+                    mark = start.copy()
+                    mark.update(end)
+                    digests.append(mark.digest())
+                drawn = _poisson_weights(np.frombuffer(b"".join(digests), ">u4")[:resamples])
+                weights += drawn
+                if value is not None:
+                    sums += drawn * value
+                any_rows = True
+        if any_rows:
+            yield _chunks(range(-(-resamples // _CHUNK)), sums, weights)
+
+    return rows.mapInArrow(run, _PARTIAL)
+
+
+def _chunks(chunks: Iterable[int], sums: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
+    cut = lambda x: [x[k * _CHUNK : (k + 1) * _CHUNK] for k in chunks]
+    return pa.record_batch([pa.array(list(chunks), pa.int64()), pa.array(cut(sums)), pa.array(cut(weights))], ["chunk", "s", "n"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add up the partial sums of each chunk as they come."""
+    totals: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for chunk, s, n in zip(batch["chunk"].to_pylist(), batch["s"], batch["n"]):
+            parts = [s.values.to_numpy(), n.values.to_numpy()]
+            totals[chunk] = [a + b for a, b in zip(totals[chunk], parts)] if chunk in totals else parts
+    if totals:
+        columns = [pa.array(list(x)) for x in zip(*totals.values())]
+        yield pa.record_batch([pa.array(list(totals), pa.int64()), *columns], ["chunk", "s", "n"])
 
 
 def bootstrap_means(
@@ -93,26 +139,17 @@ def bootstrap_means(
     """Mean of a paired difference in every bootstrap resample: ``resample, mean``.
 
     Each row draws its own Poisson(1) multiplicity per resample from a hash of its id, which
-    approximates drawing with replacement and needs no shared state: rows are weighted where they
-    lie, and the shuffle carries one partial sum per resample and task.
+    approximates drawing with replacement and needs no shared state: a task adds all its rows to one array of
+    sums, and the arrays of all tasks are added by position. Rows without an id are left out; a null value
+    counts as zero. Resamples that draw no row are missing.
     """
-    spread = rows.select(F.col(id_col).cast("string").alias("id"), F.col(value_col).cast("double").alias("v"))
-    # every row does work for all resamples, so even a small input is worth spreading over all cores
-    spread = spread.repartition(spread.sparkSession.sparkContext.defaultParallelism)
-    draws = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // _DRAWS_PER_HASH))))
-    mark = F.md5(F.concat("id", F.lit(":"), F.col("block").cast("string"), F.lit(f":{seed}")))
-    lanes = F.explode(F.sequence(F.lit(0), F.lit(_DRAWS_PER_HASH - 1)))
-    draws = draws.withColumn("mark", mark).withColumn("lane", lanes)
-    digits = F.substring(F.col("mark"), F.col("lane") * 8 + 1, F.lit(8))
-    uniform = F.conv(digits, 16, 10).cast("double") / F.lit(float(2**32))
-    resample = F.col("block").cast("long") * _DRAWS_PER_HASH + F.col("lane")
-    weighted = draws.select(resample.alias("resample"), "v", _poisson_weight(uniform).alias("w"))
-    sums = (
-        weighted.where((F.col("w") > 0) & (F.col("resample") < resamples))
-        .groupBy("resample")
-        .agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("n"))
-    )
-    return sums.select("resample", (F.col("s") / F.col("n")).alias("mean"))
+    named = rows.select(F.col(id_col).cast("string").alias("id"), F.col(value_col).cast("double").alias("v"))
+    partial = _resampled(spread_small(named.where(F.col("id").isNotNull())), resamples, seed)
+    totals = partial.repartition("chunk").mapInArrow(_merged, _PARTIAL)
+    sums = totals.select("chunk", F.posexplode(F.arrays_zip("s", "n")).alias("at", "sum"))
+    resample = F.col("chunk") * _CHUNK + F.col("at")
+    mean = F.col("sum.s") / F.when(F.col("sum.n") > 0, F.col("sum.n"))
+    return sums.select(resample.alias("resample"), mean.alias("mean")).where(F.col("mean").isNotNull())
 
 
 def bootstrap_interval(means: DataFrame, confidence: float = 0.95) -> DataFrame:

@@ -8,12 +8,16 @@ independent pieces of work and no single pair is ever a row.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitwright.functions.vectors import log_sum_exp, softmax, top_positions
 from splitwright.operators.scan import running_sums
-from splitwright.session import lookup_side
+from splitwright.session import lookup_side, stored
 
 PAIR_BLOCK = 256
 # Steepness of the approximate rank, weights of the homophily penalty, and small terms.
@@ -90,75 +94,108 @@ def pearson_per_list(rows: DataFrame) -> DataFrame:
 
 
 def _item_blocks(rows: DataFrame, block: int) -> DataFrame:
-    """``list_id, block, items, last_block``: items of at most ``block`` positions in order."""
-    cut = rows.withColumn("block", F.floor(F.col("pos") / block).cast("long"))
-    items = cut.groupBy("list_id", "block").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "label", "pred"))).alias("items")
-    )
-    last = cut.groupBy("list_id").agg(F.max("block").alias("last_block"))
-    return items.join(lookup_side(last), "list_id")
+    """``list_id, block, pos, label, pred``: arrays of at most ``block`` positions in order, written once."""
+    kept = rows.select("list_id", "pos", F.col("label").cast("double").alias("label"), F.col("pred").cast("double").alias("pred"))
+    items = F.sort_array(F.collect_list(F.struct("pos", "label", "pred")))
+    cut = kept.groupBy("list_id", F.floor(F.col("pos") / block).cast("long").alias("block")).agg(items.alias("items"))
+    return stored(cut.select("list_id", "block", *[F.col(f"items.{c}").alias(c) for c in ("pos", "label", "pred")]), "blocks")
+
 
+def _long_lists(blocks: DataFrame) -> DataFrame:
+    """``list_id, last_block`` of the lists with several blocks."""
+    return lookup_side(blocks.where(F.col("block") > 0).groupBy("list_id").agg(F.max("block").alias("last_block")))
 
-def _block_pairs(blocks: DataFrame, both_ways: bool) -> DataFrame:
-    """Block pairs ``list_id, a, b`` of lists with several blocks; ``b`` follows ``a`` or differs."""
-    start = F.lit(0).cast("long") if both_ways else F.col("block") + 1
-    wanted = blocks.where(F.col("last_block") > (F.lit(0) if both_ways else F.col("block")))
-    left = wanted.select(
-        "list_id", F.col("block").alias("ka"), F.col("items").alias("a"), F.explode(F.sequence(start, F.col("last_block"))).alias("kb")
-    ).where(F.col("ka") != F.col("kb"))
-    right = blocks.where(F.col("last_block") > 0).select("list_id", F.col("block").alias("kb"), F.col("items").alias("b"))
-    return left.join(right, ["list_id", "kb"])
 
+def _block_pairs(blocks: DataFrame, long: DataFrame, both_ways: bool) -> DataFrame:
+    """Block pairs of the lists with several blocks; the second, ``other_*``, follows the first or differs."""
+    wanted = blocks.join(long, "list_id")
+    start = F.lit(0).cast("long") if both_ways else F.least(F.col("block") + 1, F.col("last_block"))
+    left = wanted.withColumn("_b", F.explode(F.sequence(start, F.col("last_block")))).where(F.col("_b") != F.col("block"))
+    right = wanted.select("list_id", F.col("block").alias("_b"), F.col("label").alias("other_label"), F.col("pred").alias("other_pred"))
+    return left.join(right, ["list_id", "_b"]).drop("_b", "last_block")
 
-def _pair_sum(a: Column, b: Column, term, follows: bool) -> Column:
-    """Sum of ``term(x, y)`` over x in a and y in b (only y after x inside one block)."""
 
-    def row(x):
-        others = F.filter(b, lambda y: y["pos"] > x["pos"]) if follows else b
-        return F.aggregate(others, F.lit(0.0), lambda acc, y: acc + term(x, y))
+def _tiles(df: DataFrame, kernel: Callable[..., tuple], names: Sequence[str], schema: str) -> DataFrame:
+    """One row of ``list_id`` and the kernel's results for each row; ``names`` are the arrays that it takes.
+
+    A row is a tile of at most ``block`` times ``block`` pairs.
+    """
+    fields = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [batch[n] for n in names]
+            offsets = [x.offsets.to_numpy() for x in lists]
+            values = [x.values.to_numpy(zero_copy_only=False) for x in lists]
+            rows = []
+            with np.errstate(over="ignore"):
+                for k in range(batch.num_rows):
+                    rows.append(kernel(*(v[o[k] : o[k + 1]] for v, o in zip(values, offsets))))
+            if rows:
+                yield pa.record_batch([batch["list_id"], *map(pa.array, zip(*rows))], fields)
 
-    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + row(x))
+    return df.select("list_id", *names).mapInArrow(run, schema)
+
+
+def _kept_type(rows: DataFrame) -> str:
+    return f"list_id {rows.schema['list_id'].dataType.simpleString()}"
 
 
 def ranknet_per_list(rows: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
     """Sum over i < j of (1 - sgn(label_i - label_j)) * d / 2 + log(1 + exp(-d)), d = pred_i - pred_j."""
 
-    def term(x, y):
-        d = x["pred"] - y["pred"]
-        softplus = F.greatest(-d, F.lit(0.0)) + F.log1p(F.exp(-F.abs(d)))
-        return (1.0 - F.signum(x["label"] - y["label"])) * d * 0.5 + softplus
+    def terms(la, a, lb, b):
+        d = a[:, None] - b
+        return (1.0 - np.sign(la[:, None] - lb)) * d * 0.5 + np.logaddexp(0.0, -d)
 
     blocks = _item_blocks(rows, block)
-    items = F.col("items")
-    inside = blocks.select("list_id", _pair_sum(items, items, term, follows=True).alias("part"))
-    across = _block_pairs(blocks, both_ways=False).select(
-        "list_id", _pair_sum(F.col("a"), F.col("b"), term, follows=False).alias("part")
-    )
-    return inside.unionByName(across).groupBy("list_id").agg(F.sum("part").alias("loss"))
+    schema = f"{_kept_type(rows)}, part double"
+    parts = _tiles(blocks, lambda label, pred: (np.triu(terms(label, pred, label, pred), 1).sum(),), ("label", "pred"), schema)
+    long = _long_lists(blocks)
+    if not long.isEmpty():
+        pairs = _block_pairs(blocks, long, both_ways=False)
+        names = ("label", "pred", "other_label", "other_pred")
+        parts = parts.unionByName(_tiles(pairs, lambda *x: (terms(*x).sum(),), names, schema))
+    return parts.groupBy("list_id").agg(F.sum("part").alias("loss"))
 
 
 def approximate_ndcg_per_list(
     rows: DataFrame, steepness: float = RANK_STEEPNESS, block: int = PAIR_BLOCK
 ) -> DataFrame:
-    """nDCG with smooth ranks 0.5 + sum over other scores of 1 / (1 + exp(steepness * (s_i - s_j)))."""
+    """nDCG with smooth ranks 0.5 + sum over other scores of 1 / (1 + exp(steepness * (s_i - s_j))).
+
+    A list of one block is one tile. Longer lists add up the tiles of each item, and their
+    best order comes from running sums.
+    """
 
-    def beaten(x, y):
-        d = x["pred"] - y["pred"]
-        return F.when(d == 0, F.lit(0.0)).otherwise(1.0 / (1.0 + F.exp(steepness * d)))
+    def beaten(a, b):
+        d = a[:, None] - b
+        return np.where(d == 0, 0.0, 1.0 / (1.0 + np.exp(steepness * d))).sum(axis=1)
 
-    def per_item(a, b):
-        row = lambda x: F.aggregate(b, F.lit(0.0), lambda acc, y: acc + beaten(x, y))
-        return F.transform(a, lambda x: F.struct(x["label"].alias("label"), x["pos"].alias("pos"), row(x).alias("part")))
+    def whole(label, pred):
+        gain = np.exp2(label) - 1.0
+        dcg = (gain / np.log2(beaten(pred, pred) + 1.5)).sum()
+        return dcg, (np.sort(gain)[::-1] / np.log2(np.arange(len(gain)) + 2.0)).sum()
 
     blocks = _item_blocks(rows, block)
-    inside = blocks.select("list_id", F.inline(per_item(F.col("items"), F.col("items"))))
-    across = _block_pairs(blocks, both_ways=True).select("list_id", F.inline(per_item(F.col("a"), F.col("b"))))
-    ranks = inside.unionByName(across).groupBy("list_id", "pos", "label").agg((F.sum("part") + 0.5).alias("rank"))
-    gain = F.pow(F.lit(2.0), F.col("label")) - 1.0
-    dcg = ranks.groupBy("list_id").agg(F.sum(gain / F.log2(F.col("rank") + 1.0)).alias("dcg"))
-    placed = running_sums(rows, ["list_id"], [F.desc("label"), F.asc("pos")], {"place": F.lit(1)})
-    ideal = placed.groupBy("list_id").agg(F.sum(gain / F.log2(F.col("place") + 1.0)).alias("ideal"))
-    return dcg.join(ideal, "list_id").select("list_id", _ratio(F.col("dcg"), F.col("ideal")).alias("ndcg"))
+    long = _long_lists(blocks)
+    schema = _kept_type(rows)
+    sums = _tiles(blocks.join(long, "list_id", "left_anti"), whole, ("label", "pred"), f"{schema}, dcg double, ideal double")
+    if not long.isEmpty():
+        own = blocks.join(long, "list_id").drop("last_block")
+        tiles = own.withColumn("other_pred", F.col("pred")).unionByName(_block_pairs(blocks, long, both_ways=True).drop("other_label"))
+        kernel = lambda pos, label, a, b: (pos, label, beaten(a, b))
+        items = f"{schema}, pos array<{rows.schema['pos'].dataType.simpleString()}>, label array<double>, part array<double>"
+        parts = _tiles(tiles, kernel, ("pos", "label", "pred", "other_pred"), items)
+        parts = parts.select("list_id", F.inline(F.arrays_zip("pos", "label", "part")))
+        ranks = parts.groupBy("list_id", "pos", "label").agg((F.sum("part") + 0.5).alias("rank"))
+        gain = F.pow(F.lit(2.0), F.col("label")) - 1.0
+        dcg = ranks.groupBy("list_id").agg(F.sum(gain / F.log2(F.col("rank") + 1.0)).alias("dcg"))
+        numbered = own.select("list_id", F.inline(F.arrays_zip("pos", "label")))
+        placed = running_sums(numbered, ["list_id"], [F.desc("label"), F.asc("pos")], {"place": F.lit(1)})
+        ideal = placed.groupBy("list_id").agg(F.sum(gain / F.log2(F.col("place") + 1.0)).alias("ideal"))
+        sums = sums.unionByName(dcg.join(ideal, "list_id"))
+    return sums.select("list_id", _ratio(F.col("dcg"), F.col("ideal")).alias("ndcg"))
 
 
 def listnet(rows: DataFrame) -> DataFrame:

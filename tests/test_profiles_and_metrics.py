@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -247,3 +248,40 @@ def test_signatures(spark):
     assert [r["pos"] for r in ranked] == [0, 3]
     pairs = vectors.select(F.lit("c").alias("cell"), F.col("vector").alias("a"), F.col("vector").alias("b"))
     assert signatures.agreement_gate(signatures.agreement_per_cell(pairs)).first()["passed"]
+
+
+def test_resamples_follow_the_hash_rule(spark):
+    """The multiplicities are a pure function of id, resample and seed, whatever the partitions."""
+    rows = [(f"r{i}", float(i % 7) - 2.0) for i in range(37)]
+    want = []
+    for resample in range(1003):
+        s = n = 0.0
+        for name, value in rows:
+            digest = hashlib.md5(f"{name}:{resample // 4}:5".encode()).hexdigest()
+            uniform = int(digest[8 * (resample % 4) : 8 * (resample % 4) + 8], 16) / 2**32
+            weight, total = 0, math.exp(-1)
+            while uniform >= total and weight < 16:
+                weight += 1
+                total += math.exp(-1) / math.factorial(weight)
+            s, n = s + weight * value, n + weight
+        want.append((resample, s / n))
+    df = spark.createDataFrame([*rows, (None, 5.0)], "id string, gain double")
+    for parts in (1, 6):
+        got = evaluation.bootstrap_means(df.repartition(parts), "id", "gain", resamples=1003, seed=5).orderBy("resample").collect()
+        assert [r["resample"] for r in got] == list(range(1003))
+        assert [r["mean"] for r in got] == pytest.approx([m for _, m in want], rel=1e-12)
+    assert evaluation.bootstrap_means(df.limit(0), "id", "gain", resamples=10).count() == 0
+
+
+def test_long_and_short_lists_together(spark):
+    """Lists of one block, of several, and of exactly a block agree with the plain sums at every block size."""
+    rng = np.random.default_rng(4)
+    rows = [(k, p, float(rng.integers(0, 4)), float(rng.normal())) for k, n in enumerate((1, 2, 7, 8, 9, 40)) for p in range(n)]
+    df = spark.createDataFrame(rows, "list_id long, pos long, label double, pred double").repartition(3)
+    for metric, name in ((ranking.ranknet_per_list, "loss"), (ranking.approximate_ndcg_per_list, "ndcg")):
+        results = [{r["list_id"]: r[name] for r in metric(df, block=b).collect()} for b in (1000, 8, 3)]
+        assert len(results[0]) == 6
+        for other in results[1:]:
+            assert other == pytest.approx(results[0], rel=1e-10, nan_ok=True)
+        named = metric(df.withColumn("list_id", F.concat(F.lit("l"), "list_id")), block=8)
+        assert named.count() == 6
