@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,9 +92,72 @@ def numbered_array(
     return F.array(*[F.col(f"`{c}`").cast(element) for c in cols])
 
 
+#: Layouts of a profile set, the preferred first.
+PROFILE_LAYOUTS = ("record", "table", "nested")
+
+
+def _nested_columns(df: DataFrame) -> list[str]:
+    """Columns whose values are records or lists of records."""
+    inner = {f.name: f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else f.dataType for f in df.schema.fields}
+    return [name for name, kind in inner.items() if isinstance(kind, T.StructType)]
+
+
+def _unnested(df: DataFrame, column: str) -> DataFrame:
+    """The records in a column as rows."""
+    name = f"`{column}`"
+    is_list = isinstance(df.schema[column].dataType, T.ArrayType)
+    records = df.select(F.explode(name).alias("_record")) if is_list else df.select(F.col(name).alias("_record"))
+    return records.where(F.col("_record").isNotNull()).select("_record.*")
+
+
+def _layout_columns(df: DataFrame, layout: str, expression_width: int, flag_width: int) -> tuple[dict[str, Column], list[str]]:
+    """Columns by field, and what the layout needs and the schema lacks."""
+    names = dict(PROFILE_FIELD_ALIASES)
+    arrays = {f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)}
+    if layout == "table":
+        names.pop("expressions"), names.pop("split_flags")
+    picked, missing = {}, []
+    for field, candidates in names.items():
+        try:
+            found = find_column(df, candidates, field, ignore_case=layout == "table")
+        except SchemaError:
+            if field == "split_flags" and layout == "nested" or field not in ("profile_id", "split_flags"):
+                missing.append(f"{field} (one of {list(candidates)})")
+            continue
+        if field in ("expressions", "split_flags") and found not in arrays:
+            missing.append(f"{field} as an array")
+        picked[field] = F.col(f"`{found}`")
+    numbered = {"split_flags": (SPLIT_FLAG_COLUMN, flag_width, "boolean", "textual" if layout == "record" else "numeric")}
+    if layout == "table":
+        numbered["expressions"] = (EXPRESSION_COLUMN, expression_width, "float", "numeric")
+    for field, (pattern, width, kind, order) in numbered.items():
+        if field not in picked and layout != "nested":
+            try:
+                picked[field] = numbered_array(df, pattern, width, kind, order)
+            except SchemaError as error:
+                missing.append(f"{field}: {error}")
+    return picked, missing
+
+
+def ranked_layouts(
+    df: DataFrame, expression_width: int = EXPRESSION_WIDTH, flag_width: int = SPLIT_FLAG_WIDTH
+) -> list[tuple[str, str | None, list[str]]]:
+    """``(layout, column, lacking)`` of every way to read the schema, the one that lacks least first.
+
+    ``column`` is the column that holds the records of a ``nested`` layout. Of equal ones the order of
+    ``PROFILE_LAYOUTS``, then that of the columns decides.
+    """
+    ways = [("record", None), ("table", None), *(("nested", c) for c in _nested_columns(df))]
+    ranked = []
+    for layout, column in ways:
+        rows = df if column is None else _unnested(df, column)
+        ranked.append((layout, column, _layout_columns(rows, layout, expression_width, flag_width)[1]))
+    return sorted(ranked, key=lambda way: len(way[2]))
+
+
 def profile_set(
     df: DataFrame,
-    layout: str = "table",
+    layout: str | None = None,
     expression_width: int = EXPRESSION_WIDTH,
     flag_width: int = SPLIT_FLAG_WIDTH,
 ) -> DataFrame:
@@ -99,24 +165,20 @@ def profile_set(
 
     ``record`` layouts hold arrays under case-sensitive field names (or ``split_NN`` columns, taken
     in textual order); ``table`` layouts spread the vectors over numbered columns and are matched
-    without case. Values are checked lazily; see :func:`profile_violations`.
+    without case; ``nested`` layouts hold records, or lists of them, in one column. Without ``layout`` the schema decides: the first way to
+    read it that lacks nothing (:func:`ranked_layouts`); if there is none, the error names what each lacks.
+    Values are checked lazily; see :func:`profile_violations`.
     """
-    names = dict(PROFILE_FIELD_ALIASES)
-    record = layout == "record"
-    if not record:
-        names.pop("expressions"), names.pop("split_flags")
-    picked = {}
-    for field, candidates in names.items():
-        try:
-            picked[field] = F.col(f"`{find_column(df, candidates, field, not record)}`")
-        except SchemaError:
-            if field not in ("profile_id", "split_flags"):
-                raise
-    if not record:
-        picked["expressions"] = numbered_array(df, EXPRESSION_COLUMN, expression_width, "float")
-    if "split_flags" not in picked:
-        order = "textual" if record else "numeric"
-        picked["split_flags"] = numbered_array(df, SPLIT_FLAG_COLUMN, flag_width, "boolean", order)
+    if layout is None or layout == "nested":
+        ways = [w for w in ranked_layouts(df, expression_width, flag_width) if layout in (None, w[0])]
+        if not ways or ways[0][2]:
+            lacks = "; ".join(f"{name}{f' in {c}' if c else ''} lacks {', '.join(m)}" for name, c, m in ways)
+            raise SchemaError(f"no layout of a profile set fits {df.columns}: {lacks or 'no column holds records'}")
+        layout, column, _ = ways[0]
+        df = df if column is None else _unnested(df, column)
+    picked, missing = _layout_columns(df, layout, expression_width, flag_width)
+    if missing:
+        raise SchemaError(f"the {layout} layout of a profile set lacks {', '.join(missing)}; saw {df.columns}")
     out = [
         picked["compound_name"].cast("string").alias("compound_name"),
         picked["label"].cast("double").alias("label"),
@@ -152,25 +214,56 @@ def raise_on_violations(report: DataFrame, what: str = "input") -> None:
         raise SchemaError(f"{what} violates its contract: {bad}")
 
 
+def _sortable(value):
+    """A key that orders like the session does: nulls first, records field by field."""
+    if isinstance(value, dict):
+        return tuple(_sortable(v) for v in value.values())
+    return (value is not None, value) if value is not None else (False,)
+
+
+def first_values(df: DataFrame, columns: Sequence[str], order_by: str, k: int) -> DataFrame:
+    """``column, v, _o``: candidates for the first ``k`` non-null trimmed values of each column, ``k`` from each task.
+
+    A task keeps the ``k`` smallest by order of each column and nothing else; nothing is sorted as a whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[list] = [[] for _ in columns]
+        for batch in batches:
+            order = batch["_o"].to_pylist()
+            keys = list(map(_sortable, order))
+            for c in range(len(columns)):
+                values = batch[f"c{c}"]
+                rows = np.flatnonzero(values.is_valid().to_numpy(zero_copy_only=False))
+                bound = kept[c][-1][0] if len(kept[c]) == k else None
+                rows = [i for i in rows if bound is None or keys[i] < bound]
+                rows = heapq.nsmallest(k, rows, key=lambda i: keys[i])
+                kept[c] = heapq.nsmallest(k, [*kept[c], *((keys[i], order[i], values[i].as_py()) for i in rows)], key=lambda x: x[0])
+        found = [(c, v, o) for c, rows in enumerate(kept) for _, o, v in rows]
+        if found:
+            column, v, o = zip(*found)
+            yield pa.record_batch([pa.array(column, pa.int32()), pa.array(v, pa.string()), pa.array(o, batch["_o"].type)], ["column", "v", "_o"])
+
+    texts = [trimmed(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)]
+    rows = df.select(F.col(order_by).alias("_o"), *texts)
+    schema = T.StructType([T.StructField("column", T.IntegerType()), T.StructField("v", T.StringType()), rows.schema["_o"]])
+    return rows.mapInArrow(run, schema)
+
+
 def sniff_column(df: DataFrame, pattern: str, sample: int = 20, order_by: str | None = None) -> str:
     """First string column whose first ``sample`` non-null trimmed values all match ``pattern``.
 
     "First" follows ``order_by``, by default the ``src_row`` column if there is one. All columns are
-    looked at in one aggregate, of which every task keeps ``sample`` values a column.
+    looked at in one pass, of which every task keeps ``sample`` values a column.
     """
     order_by = order_by or ("src_row" if "src_row" in df.columns else None)
     if order_by is None:
         df, order_by = df.withColumn("_place", F.monotonically_increasing_id()), "_place"
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != order_by]
     if names:
-        values = [F.struct(F.lit(i).alias("column"), trimmed(F.col(f"`{n}`")).alias("v")) for i, n in enumerate(names)]
-        long = df.select(F.col(order_by).alias("_o"), F.inline(F.array(*values))).where(F.col("v").isNotNull())
-        part = F.spark_partition_id().alias("part")
-        for by in (["column", "part"], ["column"]):
-            place = F.row_number().over(Window.partitionBy(*by).orderBy("_o"))
-            rows = long.select("column", "v", "_o", part) if "part" in by else long.select("column", "v", "_o")
-            long = rows.withColumn("place", place).where(F.col("place") <= sample).drop("place")
-        counts = long.groupBy("column").agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("v").rlike(pattern)).alias("matched"))
+        place = F.row_number().over(Window.partitionBy("column").orderBy("_o"))  # over sample rows of each task
+        first = first_values(df, names, order_by, sample).withColumn("place", place).where(F.col("place") <= sample)
+        counts = first.groupBy("column").agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("v").rlike(pattern)).alias("matched"))
         found = sorted(r["column"] for r in counts.collect() if r["seen"] == r["matched"])
         if found:
             return names[found[0]]
@@ -220,9 +313,14 @@ def require_order(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def column_report(df: DataFrame, required: Sequence[str]) -> DataFrame:
-    """``column, present`` of the required columns, the check of :func:`require_columns` as a table."""
-    rows = [(c, c in df.columns) for c in required]
-    return df.sparkSession.createDataFrame(rows, "column string, present boolean")
+    """``column, present, n_values`` of the required columns: the check of :func:`require_columns` as a table.
+
+    ``n_values`` counts the values of a present column that are not null, over the whole table in one aggregate.
+    """
+    count = lambda c: F.count(F.col(f"`{c}`")) if c in df.columns else F.lit(0).cast("long")
+    counts = df.agg(*[count(c).alias(f"n{k}") for k, c in enumerate(required)])
+    rows = [F.struct(F.lit(c).alias("column"), F.lit(c in df.columns).alias("present"), F.col(f"n{k}").alias("n_values")) for k, c in enumerate(required)]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def null_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:

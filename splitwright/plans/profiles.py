@@ -138,31 +138,55 @@ def profile_status(spark, sf_dir):
     return gates.run_status(profile_gates(spark, sf_dir))
 
 
-def wide_profiles(spark, sf_dir):
-    """Embeddings spread over numbered columns, read back as a profile set."""
-    emb = table(spark, sf_dir, "embeddings")
-    wide = emb.select(
+def _wide(spark, sf_dir):
+    """Embeddings spread over numbered columns."""
+    return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").cast("string").alias("Compound_Name"),
         (F.col("label") % 2).alias("Label"),
         *[F.col("embedding")[k].alias(f"expression_{k}") for k in range(64)],
         *[(F.col("embedding")[k] > 0).alias(f"split_{k:02d}") for k in range(50)],
     )
-    found = checks.profile_set(wide, "table", 64, 50)
-    total = vector_sum(F.transform("expressions", lambda x: x.cast("double")))
-    return rounded(
-        found.select("compound_name", "label", total.alias("total"), F.size(F.filter("split_flags", lambda f: f)).cast("long").alias("n_flags"))
-    )
 
 
-def record_profiles(spark, sf_dir):
-    emb = table(spark, sf_dir, "embeddings")
-    record = emb.select(
+def _record(spark, sf_dir):
+    """Embeddings as records with arrays."""
+    return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").cast("string").alias("drug_name"),
         (F.col("label") % 3).alias("y"),
         F.col("embedding").alias("X"),
         F.transform(F.slice("embedding", 1, 50), lambda x: x > 0).alias("splits"),
     )
-    return checks.profile_violations(checks.profile_set(record, "record"), 64, 50)
+
+
+def _profile_totals(found):
+    total = vector_sum(F.transform("expressions", lambda x: x.cast("double")))
+    flags = F.size(F.filter("split_flags", lambda f: f)).cast("long")
+    return rounded(found.select("compound_name", "label", total.alias("total"), flags.alias("n_flags")))
+
+
+def wide_profiles(spark, sf_dir):
+    """Embeddings spread over numbered columns, read back as a profile set."""
+    return _profile_totals(checks.profile_set(_wide(spark, sf_dir), "table", 64, 50))
+
+
+def record_profiles(spark, sf_dir):
+    return checks.profile_violations(checks.profile_set(_record(spark, sf_dir), "record"), 64, 50)
+
+
+def detected_table_profiles(spark, sf_dir):
+    """The layout of the spread embeddings is found from the schema."""
+    return _profile_totals(checks.profile_set(_wide(spark, sf_dir), None, 64, 50))
+
+
+def detected_record_profiles(spark, sf_dir):
+    return _profile_totals(checks.profile_set(_record(spark, sf_dir), None, 64, 50))
+
+
+def detected_nested_profiles(spark, sf_dir):
+    """Records in lists: one list for each row, beside a column that is no part of the profiles."""
+    record = _record(spark, sf_dir)
+    nested = record.select(F.lit("x").alias("note"), F.array(F.struct(*record.columns)).alias("rows"))
+    return _profile_totals(checks.profile_set(nested, None, 64, 50))
 
 
 def sniffed_ids(spark, sf_dir):
@@ -206,6 +230,9 @@ QUERIES = {
     "profile_status": profile_status,
     "wide_profiles": wide_profiles,
     "record_profiles": record_profiles,
+    "detected_table_profiles": detected_table_profiles,
+    "detected_record_profiles": detected_record_profiles,
+    "detected_nested_profiles": detected_nested_profiles,
     "sniffed_ids": sniffed_ids,
     "store_check": store_check,
     "flag_columns": flag_columns,
@@ -263,7 +290,14 @@ gates as (select gate, cast(value as double) as value, threshold, case gate when
 final as (select *, case when passed then 'pass' when gate = 'profile_correlation' and value >= 0.95 then 'flag' else 'fail' end as status from gates)
 """
 )
+_TOTALS = """
+select cast(vec_id as varchar) as compound_name, cast(label % {classes} as double) as label,
+  round(list_sum(list_transform(embedding, lambda x: cast(x as double))), 6) as total,
+  len(list_filter(embedding[1:50], lambda x: x > 0)) as n_flags from embeddings"""
 SQL = {
+    "detected_table_profiles": _TOTALS.format(classes=2),
+    "detected_record_profiles": _TOTALS.format(classes=3),
+    "detected_nested_profiles": _TOTALS.format(classes=3),
     "profile_lookup": _LOOKUP + "select l_orderkey, l_linenumber, profile_id, found, total from looked",
     "lookup_miss_rate": _LOOKUP
     + """select count(*) as n_input, count(*) filter (where found) as n_found, count(*) filter (where not found) as n_missing,
@@ -298,10 +332,7 @@ select src_row, profile_id, case when ok then plate end as plate, case when ok t
     "profile_status": _GATES
     + """select coalesce(min_by(gate, case gate when 'lookup_miss' then 1 when 'retained_rows' then 2 else 3 end), 'ok') as status
   from final where status = 'fail' and gate <> 'resolution_rate'""",
-    "wide_profiles": """
-select cast(vec_id as varchar) as compound_name, cast(label % 2 as double) as label,
-  round(list_sum(list_transform(embedding, lambda x: cast(x as double))), 6) as total,
-  len(list_filter(embedding[1:50], lambda x: x > 0)) as n_flags from embeddings""",
+    "wide_profiles": _TOTALS.format(classes=2),
     "record_profiles": """
 select count(*) as n_rows, count(*) filter (where label % 3 = 2) as bad_label, count(*) filter (where len(embedding) <> 64) as bad_expression_width,
   cast(0 as bigint) as bad_flag_width from embeddings""",

@@ -67,7 +67,7 @@ def document_registry(spark, sf_dir):
 
 
 def required_columns(spark, sf_dir):
-    """Which columns of a split input the orders offer."""
+    """Which columns of a split input the orders offer, and how many values they have."""
     orders = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "id")
     return checks.column_report(orders, ["id", "group_key", "label", "o_orderstatus"])
 
@@ -119,8 +119,9 @@ conflict as (select src_row, id, name, label, registry_label from rows_ join las
 """
 SQL = {
     "required_columns": """
-select c as "column", c = 'id' or c in (select column_name from (describe orders)) as present
-from (values ('id'), ('group_key'), ('label'), ('o_orderstatus')) v(c)""",
+select 'id' as "column", true as present, count(o_orderkey) as n_values from orders
+union all select 'o_orderstatus', true, count(o_orderstatus) from orders
+union all select c, c in (select column_name from (describe orders)), 0 from (values ('group_key'), ('label')) v(c)""",
     "padded_columns": f"select severity, count(*) as n from {sql_input(I.SEVERITY_LIST)} group by 1",
     "null_counts": f"""
 select count(*) filter (where coalesce(name_key, '') = '') as bad_name_key, count(*) filter (where coalesce(structure, '') = '') as bad_structure

@@ -285,3 +285,17 @@ def test_long_and_short_lists_together(spark):
             assert other == pytest.approx(results[0], rel=1e-10, nan_ok=True)
         named = metric(df.withColumn("list_id", F.concat(F.lit("l"), "list_id")), block=8)
         assert named.count() == 6
+
+
+def test_only_probed_rows_of_the_store_travel(spark, store):
+    queries = spark.createDataFrame([("id_0003",), ("id_0003",), ("id_0050",), (None,), ("other",)], "profile_id string")
+    probed = profiles.probed_rows(store, "colid", queries, "profile_id")
+    assert {"id_0003", "id_0050"} <= {r["colid"] for r in probed.collect()} and probed.count() <= 3
+    every = spark.range(3000).select(F.format_string("id_%04d", "id").alias("profile_id"))
+    assert profiles.probed_rows(store, "colid", every, "profile_id").count() == 100
+    nulls = spark.range(500).select(F.lit(None).cast("string").alias("profile_id"), "id")
+    looked = profiles.lookup_profiles(nulls.unionByName(nulls.limit(1).withColumn("profile_id", F.lit("id_0001"))), store)
+    assert looked.count() == 501 and looked.where("found").count() == 1
+    assert profiles.missing_ids(nulls, store).count() == 500
+    repeated = store.withColumn("src_row", F.lit(1)).unionByName(store.withColumn("data", F.array(F.lit(7.0))).withColumn("src_row", F.lit(2)))
+    assert {tuple(r["data"]) for r in profiles.lookup_profiles(queries, repeated).where("found").collect()} == {(7.0,)}

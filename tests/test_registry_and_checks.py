@@ -132,3 +132,44 @@ def test_distributions(spark):
     assert not summary.class_drift(labels).first()["within"]
     tidy = summary.diagnostics({"a": labels.agg(F.count("*").alias("n")), "b": labels.agg(F.max("label").alias("m"))})
     assert sorted(tuple(r) for r in tidy.collect()) == [("a", "n", 5.0), ("b", "m", 1.0)]
+
+
+def test_layouts_are_found_from_the_schema(spark):
+    record = spark.createDataFrame([("a", 1, [0.5] * 4, [True, False])], "drug_names string, DILI int, X array<double>, splits array<boolean>")
+    spread = record.selectExpr("drug_names as Drug_Name", "DILI as dili", *[f"X[{k}] as gene_{k}" for k in range(4)], *[f"splits[{k}] as split_{k}" for k in range(2)])
+    nested = record.selectExpr("1 as other", "array(struct(*), null, struct(*)) as items")
+    single = record.selectExpr("struct(*) as item")
+    assert [checks.ranked_layouts(x, 4, 2)[0][:2] for x in (record, spread, nested, single)] == [
+        ("record", None), ("table", None), ("nested", "items"), ("nested", "item"),
+    ]
+    want = [tuple(r) for r in checks.profile_set(record, "record", 4, 2).collect()]
+    for x, n in ((record, 1), (spread, 1), (nested, 2), (single, 1)):
+        assert [tuple(r) for r in checks.profile_set(x, None, 4, 2).collect()] == want * n
+    with pytest.raises(SchemaError, match=r"nested in items lacks label.*; record lacks .*; table lacks .*expected 4 columns"):
+        checks.profile_set(nested.selectExpr("transform(items, i -> named_struct('drug_name', i.drug_names, 'X', i.X, 'splits', i.splits)) as items"), None, 4, 2)
+    with pytest.raises(SchemaError, match="expressions as an array"):
+        checks.profile_set(record.withColumn("X", F.lit(1.0)), None, 4, 2)
+    with pytest.raises(SchemaError, match="no column holds records"):
+        checks.profile_set(record, "nested", 4, 2)
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_first_values_are_kept_per_task(spark, parts):
+    """The first values by order decide, wherever they lie; nulls do not count."""
+    rows = [(i, None if i % 3 else f" id{i}\t", "no" if i == 70 else f"id{i}", "id" if i > 40 else "x") for i in range(200)]
+    df = spark.createDataFrame(rows, "src_row long, a string, b string, c string").repartition(parts)
+    kept = checks.first_values(df, ["a", "b", "c"], "src_row", 5)
+    assert kept.count() <= 3 * 5 * parts
+    first = sorted((r["_o"], r["v"]) for r in kept.where("column = 0").collect())[:5]
+    assert first == [(i, f"id{i}") for i in (0, 3, 6, 9, 12)]
+    assert checks.sniff_column(df, r"^id\d+$") == "a" and checks.sniff_column(df.drop("a"), r"^id\d+$") == "b"
+    with pytest.raises(SchemaError):
+        checks.sniff_column(df.select("src_row", "b"), r"^id\d+$", sample=80)
+    by = df.withColumn("place", F.struct((-F.col("src_row")).alias("x"), F.lit("s").alias("y"))).drop("src_row")
+    assert checks.sniff_column(by.select("place", "c"), r"^id$", order_by="place") == "c"
+
+
+def test_column_report_counts_values(spark):
+    df = spark.createDataFrame([(1, None), (2, "x"), (None, "y")], "id int, name string")
+    got = {r["column"]: (r["present"], r["n_values"]) for r in checks.column_report(df, ["id", "name", "label"]).collect()}
+    assert got == {"id": (True, 2), "name": (True, 2), "label": (False, 0)}
