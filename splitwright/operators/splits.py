@@ -5,7 +5,8 @@ state. Everything per row (building the groups, mapping the result back) is an o
 join. The greedy pass itself runs over range-partitioned groups: all ranges are folded at the same
 time from predicted start states, a range is accepted when its prediction was right, and only the
 six counts of each range travel through the driver. Long stretches in which every group goes to the
-same split, which is nearly all of a large input, are predicted exactly.
+same split, which is nearly all of a large input, are predicted exactly, and ranges of equal groups are
+stepped over in closed form, also where their picks alternate.
 """
 
 from __future__ import annotations
@@ -146,6 +147,112 @@ def greedy_fill(
     return picks, state
 
 
+#: Longest repeating pattern of picks that :func:`equal_groups` looks for, and how many changes of pattern it follows.
+_PATTERN, _PATTERN_CHANGES = 64, 1000
+
+
+def _first_failure(a: int, b: int, c: int, last: int) -> int:
+    """Smallest t in 0..last with ``a t^2 + b t + c <= 0``, or ``last + 1``; exact."""
+    fails = lambda t: a * t * t + b * t + c <= 0
+    if fails(0):
+        return 0
+    if a > 0:  # falls up to the vertex only
+        vertex = min(last, max(0, -b // (2 * a)))
+        last_fall = next((t for t in (vertex, min(last, vertex + 1)) if fails(t)), None)
+        if last_fall is None:
+            return last + 1
+        last = last_fall
+    elif not fails(last):  # concave and positive at both ends
+        return last + 1
+    low, high = 0, last
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if fails(middle) else (middle, high)
+    return high
+
+
+def _whole_periods(state: Fill, targets: Targets, size: int, plus: int, pattern: list[int], most: int) -> int:
+    """How many times in a row the picks of ``pattern`` certainly repeat from ``state``, at most ``most``.
+
+    From period to period the rows and positives of each split grow by a constant, so the difference of two costs
+    is a polynomial of the period's number as long as no split runs full, and its first root ends the pattern.
+    """
+    rows = [size * pattern.count(k) for k in range(3)]
+    positives = [plus * pattern.count(k) for k in range(3)]
+    at = state
+    for pick in pattern:
+        after = [targets.rows[k] - at.rows[k] - size for k in range(3)]
+        gap = [at.positives[k] + plus - targets.positives[k] for k in range(3)]
+        for k in range(3):
+            if after[k] >= 0 and rows[k]:
+                most = min(most, after[k] // rows[k] + 1)  # in later periods this split is full
+        last = most - 1
+        if last < 0:
+            return 0
+
+        def square(k: int) -> tuple[int, int, int]:
+            a, b, c = positives[k] ** 2, 2 * gap[k] * positives[k], gap[k] ** 2
+            return (a + rows[k] ** 2, b - 2 * after[k] * rows[k], c + after[k] ** 2) if after[k] >= 0 else (a, b, c)
+
+        for k in range(3):
+            if k == pick:
+                continue
+            if after[pick] >= 0 > after[k]:
+                continue
+            if after[pick] < 0:
+                if after[k] >= 0:
+                    return 0
+                difference = (0, rows[k] - rows[pick], after[pick] - after[k])
+            else:
+                difference = tuple(x - y for x, y in zip(square(k), square(pick)))
+            most = min(most, _first_failure(*difference, last))
+            last = most - 1
+            if last < 0:
+                return 0
+        at = at.add(pick, size, plus)
+    return most
+
+
+def equal_groups(state: Fill, targets: Targets, size: int, plus: int, count: int, seed: int | None) -> Fill | None:
+    """State after ``count`` groups of the same size and positives, without a step for each.
+
+    Picks of equal groups repeat in short patterns; each pattern is taken as often as it holds at once. None if a tie has to
+    be drawn from the keys, or if there are too many different patterns.
+    """
+    for _ in range(_PATTERN_CHANGES):
+        picks, at, tied = [], state, False
+
+        def draw(_: list[int]) -> int:
+            nonlocal tied
+            tied = True
+            return 0
+
+        while len(picks) < min(count, 2 * _PATTERN):
+            pick = _step(at, targets, size, plus, draw if seed is not None else None)
+            if tied:
+                return None
+            picks.append(pick)
+            at = at.add(pick, size, plus)
+        if len(picks) == count:
+            return at
+        repeats = 0
+        for period in range(1, _PATTERN + 1):
+            if picks[period:] == picks[:-period]:
+                pattern = picks[:period]
+                repeats = _whole_periods(state, targets, size, plus, pattern, count // period)
+                break
+        if repeats * max(1, period) <= len(picks):
+            state, count = at, count - len(picks)
+            continue
+        for k in range(3):
+            n = repeats * pattern.count(k)
+            state = state.add(k, n * size, n * plus)
+        count -= repeats * period
+        if not count:
+            return state
+    return None
+
+
 def _fold_batches(batches: Iterator[pd.DataFrame], starts: dict[int, Fill], targets: Targets, key: str, seed: int | None):
     """Fold every range from its start state: ``range, rows, picks, state`` a piece.
 
@@ -163,14 +270,28 @@ def _fold_batches(batches: Iterator[pd.DataFrame], starts: dict[int, Fill], targ
             yield at, rows, picks, state
 
 
-def _range_start_states(groups: DataFrame, key: str, targets: Targets, seed: int | None) -> dict[int, Fill]:
-    """State at the start of every range of ordered groups, found by predict and verify."""
-    totals = groups.groupBy("_range").agg(F.sum("size"), F.sum("positives"))
-    sums = {r: (int(n), int(p)) for r, n, p in totals.collect()}  # one row per range
+def _range_start_states(groups: DataFrame, key: str, targets: Targets, seed: int | None) -> tuple[dict[int, Fill], int]:
+    """State at the start of every range of ordered groups, and the number of rounds of jobs it took.
+
+    Ranges of equal groups are stepped over exactly, without a job. Others are found by predict and verify.
+    """
+    edges = [f(c) for c in ("size", "positives") for f in (F.sum, F.min, F.max)]
+    sums, equal = {}, {}
+    for r, n, *ends, count in groups.groupBy("_range").agg(*edges, F.count(F.lit(1))).collect():  # one row per range
+        low, high, p, fewest, most_ = map(int, ends)
+        sums[r] = (int(n), p)
+        if low == high and fewest == most_:
+            equal[r] = (low, fewest, int(count))
     order = sorted(sums)  # ranges without rows change nothing
 
-    starts, at, state, likely, width = {}, 0, Fill(), None, 1
+    starts, at, state, likely, width, rounds = {}, 0, Fill(), None, 1, 0
     while at < len(order):
+        stepped = equal_groups(state, targets, *equal[order[at]], seed) if order[at] in equal else None
+        if stepped is not None:
+            starts[order[at]], state = state, stepped
+            at += 1
+            continue
+        rounds += 1
         guess = {order[at]: state}
         if likely is not None:
             for before, r in zip(order[at : at + width - 1], order[at + 1 : at + width]):
@@ -193,7 +314,7 @@ def _range_start_states(groups: DataFrame, key: str, targets: Targets, seed: int
             at += 1
         # look further ahead after a full hit, as far as it was right after a miss
         width = 8 * len(guess) if at - begun == len(guess) else max(1, at - begun)
-    return starts
+    return starts, rounds
 
 
 def assign_groups(
@@ -216,7 +337,7 @@ def assign_groups(
     ordered = checkpointed(ordered.withColumn("_range", F.spark_partition_id()))
     n, p = ordered.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("positives"), F.lit(0))).first()
     targets = Targets(split_targets(int(n), fractions), split_targets(int(p), fractions))
-    starts = _range_start_states(ordered, key, targets, seed)
+    starts, _ = _range_start_states(ordered, key, targets, seed)
     names = np.array(SPLITS, dtype=object)
 
     def replay(batches):

@@ -163,3 +163,66 @@ def test_held_out_and_keys(spark):
     )
     assert sorted(r["id"] for r in splits.held_out(df, "in_measured").collect()) == [2, 4]
     assert [r[0] for r in splits.split_keys(df).collect()] == ["k"]
+
+
+def walked(state, targets, size, plus, count, seed=None):
+    """State and picks of single steps."""
+    picks, end = greedy_fill(np.full(count, size), np.full(count, plus), state, targets, [""] * count, seed)
+    return picks, end
+
+
+def some_states(rng):
+    """Start states in which the row and the label gaps of the splits pull in different directions."""
+    rows = tuple(int(x) for x in rng.integers(0, 4000, 3))
+    positives = tuple(int(x) for x in rng.integers(0, 3000, 3))
+    targets = Targets(tuple(int(x) for x in rng.integers(1000, 6000, 3)), tuple(int(x) for x in rng.integers(0, 2000, 3)))
+    return Fill(rows, positives), targets
+
+
+def test_equal_groups_equal_single_steps():
+    rng, alternating = np.random.default_rng(12), 0
+    for _ in range(250):
+        state, targets = some_states(rng)
+        size, count = int(rng.integers(1, 9)), int(rng.integers(1, 3000))
+        plus = int(rng.integers(0, size + 1))
+        picks, end = walked(state, targets, size, plus, count)
+        alternating += (np.diff(picks) != 0).mean() > 0.3
+        assert splits.equal_groups(state, targets, size, plus, count, None) == end
+        drawn = splits.equal_groups(state, targets, size, plus, count, 42)
+        assert drawn is None or drawn == end
+    assert alternating > 20
+
+
+def test_first_failure_of_polynomials():
+    for a in range(-3, 4):
+        for b in range(-9, 10):
+            for c in (-1, 0, 1, 5, 30):
+                for last in (0, 1, 7):
+                    want = next((t for t in range(last + 1) if a * t * t + b * t + c <= 0), last + 1)
+                    assert splits._first_failure(a, b, c, last) == want
+
+
+def alternating_case():
+    """Equal groups after a few large ones, such that the equal ones alternate between splits."""
+    large = [(2492, 2492), (2483, 2483), (2019, 0), (1946, 0), (1264, 1264), (884, 0), (73, 73)]
+    groups, fractions = large + [(2, 2)] * 600, (0.5, 0.25, 0.25)
+    size, plus = np.array([g[0] for g in groups]), np.array([g[1] for g in groups])
+    targets = Targets(split_targets(int(size.sum()), fractions), split_targets(int(plus.sum()), fractions))
+    picks, _ = greedy_fill(size, plus, Fill(), targets)
+    assert (np.diff(picks[-600:]) != 0).mean() > 0.8
+    return groups, fractions, targets, picks
+
+
+def test_rounds_do_not_grow_with_ranges_of_equal_groups(spark):
+    groups, fractions, targets, picks = alternating_case()
+    rounds = []
+    for ranges in (10, 50):
+        rows = [(f"g{i:05d}", s, p, 0 if i < 7 else 1 + (i - 7) * (ranges - 1) // 600) for i, (s, p) in enumerate(groups)]
+        df = spark.createDataFrame(rows, "key string, size long, positives long, _range int")
+        starts, n = splits._range_start_states(df.coalesce(1).sortWithinPartitions("key"), "key", targets, None)
+        assert len(starts) == ranges
+        rounds.append(n)
+    assert rounds[0] == rounds[1] == 1
+    df = spark.createDataFrame([r[:3] for r in rows], "key string, size long, positives long")
+    got = {r["key"]: r["split"] for r in splits.assign_groups(df, "key", fractions, None).collect()}
+    assert got == {r[0]: splits.SPLITS[k] for r, k in zip(rows, picks)}
