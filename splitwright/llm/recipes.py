@@ -1,7 +1,7 @@
 """Exact deduplication by content-defined chunk recipes, with DataFrame functions only.
 
-A normalised text is cut after places that its own characters choose, so texts that share a passage share
-its chunks. Each distinct chunk crosses the network once per task that holds it, to be verified: a chunk
+A normalised text is cut after places that its own UTF-8 bytes choose, whatever the script, so texts that
+share a passage share its chunks. Each distinct chunk crosses the network once per task that holds it, to be verified: a chunk
 identifier is the hash of the chunk, with a variant number where different chunks share a hash. Documents
 are then compared by their ordered identifier lists, which are about a hundredth of the texts.
 """
@@ -14,8 +14,18 @@ from pyspark.sql import functions as F
 from splitwright.llm.text import SPACES, documents, row_key
 from splitwright.session import stored
 
-#: A chunk has at least 256 characters and ends after a blank with such neighbours, or after 4096.
-CHUNK = r"(?s).{256,4096}?(?<=[d-f.] )(?=[m-p])|(?s).{1,4096}"
+
+
+def _bytes(rest: int, more: str = "") -> str:
+    """Class of the bytes below 0xC0 that leave ``rest`` modulo 4."""
+    return "[" + "".join(f"\\x{b:02X}" for b in range(rest, 0xC0, 4)) + more + "]"
+
+
+#: A chunk has at least 256 bytes and ends with four bytes of two alternating classes, or after 4096. The first
+#: class takes all bytes that begin a character outside ASCII, so both letters of a two-byte script are looked at.
+LEAST, MOST = 256, 4096
+_EDGE = (_bytes(1, r"\xC0-\xFF") + _bytes(0)) * 2
+CHUNK = f"(?s).{{{LEAST - 4},{MOST - 4}}}?{_EDGE}|.{{1,{MOST}}}"
 
 
 def normalised(text: Column) -> Column:
@@ -24,10 +34,12 @@ def normalised(text: Column) -> Column:
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` as ``doc_id, _key1, _key2, _text, _chunks``."""
+    """``doc_id, text`` as ``doc_id, _key1, _key2, _text, _chunks``; chunks spell bytes as characters below 256."""
     rows = documents(docs)
     rows = rows.select("doc_id", *row_key(rows), normalised(F.col("text")).alias("_text"))
-    return rows.withColumn("_chunks", F.regexp_extract_all("_text", F.lit(CHUNK), 0))
+    # one character a byte, so that the pattern's classes are sets of bytes
+    octets = F.decode(F.col("_text").cast("binary"), "ISO-8859-1")
+    return rows.withColumn("_chunks", F.regexp_extract_all(octets, F.lit(CHUNK), 0))
 
 
 def chunk_variants(chunks: DataFrame) -> DataFrame:

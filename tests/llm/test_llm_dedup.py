@@ -101,6 +101,23 @@ def test_chunks_are_content_defined_and_whole(spark):
     assert len(cut[1]) > 10 and len(set(cut[1]) & set(cut[2])) > len(cut[1]) // 2
 
 
+def test_chunks_follow_the_text_in_any_script(spark):
+    rng = random.Random(3)
+    scripts = {"cyrillic": "абвгдежзиклмнопрстуфхцчшщыэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "han": [chr(c) for c in range(0x4E00, 0x5200)]}
+    bodies = {}
+    for name, letters in scripts.items():
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(400)]
+        bodies[name] = (" " if name != "han" else "").join(rng.choice(words) for _ in range(12_000))
+    bodies["no blanks"] = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(100_000))
+    bodies["hex"] = "".join(rng.choice("0123456789abcdef") for _ in range(100_000))
+    rows = [(2 * i + k, "вставка" * k, b) for i, b in enumerate(bodies.values()) for k in (0, 1)]
+    table = spark.createDataFrame([(i, more + body) for i, more, body in rows], "doc_id long, text string")
+    cut = {r["doc_id"]: r["_chunks"] for r in recipes.chunked(table).collect()}
+    for i, body in enumerate(bodies.values()):
+        assert "".join(cut[2 * i]).encode("latin-1").decode() == body
+        assert len(set(cut[2 * i]) & set(cut[2 * i + 1])) >= 0.9 * len(cut[2 * i]) > 50
+
+
 def test_chunks_that_share_a_hash_stay_apart(spark, monkeypatch):
     from pyspark.sql import functions as F
 
