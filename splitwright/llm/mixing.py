@@ -28,10 +28,11 @@ _WORD = "[^" + SPACES[1:] + "+"
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size, _row``: words of each document, written once."""
+    """``doc_id, source, size, _mark, _row``: words and hash of each document, written once."""
     rows = documents(docs, "source")
     size = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
-    return stored(rows.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.monotonically_increasing_id().alias("_row")), "sizes")
+    source = F.col("source").cast("string").alias("source")
+    return stored(rows.select("doc_id", source, size.alias("size"), F.xxhash64("text").alias("_mark"), F.monotonically_increasing_id().alias("_row")), "sizes")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -63,16 +64,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def permuted(sizes: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFrame:
     """Every block with its 0-based ``rank`` in the random order of its source and the words up to it.
 
-    The order is that of a hash. Its leading bits deal the blocks of a source over bins of about ``BIN``
+    The order is that of a hash of seed, id (of the text where the id is null) and block; rows that repeat
+    an id follow by their texts. Rows equal in id, source and text are interchangeable. The hash's leading bits deal the blocks of a source over bins of about ``BIN``
     rows, which are sorted one by one; sums over whole bins give their offsets. So a source with a third
     of all rows is sorted by as many tasks as it has bins.
     """
     blocks = sizes.where(F.col("size") > 0).select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK) - 1)).alias("block"))
     words = F.least(F.lit(BLOCK), F.col("size") - F.col("block") * BLOCK).cast("long")
-    text = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("block"))
+    text = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("_mark"))), F.col("block"))
     mark = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
     bits = sources.select(F.col("source").alias("_s"), F.greatest(F.lit(0), F.ceil(F.log2(F.col("blocks") / BIN))).cast("int").alias("_bits"))
-    blocks = blocks.select("doc_id", "source", "_row", "block", words.alias("words"), mark.alias("mark"))
+    blocks = blocks.select("doc_id", "source", "_mark", "_row", "block", words.alias("words"), mark.alias("mark"))
     blocks = blocks.join(bits, F.col("source").eqNullSafe(F.col("_s"))).withColumn("bin", F.expr("shiftright(mark, 60 - _bits)")).drop("_s", "_bits")
     sums = blocks.groupBy("source", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("w"))
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -82,11 +84,11 @@ def permuted(sizes: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFram
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n"),
         F.coalesce(F.sum("w").over(before), F.lit(0)).alias("_w"),
     )
-    inside = Window.partitionBy("source", "bin").orderBy("mark", "doc_id", "block", "_row")
+    inside = Window.partitionBy("source", "bin").orderBy("mark", "doc_id", "block", "_mark", "_row")
     ranked = blocks.withColumns({"_at": F.row_number().over(inside) - 1, "_sum": F.sum("words").over(inside.rowsBetween(Window.unboundedPreceding, 0))})
     joined = ranked.join(stored(offsets, "bins"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("bin") == F.col("_b")))
     return joined.select(
-        "doc_id", "source", "_row", "block", "words", (F.col("_n") + F.col("_at")).alias("rank"), (F.col("_w") + F.col("_sum")).alias("up_to")
+        "doc_id", "source", "_mark", "_row", "block", "words", (F.col("_n") + F.col("_at")).alias("rank"), (F.col("_w") + F.col("_sum")).alias("up_to")
     )
 
 
@@ -173,7 +175,7 @@ def _uniform(seed: int, level: int):
 
 
 def mixed_blocks(sizes: DataFrame, sources: DataFrame, levels: int = SHARDS_LOG2, seed: int = SEED) -> DataFrame:
-    """The mix: ``doc_id, source, _row, block, words, pass, shard, place``, a row for each block it takes.
+    """The mix: ``doc_id, source, _mark, _row, block, words, pass, shard, place``, a row for each block it takes.
 
     ``place`` orders the blocks of a shard at random.
     """
@@ -185,15 +187,16 @@ def mixed_blocks(sizes: DataFrame, sources: DataFrame, levels: int = SHARDS_LOG2
     quotas = whole.unionByName(partial.select("source", "pass", "quota"))
     ranges = stored(shard_quotas(stored(quotas, "quotas"), levels, seed), "shard-ranges").withColumnRenamed("source", "_s")
     within = F.col("source").eqNullSafe(F.col("_s")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
-    place = F.xxhash64(F.lit(seed), "shard", "pass", "doc_id", "block", "_row")
-    return blocks.join(ranges, within).select("doc_id", "source", "_row", "block", "words", "pass", "shard", place.alias("place"))
+    place = F.xxhash64(F.lit(seed), "shard", "pass", "doc_id", "block", "_mark")
+    return blocks.join(ranges, within).select("doc_id", "source", "_mark", "_row", "block", "words", "pass", "shard", place.alias("place"))
 
 
 def mixed(docs: DataFrame, levels: int = SHARDS_LOG2, seed: int = SEED) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every document.
 
     Null and empty texts have size 0 and are never taken; a source without words has target 0. Repeated
-    rows are documents of their own. Reruns agree: the order depends on ids, blocks and the seed only.
+    rows are documents of their own. Reruns agree, in any partitioning: the order depends on ids, texts, blocks
+    and the seed only, so that merely rows with the same id, source and text may change places.
     Other columns are not read.
     """
     sizes = sized(docs)
@@ -207,13 +210,15 @@ def mixed(docs: DataFrame, levels: int = SHARDS_LOG2, seed: int = SEED) -> DataF
 def block_texts(docs: DataFrame, levels: int = SHARDS_LOG2, seed: int = SEED) -> DataFrame:
     """``shard, place, doc_id, source, text`` of the mix, each shard in its random order.
 
-    Blocks find their document by id, so ids should be unique here.
+    Blocks find their text by id and hash, so ids may be null or repeat.
     """
     sizes = sized(docs)
     mix = mixed_blocks(sizes, stored(targets(sizes), "targets"), levels, seed)
-    texts = documents(docs).select("doc_id", F.regexp_extract_all("text", F.lit(_WORD), 0).alias("_w"))
+    texts = documents(docs).select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_m"), "text").dropDuplicates(["_d", "_m"])
+    texts = texts.select("_d", "_m", F.regexp_extract_all("text", F.lit(_WORD), 0).alias("_w"))
     cut = F.array_join(F.slice("_w", F.col("block") * BLOCK + 1, F.lit(BLOCK)), " ")
-    rows = mix.join(texts, "doc_id").select("shard", "place", "doc_id", "source", cut.alias("text"))
+    same = (F.col("_mark") == F.col("_m")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+    rows = mix.join(texts, same).select("shard", "place", "doc_id", "source", cut.alias("text"))
     return rows.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")
 
 

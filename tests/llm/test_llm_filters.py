@@ -161,6 +161,22 @@ def test_block_texts_are_the_documents_words(spark):
     assert {i: n for i, n in taken.items() if n} == dict(seen)
 
 
+def test_reruns_agree_with_null_and_repeated_ids(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join(f"w{rng.randint(0, 500)}" for _ in range(rng.randint(0, 300)))
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, text(), "abc"[i % 5 % 3]) for i in range(200)]
+    rows += rows[:10]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    results, blocks = [], []
+    for partitions in (1, 7):
+        rng.shuffle(rows)
+        table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(partitions)
+        results.append(rows_of(mixing.mixed(table)))
+        blocks.append(sorted((r["shard"], r["place"], r["text"]) for r in mixing.block_texts(table).collect()))
+    assert results[0] == results[1] and blocks[0] == blocks[1]
+    assert sum(len(b[2].split()) for b in blocks[0]) == sum(r["taken"] for r in mixing.mixed(table).collect())
+
+
 def test_hypergeometric_draws(spark):
     from pyspark.sql import functions as F
 
