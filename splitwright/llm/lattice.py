@@ -34,6 +34,10 @@ ROUNDS = 3
 BLOCK_BYTES = 5_000_000
 #: Lattices of so many words are worked on together.
 WORDS_AT_ONCE = 40_000
+#: Few words at once gain nothing from steps over all of them: up to so many are walked one by one.
+WALKED = 8
+#: Places of a walked word whose pieces are held at once.
+WINDOW = 65_536
 #: Stands for the mark of a word's begin, as one byte that no text has.
 _MARK = b"\xff"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -126,6 +130,45 @@ class Lattice:
             alpha[end, at] = np.logaddexp(alpha[end, at], alpha[begin, at] + self.log_p[pieces])
         return alpha
 
+    def _window(self, codes: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``begin, end, piece`` of the pieces of one word that begin in a window, ordered by begin."""
+        high, found = min(low + WINDOW, len(codes)), []
+        keys = np.zeros(high - low, np.uint64)
+        with np.errstate(over="ignore"):
+            for length in range(1, self.longest + 1):
+                last = codes[low + length - 1 : high + length - 1]
+                keys = keys[: len(last)] * _BASE + last + np.uint64(1)
+                at, pieces = self.find(keys)
+                found.append((at + low, at + low + length, pieces))
+        begin, end, piece = (np.concatenate(part) for part in zip(*found))
+        order = np.argsort(begin, kind="stable")
+        return begin[order], end[order], piece[order]
+
+    def _walk(self, codes: np.ndarray, backward: bool = False) -> np.ndarray:
+        """Forward or backward log sums of one word, place by place; time in proportion to its length."""
+        sums = [-math.inf] * (len(codes) + 1)
+        sums[-1 if backward else 0] = 0.0
+        starts = range(0, len(codes), WINDOW)
+        for low in reversed(starts) if backward else starts:
+            begin, end, piece = self._window(codes, low)
+            if backward:
+                begin, end, piece = end[::-1], begin[::-1], piece[::-1]
+            for a, b, p in zip(begin.tolist(), end.tolist(), self.log_p[piece].tolist()):
+                new, old = sums[a] + p, sums[b]
+                if new > old:
+                    new, old = old, new
+                # old is the greater one
+                sums[b] = old + math.log1p(math.exp(new - old)) if new > -math.inf else old
+        return np.array(sums)
+
+    def _uses(self, codes: np.ndarray, total: np.ndarray, count: float) -> None:
+        """Add the expected uses of each piece in one word, ``count`` times."""
+        alpha, beta = self._walk(codes), self._walk(codes, backward=True)
+        for low in range(0, len(codes), WINDOW):
+            begin, end, piece = self._window(codes, low)
+            share = np.exp(alpha[begin] + self.log_p[piece] + beta[end] - alpha[-1]) * count
+            total += np.bincount(piece, weights=share, minlength=len(total))
+
     def batches(self, words: list[bytes]):
         """Positions and byte codes of words of equal length, in arrays of bounded size."""
         marked = [_MARK + w for w in words]
@@ -146,13 +189,17 @@ class Lattice:
         """Natural log probability of each word over all its segmentations."""
         out = np.zeros(len(words))
         for at, codes in self.batches(words):
-            out[at] = self._forward(codes, self._edges(codes))[-1]
+            out[at] = [self._walk(c)[-1] for c in codes] if len(at) <= WALKED else self._forward(codes, self._edges(codes))[-1]
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece in the words, each weighted by its count."""
         total = np.zeros(len(self.log_p))
         for number, codes in self.batches(words):
+            if len(number) <= WALKED:
+                for i, word in zip(number, codes):
+                    self._uses(word, total, counts[i])
+                continue
             edges = self._edges(codes)
             alpha = self._forward(codes, edges)
             beta = np.full(alpha.shape, -np.inf)

@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -131,6 +132,22 @@ def test_lattice_sums_all_segmentations():
     assert np.allclose(got, [expected[p] for p in pieces])
 
 
+def test_long_words_are_walked_in_linear_time(monkeypatch):
+    rng = random.Random(5)
+    pieces = sorted({bytes([b]) for b in range(256)} | {bytes(rng.choice(b"abcd") for _ in range(rng.randint(2, 12))) for _ in range(300)})
+    log_p = np.log(np.random.default_rng(1).dirichlet(np.ones(len(pieces))))
+    grid = lattice.Lattice(pieces, log_p)
+    monkeypatch.setattr(lattice, "WINDOW", 37)
+    words = [bytes(rng.choice(b"abcd") for _ in range(n)) for n in (0, 1, 36, 37, 400)]
+    walked, uses = grid.scores(words), grid.expected(words, np.arange(1.0, 6.0))
+    monkeypatch.setattr(lattice, "WALKED", 0)
+    assert np.allclose(walked, grid.scores(words)) and np.allclose(uses, grid.expected(words, np.arange(1.0, 6.0)))
+    monkeypatch.undo()
+    begun = time.process_time()
+    score = grid.scores([bytes(rng.choices(b"abcdefgh", k=1_000_000))])[0]
+    assert math.isfinite(score) and score < -1e5 and time.process_time() - begun < 60
+
+
 def scores_brute(texts):
     token = [(i, (t or "").encode().lower().split()) for i, t, *_ in texts]
     count, n = collections.Counter(), 0
