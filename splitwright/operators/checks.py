@@ -160,6 +160,7 @@ def profile_set(
     layout: str | None = None,
     expression_width: int = EXPRESSION_WIDTH,
     flag_width: int = SPLIT_FLAG_WIDTH,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Bring one of the accepted layouts to ``compound_name, label, expressions, split_flags[, profile_id]``.
 
@@ -167,6 +168,7 @@ def profile_set(
     in textual order); ``table`` layouts spread the vectors over numbered columns and are matched
     without case; ``nested`` layouts hold records, or lists of them, in one column. Without ``layout`` the schema decides: the first way to
     read it that lacks nothing (:func:`ranked_layouts`); if there is none, the error names what each lacks.
+    ``keep`` names further columns of the rows that stay as they are, such as their place in the source.
     Values are checked lazily; see :func:`profile_violations`.
     """
     if layout is None or layout == "nested":
@@ -187,7 +189,7 @@ def profile_set(
     ]
     if "profile_id" in picked:
         out.append(picked["profile_id"].cast("string").alias("profile_id"))
-    return df.select(*out)
+    return df.select(*out, *(F.col(f"`{c}`") for c in keep))
 
 
 def profile_violations(

@@ -10,6 +10,7 @@ from splitwright.functions.names import name_key, spread_key, with_computed
 from splitwright.functions.numbers import to_number
 from splitwright.operators.checks import SchemaError, require_columns
 from splitwright.operators.dedupe import first_rows, keep_last
+from splitwright.operators.scan import dense_row_number
 from splitwright.session import lookup_side
 
 # Columns of the profile table, in this order.
@@ -95,6 +96,18 @@ def align_by_row(left: DataFrame, right: DataFrame, position: str = "row_idx", a
     return right.join(left, position)
 
 
+def identified_profiles(profile_rows: DataFrame, ids: DataFrame, order_by: str = "src_row") -> DataFrame:
+    """``row_idx, profile_id, name, label, expressions, split_flags``: a profile set and a list of ids, row by row.
+
+    Both are numbered in their own order first, so the numbers in ``order_by`` may have gaps. Profiles beyond
+    the last id are left out; more ids than profiles are an error. Ids that the set has itself are not used.
+    """
+    numbered = dense_row_number(profile_rows.drop("profile_id"), [order_by]).drop(order_by)
+    listed = dense_row_number(ids.select(order_by, "profile_id"), [order_by]).drop(order_by)
+    rows = align_by_row(numbered.withColumnRenamed("compound_name", "name"), listed)
+    return rows.select("row_idx", "profile_id", "name", F.col("label").cast("int").alias("label"), "expressions", "split_flags")
+
+
 def dimension_correlation(pairs: DataFrame, a: str = "a", b: str = "b", by: tuple[str, ...] = ()) -> DataFrame:
     """Pearson correlation per vector position: ``pos, r, n``; NaN where one side is constant.
 

@@ -197,6 +197,27 @@ def sniffed_ids(spark, sf_dir):
     return checks.load_profile_ids(padded, PROFILE_ID_SNIFF_PATTERN, expected_rows=None).select("profile_id")
 
 
+def identified_profiles(spark, sf_dir):
+    """Ids from a sniffed column meet the profiles of a detected layout by position."""
+    emb = table(spark, sf_dir, "embeddings")
+    rows = emb.select(
+        F.col("vec_id").alias("src_row"),
+        F.col("vec_id").cast("string").alias("drug_name"),
+        (F.col("label") % 2).alias("y"),
+        F.col("embedding").alias("X"),
+        F.transform(F.slice("embedding", 1, 50), lambda x: x > 0).alias("splits"),
+    )
+    # listed in the opposite order of the profiles
+    profile_id = F.concat(F.lit(" P"), "vec_id", F.lit("_MCF7_24H:BRD-K"), "vec_id", F.lit(":"), "label")
+    listed = emb.select((-F.col("vec_id")).alias("src_row"), F.lit("note").alias("comment"), profile_id.alias("column_2"))
+    found = checks.profile_set(rows, None, 64, 50, keep=["src_row"])
+    ids = checks.load_profile_ids(listed, PROFILE_ID_SNIFF_PATTERN, expected_rows=None)
+    aligned = profiles.identified_profiles(found, ids)
+    total = vector_sum(F.transform("expressions", lambda x: x.cast("double")))
+    flags = F.size(F.filter("split_flags", lambda f: f)).cast("long")
+    return rounded(aligned.select("row_idx", "profile_id", "name", F.col("label").cast("long").alias("label"), total.alias("total"), flags.alias("n_flags")))
+
+
 def store_check(spark, sf_dir):
     dims = spark.range(64).select(F.col("id").alias("pos"), F.concat(F.lit("dim_"), F.col("id").cast("string")).alias("rowid"))
     check = profiles.vector_width_check(_store(spark, sf_dir), dims)
@@ -234,6 +255,7 @@ QUERIES = {
     "detected_record_profiles": detected_record_profiles,
     "detected_nested_profiles": detected_nested_profiles,
     "sniffed_ids": sniffed_ids,
+    "identified_profiles": identified_profiles,
     "store_check": store_check,
     "flag_columns": flag_columns,
 }
@@ -337,6 +359,13 @@ select src_row, profile_id, case when ok then plate end as plate, case when ok t
 select count(*) as n_rows, count(*) filter (where label % 3 = 2) as bad_label, count(*) filter (where len(embedding) <> 64) as bad_expression_width,
   cast(0 as bigint) as bad_flag_width from embeddings""",
     "sniffed_ids": f"select profile_id from {sql_input(I.PROFILE_IDS)}",
+    "identified_profiles": """
+with p as (select row_number() over (order by vec_id) - 1 as row_idx, cast(vec_id as varchar) as name, cast(label % 2 as bigint) as label,
+    round(list_sum(list_transform(embedding, lambda x: cast(x as double))), 6) as total,
+    cast(len(list_filter(embedding[1:50], lambda x: x > 0)) as bigint) as n_flags from embeddings),
+i as (select row_number() over (order by vec_id desc) - 1 as row_idx,
+    'P' || vec_id || '_MCF7_24H:BRD-K' || vec_id || ':' || label as profile_id from embeddings)
+select row_idx, profile_id, name, label, total, n_flags from p join i using (row_idx)""",
     "store_check": "select min(len(embedding)) as min_width, max(len(embedding)) as max_width, cast(64 as bigint) as n_dimensions, min(len(embedding)) = 64 and max(len(embedding)) = 64 as ok from embeddings",
     "flag_columns": "select vec_id, " + ", ".join(f"embedding[{k + 1}] > 0 as split_{k:02d}" for k in range(50)) + " from embeddings",
 }

@@ -6,17 +6,18 @@ all results; what to do about a failing gate is up to the caller.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitwright.operators import gates, leakage, profiles, registry, resolve, similarity, splits, summary
+from splitwright.functions.ids import PROFILE_ID_SNIFF_PATTERN
+from splitwright.operators import checks, gates, leakage, profiles, registry, resolve, similarity, splits, summary
 from splitwright.operators.checks import invariant_report, raise_on_violations, require_columns
 from splitwright.operators.clusters import cluster_split
 from splitwright.operators.dedupe import seeded_sample
 from splitwright.session import stored
-from splitwright.sources.files import write_diagnostics
+from splitwright.sources.files import file_manifest, write_diagnostics
 from splitwright.sources.profiles import write_aligned
 from splitwright.sources.splits import read_split, write_split
 from splitwright.sources.tables import write_csv, write_parquet
@@ -191,3 +192,35 @@ def profile_run(
         "gates": table,
         "status": gates.run_status(table),
     }
+
+
+def profile_source_run(
+    profile_source: DataFrame,
+    id_source: DataFrame,
+    store: DataFrame,
+    known: DataFrame,
+    out: str,
+    files: Sequence[str] = (),
+    expected_ids: int | None = 6000,
+    pattern: str = PROFILE_ID_SNIFF_PATTERN,
+    layout: str | None = None,
+    expression_width: int = checks.EXPRESSION_WIDTH,
+    flag_width: int = checks.SPLIT_FLAG_WIDTH,
+    sample: int | None = None,
+    seed: int = 42,
+) -> dict[str, DataFrame]:
+    """:func:`profile_run` from its raw sources: a profile set in any layout and a table with a column of ids.
+
+    The input ``files`` are listed with their hashes, the column of ids is found by ``pattern``, values of
+    the set are checked before anything is looked up, and ids meet profiles by position. Both sources hold
+    their order in ``src_row``.
+    """
+    results = {}
+    if files:
+        results["manifest"] = stored(file_manifest(store.sparkSession, list(files)), "manifest")
+        write_csv(results["manifest"], f"{out}/manifest")
+    ids = checks.load_profile_ids(id_source, pattern, expected_ids)
+    rows = stored(checks.profile_set(profile_source, layout, expression_width, flag_width, keep=["src_row"]), "profile-set")
+    raise_on_violations(checks.profile_violations(rows, expression_width, flag_width), "profile set")
+    identified = stored(profiles.identified_profiles(rows, ids), "identified")
+    return results | profile_run(identified, store, known, out, flag_width, sample, seed)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from splitwright import runs
 from splitwright.functions.sets import hashed_shingles
+from splitwright.operators.checks import SchemaError
 from splitwright.session import run_scratch
 from splitwright.sources.splits import read_split
 
@@ -100,3 +101,29 @@ def test_profile_run(spark, tmp_path):
     assert out["conflict_names"].count() == 10
     assert sum(r["n"] for r in out["cells"].collect()) == 23 == sum(r["n"] for r in out["doses"].collect())
     assert spark.read.parquet(str(tmp_path / "masks")).columns == ["row_idx", "split_00", "split_01"]
+
+
+def test_profile_source_run(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    data = rng.normal(size=(20, 4))
+    ids = [f"CGS{i:03d}_MCF7_24H:BRD-K{i:08d}:{i % 3}" for i in range(20)]
+    store = spark.createDataFrame([(c, v.tolist()) for c, v in zip(ids, data)], "colid string, data array<double>")
+    # the places have gaps, and the set is longer than the list of ids
+    rows = [(3 * i, f"Drug{i % 2}", float(i % 2), v.tolist(), [True, False]) for i, v in enumerate([*data, data[0]])]
+    source = spark.createDataFrame(rows[::-1], "src_row long, drug_name string, y double, X array<double>, splits array<boolean>")
+    listed = spark.createDataFrame([(5 * i, "x", f" {c} ") for i, c in enumerate(ids)][::-1], "src_row long, comment string, other string")
+    known = spark.createDataFrame([(0, "Drug0", "C0", "Most", 0), (1, "Drug1", "C1", "No", 1)], "src_row long, name string, canonical string, severity string, label int")
+    (tmp_path / "raw.bin").write_bytes(b"abc")
+    widths = {"expression_width": 4, "flag_width": 2}
+    out = runs.profile_source_run(source, listed, store, known, str(tmp_path / "out"), [str(tmp_path / "raw.bin")], expected_ids=20, **widths)
+    assert out["manifest"].first()["n_bytes"] == 3
+    assert out["miss_rate"].first()["n_found"] == 20 == out["profiles"].count()
+    assert out["correlation"].first()["mean_r"] == pytest.approx(1.0)  # every id met its own profile
+    assert out["conflict_names"].count() == 0
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "manifest")).count() == 1
+    with pytest.raises(SchemaError, match="expected 6000"):
+        runs.profile_source_run(source, listed, store, known, str(tmp_path), **widths)
+    with pytest.raises(SchemaError, match="bad_label"):
+        runs.profile_source_run(source.withColumn("y", F.lit(0.5)), listed, store, known, str(tmp_path), expected_ids=20, **widths)
+    with pytest.raises(SchemaError, match="cannot align"):
+        runs.profile_source_run(source.limit(5), listed, store, known, str(tmp_path), expected_ids=20, **widths)
