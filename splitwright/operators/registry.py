@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from splitwright.functions.numbers import to_number
 from splitwright.operators.checks import find_column, require_columns, require_order
 from splitwright.operators.dedupe import keep_first
-from splitwright.operators.resolve import member_flag, priority_lookup
+from splitwright.operators.resolve import keyed_lookup, probe_names
 
 REGISTRY_COLUMNS = [
     "id", "name", "structure", "canonical", "group_key", "label", "severity", "in_measured", "in_upstream",
@@ -59,15 +59,14 @@ def build_registry(
 
     ``labels`` holds ``src_row, id, name, label``; ``severities`` ``src_row, name, severity``;
     ``resolved`` ``id, structure, canonical, group_key``; the member lists a ``name`` column. Rows
-    with other labels, unresolved rows and repeated ids are dropped, in that order.
+    with other labels, unresolved rows and repeated ids are dropped, in that order. Severities and member lists are probed through one table of names.
     """
     require_columns(labels, ["src_row", "id", "name"], "labels")
     require_columns(resolved, ["id", "structure", "canonical", "group_key"], "resolved")
     label_col = find_column(labels, ["label"], "label column")
     labelled = keep_binary_labels(labels.withColumnRenamed(label_col, "label"))
     joined = join_resolved(labelled, resolved)
-    with_severity = priority_lookup(joined, severities, severity_col, out_col="severity")
-    flagged = member_flag(with_severity, measured_names, "in_measured")
-    flagged = member_flag(flagged, upstream_names, "in_upstream")
+    lists = {"in_measured": measured_names, "in_upstream": upstream_names}
+    flagged = probe_names(joined, keyed_lookup(severities, severity_col, lists), "severity", list(lists))
     unique = keep_first(flagged.select("src_row", *REGISTRY_COLUMNS), "id")
     return require_order(unique.select(*REGISTRY_COLUMNS), REGISTRY_COLUMNS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,6 +94,57 @@ def rejected_rows(routed: DataFrame, id_col: str = "id", name_col: str = "name")
     return routed.where(F.col("reason").isNotNull()).select(id_col, name_col, "reason")
 
 
+def keyed_lookup(
+    reference: DataFrame, value_col: str, members: Mapping[str, DataFrame] | None = None, name_col: str = "name"
+) -> DataFrame:
+    """One row a name key with everything that is known of it, written once for all probes.
+
+    ``_exact`` is the value of the first reference row of that name, ``_bare`` that of the first whose name is the key once its
+    suffix tokens are gone; both are structs, as a hit may hold a null value. Each list of ``members`` adds a boolean
+    column of its name. Null keys are left out, and so are empty names of member lists. Reference rows without a position come last.
+    """
+    require_columns(reference, [name_col, value_col, "src_row"], "reference")
+    members = dict(members or {})
+    keyed = reference.select(name_key(F.col(name_col)).alias("_k"), F.col(value_col).alias("value"), "src_row")
+    keyed = keyed.where(F.col("_k").isNotNull())
+    hit = F.struct("value", F.isnull("src_row").alias("late"), "src_row")
+    rows = keyed.select("_k", hit.alias("_exact"))
+    rows = rows.unionByName(keyed.select(strip_two_suffixes(F.col("_k")).alias("_k"), hit.alias("_bare")), allowMissingColumns=True)
+    for flag, listed in members.items():
+        names = listed.select(name_key(F.col("name")).alias("_k"), F.lit(True).alias(flag))
+        rows = rows.unionByName(names.where(F.col("_k") != ""), allowMissingColumns=True)
+
+    def first(column: str) -> Column:
+        order = F.when(F.col(column).isNotNull(), F.struct(f"{column}.late", f"{column}.src_row"))
+        return F.min_by(F.when(F.col(column).isNotNull(), F.struct(f"{column}.value")), order).alias(column)
+
+    flags = [F.coalesce(F.max(flag), F.lit(False)).alias(flag) for flag in members]
+    return lookup_side(rows.groupBy("_k").agg(first("_exact"), first("_bare"), *flags))
+
+
+def probe_names(
+    items: DataFrame, lookup: DataFrame, out_col: str, flags: Sequence[str] = (), id_col: str = "id", name_col: str = "name"
+) -> DataFrame:
+    """Items with ``out_col, lookup_step`` and the membership ``flags``, from a :func:`keyed_lookup`.
+
+    Names probe it as they are, which decides steps 1 and 3 and all flags at once; those without an exact hit
+    probe it again without suffix tokens.
+    """
+    work = with_computed(items, "_name", name_key(F.col(name_col)))
+    known = lookup.select("_k", "_exact", "_bare", *[F.col(flag).alias(f"_in_{flag}") for flag in flags])
+    work = work.withColumn("_k", spread_key(F.col("_name"), F.col(id_col))).join(known, "_k", "left").drop("_k")
+    work = with_computed(work, "_short", F.when(F.col("_exact").isNull(), strip_two_suffixes(F.col("_name"))))
+    retry = F.when(F.col("_short") != F.col("_name"), F.col("_short"))
+    by_short = lookup.where(F.col("_exact").isNotNull()).select("_k", F.col("_exact").alias("_again"))
+    work = work.withColumn("_k", spread_key(retry, F.col(id_col))).join(by_short, "_k", "left").drop("_k")
+    hit = {column: F.col(column).isNotNull() for column in ("_exact", "_again", "_bare")}
+    value = F.coalesce(*[F.when(found, F.struct(F.col(f"{column}.value"))) for column, found in hit.items()])["value"]
+    step = F.when(hit["_exact"], F.lit(1)).when(hit["_again"], F.lit(2)).when(hit["_bare"], F.lit(3))
+    found = [F.coalesce(f"_in_{flag}", F.lit(False)).alias(flag) for flag in flags]
+    own = [F.col(c) for c in items.columns]
+    return work.select(*own, value.alias(out_col), step.otherwise(F.lit(0)).alias("lookup_step"), *found)
+
+
 def priority_lookup(
     items: DataFrame,
     reference: DataFrame,
@@ -107,42 +158,9 @@ def priority_lookup(
     1. the name as it is; 2. the name without suffix tokens, when that differs; 3. the name among
     the suffix-free reference names. A hit counts even when its value is null, so the steps are
     decided by hit marks; ``lookup_step`` says which one hit (0: none). ``reference`` holds ``name, <value_col>, src_row``; the first row per key
-    wins. Steps 1 and 3 probe the same key and share one table, so the items shuffle twice at most.
+    wins. All steps probe one table, so the items shuffle twice at most.
     """
-    require_columns(reference, [name_col, value_col, "src_row"], "reference")
-    out_col = out_col or value_col
-    keyed = reference.select(
-        name_key(F.col(name_col)).alias("_exact"), F.col(value_col).alias("_value"), "src_row"
-    ).where(F.col("_exact").isNotNull())
-    exact = lookup_side(keep_first(keyed.withColumnRenamed("_exact", "_k"), "_k").select("_k", "_value"))
-    bare = keep_first(
-        keyed.select(strip_two_suffixes(F.col("_exact")).alias("_k"), "_value", "src_row"), "_k"
-    ).select("_k", "_value")
-    by_name = (
-        exact.select("_k", F.struct("_value").alias("_a"))
-        .unionByName(bare.select("_k", F.struct("_value").alias("_c")), allowMissingColumns=True)
-        .groupBy("_k")
-        .agg(F.first("_a", ignorenulls=True).alias("_a"), F.first("_c", ignorenulls=True).alias("_c"))
-    )
-    by_name = lookup_side(by_name)
-    work = with_computed(items, "_name", name_key(F.col(name_col)))
-    work = work.withColumn("_k", spread_key(F.col("_name"), F.col(id_col))).join(by_name, "_k", "left").drop("_k")
-    work = with_computed(work, "_bare", F.when(F.col("_a").isNull(), strip_two_suffixes(F.col("_name"))))
-    retry = F.when(F.col("_bare") != F.col("_name"), F.col("_bare"))
-    by_bare = exact.select("_k", F.struct("_value").alias("_b"))
-    work = work.withColumn("_k", spread_key(retry, F.col(id_col))).join(by_bare, "_k", "left").drop("_k")
-    value = (
-        F.when(F.col("_a").isNotNull(), F.col("_a")["_value"])
-        .when(F.col("_b").isNotNull(), F.col("_b")["_value"])
-        .when(F.col("_c").isNotNull(), F.col("_c")["_value"])
-    )
-    step = (
-        F.when(F.col("_a").isNotNull(), F.lit(1))
-        .when(F.col("_b").isNotNull(), F.lit(2))
-        .when(F.col("_c").isNotNull(), F.lit(3))
-        .otherwise(F.lit(0))
-    )
-    return work.select(*[F.col(c) for c in items.columns], value.alias(out_col), step.alias("lookup_step"))
+    return probe_names(items, keyed_lookup(reference, value_col, name_col=name_col), out_col or value_col, (), id_col, name_col)
 
 
 def resolve_suffix_free(

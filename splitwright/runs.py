@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitwright.functions.ids import PROFILE_ID_SNIFF_PATTERN
@@ -16,7 +16,7 @@ from splitwright.operators import checks, gates, leakage, profiles, registry, re
 from splitwright.operators.checks import invariant_report, raise_on_violations, require_columns
 from splitwright.operators.clusters import cluster_split
 from splitwright.operators.dedupe import seeded_sample
-from splitwright.session import stored
+from splitwright.session import settled, stored
 from splitwright.sources.files import file_manifest, write_diagnostics
 from splitwright.sources.profiles import write_aligned
 from splitwright.sources.splits import read_split, write_split
@@ -26,6 +26,11 @@ from splitwright.sources.tables import write_csv, write_parquet
 TEST_KEYS = "test_group_keys"
 
 
+def _kept(spark: SparkSession, build: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The stored result of a step; its scratch tables are gone."""
+    return settled(spark, build, label).table
+
+
 def _share(df: DataFrame, condition: Column) -> DataFrame:
     return df.agg(F.coalesce(F.avg(condition.cast("double")), F.lit(0.0)).alias("value"))
 
@@ -38,7 +43,7 @@ def resolve_run(
     canonical: Callable[[Column], Column] = lambda c: c,
 ) -> dict[str, DataFrame]:
     """Resolve the names of a label list; writes ``resolved`` and ``rejected`` as CSV."""
-    routed = stored(resolve.resolve_names(labels, index, valid=valid, canonical=canonical), "routed")
+    routed = _kept(labels.sparkSession, lambda: resolve.resolve_names(labels, index, valid=valid, canonical=canonical), "routed")
     resolved, rejected = resolve.resolved_rows(routed), resolve.rejected_rows(routed)
     write_csv(resolved, f"{out}/resolved")
     write_csv(rejected, f"{out}/rejected")
@@ -50,7 +55,8 @@ def registry_run(
     labels: DataFrame, severities: DataFrame, resolved: DataFrame, measured: DataFrame, upstream: DataFrame, out: str
 ) -> dict[str, DataFrame]:
     """Build, check, write and summarise the registry."""
-    built = stored(registry.build_registry(labels, severities, resolved, measured, upstream), "registry")
+    build = lambda: registry.build_registry(labels, severities, resolved, measured, upstream)
+    built = _kept(labels.sparkSession, build, "registry")
     raise_on_violations(invariant_report(built, "id", ["canonical"], ["label"]), "registry")
     write_csv(built, f"{out}/registry")
     return {"registry": built, "summary": summary.registry_summary(built, labels.count())}
@@ -70,15 +76,16 @@ def split_run(
     group_key``; ``external`` is a split made elsewhere (``id, split``).
     """
     require_columns(items, ["id", "name", "group_key", "label", "in_measured", "in_upstream", "fp"], "items")
-    grouped = stored(splits.group_split(items, seed=seed), "grouped")
-    clustered = stored(cluster_split(items, threshold=threshold), "clustered")
+    spark = items.sparkSession
+    grouped = _kept(spark, lambda: splits.group_split(items, seed=seed), "grouped")
+    clustered = _kept(spark, lambda: cluster_split(items, threshold=threshold), "clustered")
     for assigned in (grouped, clustered):
         splits.check_disjoint(assigned)
 
     test, train = grouped.where("split = 'test'"), grouped.where("split = 'train'")
     names, keys = leakage.protected_sets(test.select("id"), items)
-    marked = stored(leakage.mark_upstream_names(upstream, names, keys), "marked")
-    slices = stored(leakage.novelty_slices(test, upstream, train.select("group_key")), "slices")
+    marked = _kept(spark, lambda: leakage.mark_upstream_names(upstream, names, keys), "marked")
+    slices = _kept(spark, lambda: leakage.novelty_slices(test, upstream, train.select("group_key")), "slices")
     named = lambda df, name: df.select(F.lit(name).alias("split"), F.col("id").cast("string").alias("id"))
     lists = [grouped.select("split", F.col("id").cast("string").alias("id"))]
     lists += [named(splits.held_out(grouped, "in_measured"), "test_held_out")]
@@ -96,7 +103,7 @@ def split_run(
     sections = []
     for name, assigned in (("group_split", grouped), ("cluster_split", clustered)):
         sides = [assigned.where(F.col("split") == s).select("id", "fp") for s in ("test", "train")]
-        histogram = similarity.similarity_histogram(similarity.max_similarity(*sides))
+        histogram = _kept(spark, lambda: similarity.similarity_histogram(similarity.max_similarity(*sides)), "histogram")  # noqa: B023
         balance = splits.class_balance(assigned)
         sections += [
             summary.tidy_table(balance, name, "split"),
@@ -163,14 +170,15 @@ def profile_run(
     the registry with ``src_row, name, canonical, severity, label``. The correlation with the store is one
     linear pass over all found rows, or over a seeded ``sample`` of them.
     """
-    looked = stored(profiles.lookup_profiles(profile_rows, store), "looked")
+    spark = profile_rows.sparkSession
+    looked = _kept(spark, lambda: profiles.lookup_profiles(profile_rows, store), "looked")
     miss = profiles.miss_rate(looked)
     found = looked.where("found")
     checked = found if sample is None else seeded_sample(found, "profile_id", sample, seed)
     pairs = checked.select(F.col("data").alias("a"), F.col("expressions").alias("b"))
     correlation = stored(profiles.correlation_summary(profiles.dimension_correlation(pairs)), "correlation")
 
-    resolved = stored(resolve.resolve_suffix_free(found, known, id_col="row_idx"), "resolved")
+    resolved = _kept(spark, lambda: resolve.resolve_suffix_free(found, known, id_col="row_idx"), "resolved")
     retained = resolved.where(F.col("matched") & F.col("canonical").isNotNull())
     rows = stored(profiles.profile_table(resolved), "profiles")
     write_csv(rows, f"{out}/profiles")

@@ -10,13 +10,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders of the open :func:`run_scratch` blocks, innermost last.
 _SCOPES: list[str] = []
+#: Root folder of each application that names none itself.
+_ROOTS: dict[str, str] = {}
 
 
 def local_session(cores: str | int = "*", app: str = "splitwright", memory: str = "8g") -> SparkSession:
@@ -38,16 +41,18 @@ def local_session(cores: str | int = "*", app: str = "splitwright", memory: str
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints; a temporary folder is accepted in local mode only."""
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        folder = configured
-        if folder is None:
+    root = spark.conf.get("spark.checkpoint.dir", None) or _ROOTS.get(context.applicationId)
+    if root is None:
+        root = context.getCheckpointDir()
+        if root is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-            folder = tempfile.mkdtemp(prefix="splitwright-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        context.setCheckpointDir(folder)
-    return configured or context.getCheckpointDir()
+            root = tempfile.mkdtemp(prefix="splitwright-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
+        _ROOTS[context.applicationId] = root
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(root)
+    return root
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -77,8 +82,12 @@ def run_scratch(spark: SparkSession) -> Iterator[str]:
     finally:
         _SCOPES.remove(folder)
         spark.sparkContext.setCheckpointDir(f"{_SCOPES[-1]}/checkpoints" if _SCOPES else root)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -93,6 +102,31 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@dataclass
+class Settled:
+    """A written result that owns its table. DataFrames over ``table`` end when it is released."""
+
+    table: DataFrame
+    path: str
+
+    def release(self) -> None:
+        _delete(self.table.sparkSession, self.path)
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame], label: str) -> Settled:
+    """Write the result of ``build`` once and drop every table and checkpoint that was written on its way.
+
+    A run that settles each of its steps needs scratch space for one step at a time. What ``build`` returns must
+    be the only thing that outlives it; tables written before the call stay.
+    """
+    path = scratch_path(spark, label)
+    with run_scratch(spark):
+        df = build()
+        schema = df.schema
+        df.write.parquet(path)
+    return Settled(spark.read.schema(schema).parquet(path), path)
+
+
 def lookup_side(df: DataFrame) -> DataFrame:
     """Materialise the unique side of a join.
 

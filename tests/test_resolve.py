@@ -120,3 +120,34 @@ def test_once_per_key(spark):
     derive = lambda keys: keys.select("key", F.upper("key").alias("up"))
     got = resolve.derive_once_per_key(rows, F.lower("name"), derive, "id").orderBy("id").collect()
     assert [r["up"] for r in got] == ["A", "A", "B", None]
+
+
+def test_one_table_of_names_serves_all_probes(spark):
+    """Null and empty names, repeated keys, a null value that is a hit, and a member that no reference knows."""
+    ref = spark.createDataFrame(
+        [(3, "Beta", "late"), (1, "beta", None), (None, "gamma", "no place"), (2, "Alpha sodium", "A"), (4, None, "x"), (5, "", "blank")],
+        "src_row long, name string, severity string",
+    )
+    members = {"left": spark.createDataFrame([("ALPHA",), (None,), ("",), ("alpha",)], "name string"), "right": spark.createDataFrame([], "name string")}
+    table = resolve.keyed_lookup(ref, "severity", members)
+    assert table.count() == table.select("_k").distinct().count()
+    items = spark.createDataFrame([(1, "Beta"), (2, "alpha"), (3, "gamma hydrochloride"), (4, None), (5, "none"), (6, "")], "id long, name string")
+    got = resolve.probe_names(items, table, "severity", ["left", "right"]).orderBy("id").collect()
+    assert [tuple(r)[2:] for r in got] == [
+        (None, 1, False, False), ("A", 3, True, False), ("no place", 2, False, False),
+        (None, 0, False, False), (None, 0, False, False), ("blank", 1, False, False),
+    ]
+    assert resolve.probe_names(items.limit(0), table, "severity", ["left"]).count() == 0
+
+
+def test_registry_writes_one_table_of_names(spark, monkeypatch):
+    from splitwright.operators import registry
+
+    written = []
+    monkeypatch.setattr(resolve, "lookup_side", lambda df: written.append(df.columns) or df)
+    labels = spark.createDataFrame([(0, 1, "Aspirin", "1")], "src_row long, id long, name string, label string")
+    known = spark.createDataFrame([(1, "CC", "C", "g")], "id long, structure string, canonical string, group_key string")
+    severities = spark.createDataFrame([(0, "aspirin", "Most")], "src_row long, name string, severity string")
+    names = spark.createDataFrame([("ASPIRIN",)], "name string")
+    row = registry.build_registry(labels, severities, known, names, names.limit(0)).first()
+    assert (row["severity"], row["in_measured"], row["in_upstream"]) == ("Most", True, False) and len(written) == 1

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from splitwright import runs
 from splitwright.functions.sets import hashed_shingles
 from splitwright.operators.checks import SchemaError
-from splitwright.session import run_scratch
+from splitwright.session import checkpointed, run_scratch, scratch_root, settled, stored
 from splitwright.sources.splits import read_split
 
 
@@ -127,3 +127,31 @@ def test_profile_source_run(spark, tmp_path):
         runs.profile_source_run(source.withColumn("y", F.lit(0.5)), listed, store, known, str(tmp_path), expected_ids=20, **widths)
     with pytest.raises(SchemaError, match="cannot align"):
         runs.profile_source_run(source.limit(5), listed, store, known, str(tmp_path), expected_ids=20, **widths)
+
+
+def test_settled_results_own_their_tables(spark):
+    """Tables and checkpoints of a step go with it, its result stays until released, also inside another run."""
+    with run_scratch(spark) as scratch:
+        folder = scratch.removeprefix("file:")
+        kept = stored(spark.range(5), "outer")
+        step = lambda: checkpointed(stored(kept.withColumn("x", F.col("id") * 2), "inner")).groupBy().agg(F.sum("x").alias("s"))
+        result = settled(spark, step, "result")
+        left = [name.split("-")[0] for name in sorted(os.listdir(folder))]
+        assert left.count("outer") == left.count("result") == 1 and not {"inner", "run"} & set(left)
+        assert result.table.first()["s"] == 20 and kept.count() == 5
+        result.release()
+        assert not os.path.exists(result.path.removeprefix("file:"))
+    roots = {scratch_root(spark)}
+    settled(spark, lambda: spark.range(1), "result").release()
+    assert roots == {scratch_root(spark)}
+
+
+def test_a_failing_step_leaves_nothing(spark):
+    with run_scratch(spark) as scratch:
+        def fails():
+            stored(spark.range(3), "inner")
+            raise ValueError("no")
+
+        with pytest.raises(ValueError):
+            settled(spark, fails, "result")
+        assert not [name for name in os.listdir(scratch.removeprefix("file:")) if name.startswith(("run-", "result"))]
