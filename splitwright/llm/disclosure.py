@@ -13,16 +13,18 @@ import re
 from array import array
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from collections.abc import Callable
 from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitwright.llm.text import alnum_words, arrow_map, documents, texts_of
+from splitwright.llm.text import alnum_words, arrow_map, bounded_batches, documents, row_key, texts_of
 from splitwright.session import stored
 
 KINDS = ("email", "ip", "card", "phone")
@@ -30,6 +32,7 @@ KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "generalise", "remove")
 GENERALISE, REMOVE = 0.7, 0.85
 MIN_CONTEXTS = 2
+KEYS = ("doc_id", "_key1", "_key2")
 #: Words that lie whole within so many code points of an entity, or of a word, are its context.
 CONTEXT = 150
 #: Bytes of text whose words are held at once.
@@ -140,7 +143,7 @@ def document_terms(text: str, found: list[tuple[int, int, int, str]]) -> list[tu
 
 
 _FOUND = (
-    "doc_id long, spans array<struct<start:int,kind:int,end:int>>, entities array<long>, "
+    "doc_id long, _key1 long, _key2 long, spans array<struct<start:int,kind:int,end:int>>, entities array<long>, "
     "terms array<struct<entity:long,term:long,context:long,start:int,end:int,first:int>>, "
     "words array<struct<term:long,context:long,places:array<int>>>"
 )
@@ -188,6 +191,7 @@ def find_entities(docs: DataFrame) -> DataFrame:
                 low = high
 
         def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keys = [batch[c] for c in KEYS]
             spans, names, terms, words = [], [], [], _Words()
             for x in batch["text"]:
                 text = x.as_py()
@@ -197,13 +201,14 @@ def find_entities(docs: DataFrame) -> DataFrame:
                 terms.append(context_terms(text, found) if found else [])
                 words.add(document_terms(text, found) if found else [])
             return pa.record_batch(
-                [batch["doc_id"], pa.array(spans, _SPAN), pa.array(names, pa.list_(pa.int64())), pa.array(terms, _TERM), words.lists()],
-                ["doc_id", "spans", "entities", "terms", "words"],
+                [*keys, pa.array(spans, _SPAN), pa.array(names, pa.list_(pa.int64())), pa.array(terms, _TERM), words.lists()],
+                [*KEYS, "spans", "entities", "terms", "words"],
             )
 
         return step
 
-    return arrow_map(documents(docs), work, _FOUND)
+    rows = documents(docs)
+    return arrow_map(rows.select("doc_id", *row_key(rows), "text"), work, _FOUND)
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
@@ -224,45 +229,66 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 
 
 def _known(found: DataFrame) -> DataFrame:
-    """``entity, de``: number of documents of every entity."""
-    return found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("de"))
+    """``entity, de, x1, x2``: number of documents of every entity, and two hashes of the set of these documents."""
+    rows = found.select("_row", F.explode("entities").alias("entity"))
+    marks = [F.bit_xor(F.xxhash64("_row")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "_row")).alias("x2")]
+    return rows.groupBy("entity").agg(F.count(F.lit(1)).alias("de"), *marks)
 
 
-def held_terms(found: DataFrame, frequencies: DataFrame, generalise: float = GENERALISE) -> DataFrame:
-    """``_row, entity, term, context, de, df``: the terms of each document by each of its entities.
+def entity_classes(found: DataFrame) -> DataFrame:
+    """``entity, class, de``: entities of the same documents, more than one, form a class, named by its smallest entity.
 
-    Entities of one document are left to ``context_terms``. As ``co`` is at most ``de``, a term can reach the share
-    ``generalise`` only while ``df <= N ** (1 - generalise) * de ** generalise``; the others are left out before
-    terms and entities meet.
+    They meet every term equally often, so a class stands for all its entities: a list of addresses that is
+    copied is one class, however many there are.
     """
-    n = float(max(1, found.count()))
     known = stored(_known(found).where(F.col("de") > 1), "known-entities")
-    most = known.agg(F.max("de")).first()[0] or 1
+    heads = stored(known.groupBy("de", "x1", "x2").agg(F.min("entity").alias("class")), "entity-classes")
+    return stored(known.join(heads, ["de", "x1", "x2"]).select("entity", "class", "de"), "class-members")
+
+
+def held_terms(found: DataFrame, frequencies: DataFrame, classes: DataFrame, generalise: float = GENERALISE) -> DataFrame:
+    """``_row, entity, term, context, de, df``: the terms of each document by each class of its entities.
+
+    Entities and terms of one document only are left to ``context_terms``: such a pair has one context here. As ``co``
+    is at most ``de``, a term can reach the share ``generalise`` only while
+    ``df <= N ** (1 - generalise) * de ** generalise``; the others are left out before terms and entities meet.
+    """
+    n = float(max(1, found.count()))
+    heads = classes.where(F.col("entity") == F.col("class")).select("entity", "de")
+    most = heads.agg(F.max("de")).first()[0] or 1
     bound = lambda de: n ** (1 - generalise) * F.pow(de, F.lit(generalise)) * (1 + 1e-9)
-    rare = stored(frequencies.where(F.col("df") <= bound(F.lit(float(most)))), "rare-terms")
-    entities_of = found.select("_row", F.explode("entities").alias("entity")).join(known, "entity")
+    rare = stored(frequencies.where((F.col("df") > 1) & (F.col("df") <= bound(F.lit(float(most))))), "rare-terms")
+    entities_of = found.select("_row", F.explode("entities").alias("entity")).join(heads, "entity")
     terms_of = found.select("_row", F.explode("words").alias("t")).select("_row", "t.term", "t.context").join(rare, "term")
     return terms_of.join(entities_of, "_row").where(F.col("df") <= bound(F.col("de")))
 
 
 def disclosing_terms(
-    found: DataFrame, frequencies: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, held: DataFrame | None = None
+    found: DataFrame,
+    frequencies: DataFrame,
+    generalise: float = GENERALISE,
+    remove: float = REMOVE,
+    classes: DataFrame | None = None,
+    held: DataFrame | None = None,
 ) -> DataFrame:
     """``entity, term, share, action``: pairs whose mutual information reaches a threshold.
 
-    ``held`` are the ``held_terms`` of ``found``, if they are at hand.
+    A class of entities is one row, under its name. ``classes`` and ``held`` are those of ``found``, if they are at hand.
     """
     n = F.lit(float(max(1, found.count())))
     if held is None:
         found = found if "_row" in found.columns else stored(found.withColumn("_row", F.monotonically_increasing_id()), "entities")
-        held = held_terms(found, frequencies, generalise)
+        classes = entity_classes(found)
+        held = held_terms(found, frequencies, classes, generalise)
     near = found.select(F.explode("terms").alias("t")).select("t.*")
     near = near.groupBy("entity", "term").agg(F.sum("first").alias("co"), F.count_distinct("context").alias("contexts"))
-    near = stored(near.where(F.col("contexts") >= MIN_CONTEXTS), "near-pairs")
+    near = near.where(F.col("contexts") >= MIN_CONTEXTS).join(frequencies, "term").join(classes, "entity", "left")
+    near = stored(near.withColumn("de", F.coalesce("de", F.lit(1))), "near-pairs")
     pairs = held.groupBy("entity", "term", "de", "df").agg(F.count(F.lit(1)).alias("co"), F.count_distinct("context").alias("contexts"))
-    both = pairs.join(near.select("entity", "term", F.lit(True).alias("_near")), ["entity", "term"], "left")
-    both = both.where((F.col("contexts") >= MIN_CONTEXTS) | F.col("_near"))
-    single = near.join(_known(found).where(F.col("de") == 1), "entity").join(frequencies, "term")
+    marked = near.where(F.col("class").isNotNull()).select(F.col("class").alias("entity"), "term", F.lit(True).alias("_near")).distinct()
+    both = pairs.join(marked, ["entity", "term"], "left").where((F.col("contexts") >= MIN_CONTEXTS) | F.col("_near"))
+    # an entity or a term of one document: the windows have counted all there is
+    single = near.where((F.col("de") == 1) | (F.col("df") == 1))
     columns = ["entity", "term", "co", "de", "df"]
     joined = both.select(*columns).unionByName(single.select(*columns))
     content = F.log2(n / F.col("de"))
@@ -279,21 +305,24 @@ def _written(spans: Column) -> Column:
 
 
 def personal_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """``doc_id, base, spans``: entity spans, and those with the disclosing terms, as sorted arrays.
+    """``doc_id, _key1, _key2, base, spans``: entity spans, and those with the disclosing terms, as sorted arrays.
+
+    The keys are the ``row_key`` of the document; rows that share them have the same spans.
 
     Null and empty texts have none. Each row counts as a document, repeated rows too. An entity in every
     document carries no information and discloses nothing. Other columns are not read.
     """
     found = stored(find_entities(docs).withColumn("_row", F.monotonically_increasing_id()), "entities")
     frequencies = stored(document_frequencies(docs), "frequencies")
-    held = stored(held_terms(found, frequencies, generalise), "held-terms")
-    pairs = stored(disclosing_terms(found, frequencies, generalise, remove, held), "disclosing")
+    classes = entity_classes(found)
+    held = stored(held_terms(found, frequencies, classes, generalise), "held-terms")
+    pairs = stored(disclosing_terms(found, frequencies, generalise, remove, classes, held), "disclosing")
     near = found.select("_row", F.explode("terms").alias("t")).select("_row", "t.entity", "t.term")
     hit = held.select("_row", "entity", "term").unionByName(near).join(pairs, ["entity", "term"]).groupBy("_row", "term").agg(F.max("action").alias("action"))
     added = hit.groupBy("_row").agg(F.collect_list(F.struct("term", "action")).alias("_added"))
-    joined = found.select("_row", "doc_id", "spans", "words").join(stored(added, "added-terms"), "_row", "left")
+    joined = found.select("_row", *KEYS, "spans", "words").join(stored(added, "added-terms"), "_row", "left")
     # where nothing is added the words need not go on to Python
-    joined = joined.select("doc_id", "spans", F.when(F.col("_added").isNotNull(), F.col("words")).alias("words"), "_added")
+    joined = joined.select(*KEYS, "spans", F.when(F.col("_added").isNotNull(), F.col("words")).alias("words"), "_added")
 
     def work():
         def step(batch: pa.RecordBatch):
@@ -308,12 +337,13 @@ def personal_spans(docs: DataFrame, generalise: float = GENERALISE, remove: floa
                         own += [{"start": s, "kind": action[int(terms[k])], "end": e} for s, e in zip(at[::2], at[1::2])]
                     own.sort(key=lambda x: (x["start"], x["kind"], x["end"]))
                 spans.append(own)
-            yield pa.record_batch([batch["doc_id"], batch["spans"], pa.array(spans, _SPAN)], ["doc_id", "base", "spans"])
+            keys = [batch[c] for c in KEYS]
+            yield pa.record_batch([*keys, batch["spans"], pa.array(spans, _SPAN)], [*KEYS, "base", "spans"])
 
         return step
 
     kind = "array<struct<start:int,kind:int,end:int>>"
-    return arrow_map(joined, work, f"doc_id long, base {kind}, spans {kind}")
+    return arrow_map(joined, work, f"doc_id long, _key1 long, _key2 long, base {kind}, spans {kind}")
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
@@ -324,8 +354,15 @@ def pii_digest(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
 
 
-def sanitised(text: str, spans: list[tuple[int, str, int]]) -> str:
-    """The text with entities and generalised terms replaced by ``[kind]`` and removed terms cut.
+def term_category(term: str) -> str:
+    """What kind of word a term is: ``number``, ``code`` (letters and digits), ``name`` (with a capital) or ``word``."""
+    if any(c.isdigit() for c in term):
+        return "code" if any(c.isalpha() for c in term) else "number"
+    return "name" if term[:1].isupper() else "word"
+
+
+def sanitised(text: str, spans: list[tuple[int, str, int]], category: Callable[[str], str] = lambda term: "term") -> str:
+    """The text with entities and generalised terms replaced by ``[kind]`` or ``[category]`` and removed terms cut.
 
     ``spans`` holds ``(start, kind, end)``; where spans overlap, the one that starts first covers the rest.
     """
@@ -334,6 +371,37 @@ def sanitised(text: str, spans: list[tuple[int, str, int]]) -> str:
         if end <= at:
             continue
         if start >= at:
-            out += [text[at:start], "" if kind == "remove" else "[term]" if kind == "generalise" else f"[{kind}]"]
+            shown = category(text[start:end]) if kind == "generalise" else kind
+            out += [text[at:start], "" if kind == "remove" else f"[{shown}]"]
         at = end
     return "".join([*out, text[at:]])
+
+
+def sanitised_texts(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """All rows and columns of ``docs`` with sanitised texts; a generalised term becomes its ``term_category``.
+
+    Null stays null and empty stays empty. Repeated rows count as documents of their own and all stay. Rows without
+    spans do not pass through Python. Columns may have any name.
+    """
+    found = personal_spans(docs, generalise, remove).where(F.size("spans") > 0)
+    found = stored(found.select("_key1", "_key2", _written(F.col("spans")).alias("_spans")).dropDuplicates(["_key1", "_key2"]), "text-spans")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *row_key(docs))
+    joined = whole.join(found, ["_key1", "_key2"], "left")
+    bounded_batches(docs.sparkSession)
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        def one(text: str | None, written: str | None) -> str | None:
+            if not text or not written:
+                return text
+            parts = (x.split(":") for x in written.split(","))
+            return sanitised(text, [(int(start), kind, int(end)) for kind, start, end in parts], term_category)
+
+        return pd.Series([one(t, x) for t, x in zip(texts, spans, strict=True)], dtype=object)
+
+    def columns(text: Column) -> list[Column]:
+        return [(text if c == "text" else F.col("_doc")[c]).alias(c) for c in docs.columns]
+
+    hit = F.col("_spans").isNotNull()
+    touched = joined.where(hit).select(*columns(clean(F.col("_doc.text"), F.col("_spans"))))
+    return touched.unionByName(joined.where(~hit).select(*columns(F.col("_doc.text"))))

@@ -290,3 +290,45 @@ def test_sanitised_text():
 
 def test_alnum_words():
     assert alnum_words("Ab-C é9_x".encode()) == [b"ab", b"c", "é9".encode(), b"x"]
+
+
+def test_entities_of_the_same_documents_are_one_class(spark):
+    """Two directories with the same 300 addresses and words: rows grow with the words, not with both."""
+    rng = random.Random(8)
+    names = [f"p{i}@host{i}.example.org" for i in range(300)]
+    words = [f"word{chr(97 + i % 26)}{i}" for i in range(300)]
+    page = lambda: " ".join(x for pair in zip(rng.sample(names, 300), rng.sample(words, 300)) for x in pair)
+    rows = [(0, page()), (1, page()), (2, f"{names[0]} {words[0]} once more")] + [(i, "plain text") for i in range(3, 40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = disclosure.stored(disclosure.find_entities(table).withColumn("_row", disclosure.F.monotonically_increasing_id()), "found")
+    frequencies = disclosure.stored(disclosure.document_frequencies(table), "frequencies")
+    classes = disclosure.entity_classes(found)
+    members = {}
+    for r in classes.collect():
+        members.setdefault(r["class"], []).append(r["de"])
+    assert sorted((len(x), set(x)) for x in members.values()) == [(1, {3}), (299, {2})]
+    held = disclosure.held_terms(found, frequencies, classes)
+    assert held.count() <= 2 * 2 * 300 + 1 and held.agg(disclosure.F.max("df")).first()[0] == 3
+    # every word of the directories tells the addresses, each in all documents that hold both
+    got = {r["doc_id"]: r["spans"].split(",") for r in disclosure.pii_digest(table).collect()}
+    assert [len([x for x in got[i] if x.startswith(("remove", "generalise"))]) for i in (0, 1)] == [300, 300]
+
+
+def test_sanitised_tables(spark, docs, clashing, empty):
+    rows = [(i, f"{'x ' * (i % 3)}Zorro told {'y ' * i}to bob@mail.example.com", i) for i in range(4)]
+    rows += [(i, "told to x y", i) for i in range(4, 100)] + [(None, None, 1), (100, "", 2), (101, "at 10.0.0.1", 3), (101, "at 10.0.0.1", 4)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, `_key1` long")
+    got = {(r["doc_id"], r["_key1"]): r["text"] for r in disclosure.sanitised_texts(table).collect()}
+    assert len(got) == len(rows)
+    assert got[(None, 1)] is None and got[(100, 2)] == "" and got[(101, 3)] == got[(101, 4)] == "at [ip]" and got[(50, 50)] == "told to x y"
+    for i in range(4):
+        assert got[(i, i)] == f"{'x ' * (i % 3)} told {'y ' * i}to [email]"
+    assert disclosure.sanitised_texts(empty).count() == 0
+    out = disclosure.sanitised_texts(clashing)
+    assert out.columns == clashing.columns and out.count() == docs.count()
+    assert not [r for r in out.select("text").collect() if r["text"] and "@example.com" in r["text"]]
+
+
+def test_term_categories():
+    assert [disclosure.term_category(x) for x in ("Rome", "rome", "12", "a1", "é")] == ["name", "word", "number", "code", "word"]
+    assert disclosure.sanitised("in Rome at 12", [(3, "generalise", 7), (11, "generalise", 13)], disclosure.term_category) == "in [name] at [number]"
