@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from splitwright.llm import decontaminate, mixing, near, recipes, toxicity
-from splitwright.session import stored
+from splitwright.session import settled
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -57,10 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = _table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stored(docs, "pipeline")
-    return docs
+    """All stages over ``documents``.
+
+    A stage's scratch tables go once its result is written, and that result once the next one is. The last
+    stage is returned as a plan, which reads the stage before it.
+    """
+    docs, before = _table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        result = settled(spark, lambda: stage(spark, docs, sf_dir), "pipeline")  # noqa: B023
+        if before is not None:
+            before.release()
+        docs, before = result.table, result
+    return STAGES[-1][1](spark, docs, sf_dir)
