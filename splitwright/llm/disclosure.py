@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitwright.llm.text import alnum_words, arrow_map, bounded_batches, documents, row_key, texts_of
+from splitwright.operators.profiles import probed_rows
 from splitwright.session import stored
 
 KINDS = ("email", "ip", "card", "phone")
@@ -320,9 +321,11 @@ def personal_spans(docs: DataFrame, generalise: float = GENERALISE, remove: floa
     near = found.select("_row", F.explode("terms").alias("t")).select("_row", "t.entity", "t.term")
     hit = held.select("_row", "entity", "term").unionByName(near).join(pairs, ["entity", "term"]).groupBy("_row", "term").agg(F.max("action").alias("action"))
     added = hit.groupBy("_row").agg(F.collect_list(F.struct("term", "action")).alias("_added"))
-    joined = found.select("_row", *KEYS, "spans", "words").join(stored(added, "added-terms"), "_row", "left")
-    # where nothing is added the words need not go on to Python
-    joined = joined.select(*KEYS, "spans", F.when(F.col("_added").isNotNull(), F.col("words")).alias("words"), "_added")
+    added = stored(added.withColumnRenamed("_row", "id"), "added-terms")
+    # words travel for documents that something is added to; a sketch of their rows holds back the others
+    words = probed_rows(found.select(F.col("_row").alias("id"), "words"), "id", added, "id").join(added, "id")
+    joined = found.select("_row", *KEYS, "spans").join(words.withColumnRenamed("id", "_row"), "_row", "left")
+    joined = joined.select(*KEYS, "spans", "words", "_added")
 
     def work():
         def step(batch: pa.RecordBatch):
